@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.numeric import as_col, nonzero
 from ..functions.scalars import one_row
 from ..functions.text import period_key
+from ..session import materialize
 from .quantiles import exact_quantiles, quantile_value
 
 # Risk tiers, retention rates, segment names and descriptions.
@@ -222,8 +223,12 @@ def clv_trends(df: DataFrame, period: str = "monthly", date: str = "transaction_
     period is its own 75th percentile. Growth runs over one row per period.
     """
     keyed = df.withColumn("period", period_key(date, period)).where(F.col("period").isNotNull())
-    cuts = exact_quantiles(keyed, "clv_estimate", [0.75], by=["period"]).select(
-        "period", F.col("quantile").alias("_cut")
+    # written so that its true size (one row per period) decides the join strategy
+    cuts = materialize(
+        exact_quantiles(keyed, "clv_estimate", [0.75], by=["period"]).select(
+            "period", F.col("quantile").alias("_cut")
+        ),
+        "period-cuts",
     )
     trend = (
         keyed.join(cuts, "period", "left")
@@ -329,3 +334,10 @@ def top_n(df: DataFrame, metric: str | Column, n: int, *ties: str, descending: b
     """Largest (or smallest) n rows with a deterministic tie-break."""
     key = as_col(metric)
     return df.orderBy(key.desc() if descending else key.asc(), *ties).limit(n)
+
+
+def best_worst(df: DataFrame, metric: str, name: str, n: int = 3) -> DataFrame:
+    """The n rows with the lowest (``best``) and highest (``worst``) metric."""
+    kind = lambda k, rows: rows.select(F.lit(k).alias("kind"), "*")
+    best = kind("best", top_n(df, metric, n, name, descending=False))
+    return best.unionByName(kind("worst", top_n(df, metric, n, name)))

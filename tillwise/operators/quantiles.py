@@ -66,7 +66,9 @@ def exact_quantiles(
     )
     lows = [F.col("_edges")[2 * i] for i in range(len(probs))]
     highs = [F.col("_edges")[2 * i + 1] for i in range(len(probs))]
-    inside = F.lit(False)
+    # below ``accuracy`` rows a bracket may miss a neighbouring rank, and the whole
+    # group is no more than a bracket of a large one, so all of it is kept apart
+    inside = F.col("_n") <= accuracy
     below = F.lit(None).cast("double")
     for low, high in zip(lows, highs):
         inside = inside | F.col("_v").between(low, high)
