@@ -17,12 +17,14 @@ def running_totals(
     sums: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = True,
+    ties: Sequence[str] = (),
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Add ``cum_<c>`` for every column in ``sums``, cumulated over ``order``.
 
-    ``order`` must be unique inside each ``by`` group (aggregate ties first), and
-    the input is read three times, so hand in a stored table.
+    Rows that share an ``order`` value are taken in the order of ``ties``; for
+    totals per distinct value, aggregate first. The input is read three times, so
+    hand in a stored table.
     A sketch cuts each group into value ranges of about equal row counts; the
     range totals (at most ``buckets`` + 1 rows a group) are cumulated and joined
     back as offsets, and rows are then cumulated range by range. Every sort
@@ -44,7 +46,7 @@ def running_totals(
         "_g", "_range", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums]
     )
     row_key = F.col(order).desc() if descending else F.col(order).asc()
-    within = Window.partitionBy("_g", "_range").orderBy(row_key).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_g", "_range").orderBy(row_key, *ties).rowsBetween(Window.unboundedPreceding, 0)
     return (
         placed.join(offsets, ["_g", "_range"])
         .withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.sum(c).over(within) for c in sums})
