@@ -38,22 +38,19 @@ def _c(*columns):
 
 
 def _interaction(spark, d):
-    base = tables.customer_360(spark, d).where("quantity > 0")
-    renamed = base.select(
-        "customer_id", "quantity", "unit_price", "discount_applied", "total_sales"
+    base = tables.customer_360(spark, d).where("quantity > 0").select(
+        "customer_id", "quantity", "unit_price", "discount_applied", "total_sales",
+        F.col("gross_sales").alias("total_spent"),
     )
-    sales_only = renamed.drop("quantity", "unit_price")
-    spent_only = sales_only.withColumnRenamed("total_sales", "total_spent")
+    no_price = base.drop("quantity", "unit_price")
     return rounded(
-        renamed.select(
+        base.select(
             "customer_id",
-            features.quantity_times_price(renamed).alias("quantity_times_price"),
-            features.quantity_times_price(renamed, discounted=True).alias("discounted"),
-            features.quantity_times_price(sales_only).alias("from_sales"),
-            features.quantity_times_price(spent_only.drop("x")).alias("from_spent")
-            if "total_spent" in renamed.columns
-            else F.col("total_sales").alias("from_spent"),
-            features.quantity_times_price(renamed.select("customer_id")).alias("from_nothing"),
+            features.quantity_times_price(base).alias("quantity_times_price"),
+            features.quantity_times_price(base, discounted=True).alias("discounted"),
+            features.quantity_times_price(no_price).alias("from_sales"),
+            features.quantity_times_price(no_price.drop("total_sales")).alias("from_spent"),
+            features.quantity_times_price(no_price.drop("total_sales", "total_spent")).alias("from_nothing"),
         )
     )
 
@@ -284,10 +281,6 @@ QUERIES = {
         ).select("order_id", "city", "country", *["quantity", "discount_applied", "returned"],
                  (F.col("returned") / nonzero("discount_applied")).alias("per_discount"))
     ),
-    "numeric_columns": lambda spark, d: spark.createDataFrame(
-        [(c, c in projection.analysis_columns(t)) for t in [tables.customer_360(spark, d)] for c in projection.numeric_columns(t)],
-        "column string, analysed boolean",
-    ),
     "sorted_levels": lambda spark, d: projection.sorted_levels(
         tables.load(spark, d, "part").withColumnRenamed("p_type", "level"), "level"
     ),
@@ -341,7 +334,7 @@ ORACLES = {
         C360,
         "SELECT customer_id, round(quantity * unit_price, 4) AS quantity_times_price, "
         "round(quantity * unit_price * (1 - discount_applied), 4) AS discounted, round(total_sales, 4) AS from_sales, "
-        "round(total_sales, 4) AS from_spent, round(0.0::double, 4) AS from_nothing FROM c360 WHERE quantity > 0",
+        "round(gross_sales, 4) AS from_spent, round(0.0::double, 4) AS from_nothing FROM c360 WHERE quantity > 0",
     ),
     "engagement_train": with_(
         C360,
@@ -528,11 +521,6 @@ ORACLES = {
         "FROM retail_tx WHERE quantity BETWEEN 10 AND 40 AND payment_method IN ('1-URGENT', '2-HIGH') "
         "AND customer_state NOT IN ('ASIA')",
     ),
-    "numeric_columns": with_(
-        C360,
-        "SELECT column_name AS \"column\", column_name <> 'customer_id' AS analysed FROM (DESCRIBE SELECT * FROM c360) "
-        "WHERE column_type IN ('DOUBLE', 'BIGINT', 'INTEGER')",
-    ),
     "sorted_levels": "SELECT DISTINCT p_type AS level FROM part ORDER BY 1",
     "hash_split": f"SELECT c_custkey AS customer_id, {_BUCKET.format(seed=42)} AS bucket, "
     f"{_BUCKET.format(seed=42)} < 2000 AS is_test FROM customer",
