@@ -55,3 +55,14 @@ def clean(c: str | Column) -> Column:
     """NaN counted as null."""
     c = as_col(c).cast("double")
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over rows where both are present; null where either side is constant.
+
+    ``corr`` raises on a constant column in ANSI mode, hence the quotient.
+    """
+    x, y = clean(x), clean(y)
+    paired_x = F.when(y.isNotNull(), x)
+    paired_y = F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(paired_x) * F.stddev_pop(paired_y))

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import as_col, clean
+from ..functions.numeric import as_col, clean, pearson
 
 # Lower bounds of the strength classes and p-value marks.
 STRENGTHS = [(0.7, "very strong"), (0.5, "strong"), (0.3, "moderate")]
@@ -19,10 +19,6 @@ STARS = [(0.001, "***"), (0.01, "**"), (0.05, "*")]
 PAIR_LIMIT = 300
 
 
-def _defined(c: Column) -> Column:
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
-
-
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long upper triangle ``(i, j, feature_1, feature_2, correlation)``.
 
@@ -37,7 +33,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.struct(
                 F.lit(i).alias("i"), F.lit(j).alias("j"),
                 F.lit(columns[i]).alias("feature_1"), F.lit(columns[j]).alias("feature_2"),
-                _defined(F.corr(clean(columns[i]), clean(columns[j]))).alias("correlation"),
+                pearson(columns[i], columns[j]).alias("correlation"),
             )
             for i, j in pairs
         ]
@@ -47,7 +43,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     table = df.sparkSession.createDataFrame(
         rows, "i int, j int, feature_1 string, feature_2 string, correlation double"
     )
-    return table.withColumn("correlation", _defined(F.col("correlation")))
+    return table.withColumn("correlation", clean("correlation"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]):
@@ -62,7 +58,7 @@ def target_correlations(
 ) -> DataFrame:
     """Correlation of each feature with the target in one pass; undefined ones are dropped."""
     structs = [
-        F.struct(F.lit(f).alias("feature"), _defined(F.corr(clean(f), clean(target))).alias("correlation"))
+        F.struct(F.lit(f).alias("feature"), pearson(f, target).alias("correlation"))
         for f in features
     ]
     rows = df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
@@ -133,7 +129,7 @@ def t_statistics(df: DataFrame, features: Sequence[str], target: str) -> DataFra
         structs.append(
             F.struct(
                 F.lit(f).alias("feature"),
-                _defined(F.corr(x, y)).alias("correlation"),
+                pearson(x, y).alias("correlation"),
                 F.count_if(x.isNotNull() & y.isNotNull()).alias("n"),
             )
         )
@@ -163,8 +159,8 @@ def cross_target(df: DataFrame, features: Sequence[str], first: str, second: str
     structs = [
         F.struct(
             F.lit(f).alias("feature"),
-            F.abs(_defined(F.corr(clean(f), clean(first)))).alias(f"abs_{first}"),
-            F.abs(_defined(F.corr(clean(f), clean(second)))).alias(f"abs_{second}"),
+            F.abs(pearson(f, first)).alias(f"abs_{first}"),
+            F.abs(pearson(f, second)).alias(f"abs_{second}"),
         )
         for f in features
     ]

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numeric import as_col, ratio_or_zero
+from ..functions.numeric import as_col, pearson, ratio_or_zero
 from ..functions.scalars import one_row
 from .quantiles import exact_quantiles, with_group_stats
 
@@ -111,9 +111,8 @@ def residual_stats(df: DataFrame, label: str = "label", prediction: str = "predi
 def predicted_actual(df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ("model",)) -> DataFrame:
     """Correlation of prediction and target, and common axis bounds."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    r = F.corr(y, p)
     return df.groupBy(*by).agg(
-        F.when(F.isnan(r), F.lit(None).cast("double")).otherwise(r).alias("correlation"),
+        pearson(y, p).alias("correlation"),
         F.least(F.min(y), F.min(p)).alias("axis_min"),
         F.greatest(F.max(y), F.max(p)).alias("axis_max"),
     )
