@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import as_col, clean, pearson
+from ..functions.numeric import as_col, clean
 
 # Lower bounds of the strength classes and p-value marks.
 STRENGTHS = [(0.7, "very strong"), (0.5, "strong"), (0.3, "moderate")]
@@ -19,25 +19,44 @@ STARS = [(0.001, "***"), (0.01, "**"), (0.05, "*")]
 PAIR_LIMIT = 300
 
 
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(pair, n, correlation)`` for column pairs, over rows where both values are present.
+
+    A row fans out to one small row per pair, which partial aggregation folds at
+    once. The aggregate stays three expressions wide whatever the number of
+    pairs, so its generated code stays compilable. A constant side gives null.
+    """
+    options = [
+        F.struct(F.lit(k).alias("pair"), clean(x).alias("x"), clean(y).alias("y")) for k, (x, y) in enumerate(pairs)
+    ]
+    long = df.select(F.inline(F.array(*options))).where("x is not null and y is not null")
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    return long.groupBy("pair").agg(
+        F.count("*").alias("n"), F.try_divide(F.covar_pop("x", "y"), spread).alias("correlation")
+    )
+
+
+def _name(names: Sequence[str]) -> Column:
+    return F.array(*[F.lit(n) for n in names])[F.col("pair")]
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long upper triangle ``(i, j, feature_1, feature_2, correlation)``.
 
-    Few columns: every pair is one aggregate of a single pass, over rows where
-    both values are present. Many columns: one distributed matrix product over
-    rows where all values are present.
+    Up to ``PAIR_LIMIT`` pairs: pairwise-complete rows. More: one distributed
+    matrix product over rows where all values are present.
     """
     columns = list(columns)
     pairs = list(combinations(range(len(columns)), 2))
     if len(pairs) <= PAIR_LIMIT:
-        structs = [
-            F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"),
-                F.lit(columns[i]).alias("feature_1"), F.lit(columns[j]).alias("feature_2"),
-                pearson(columns[i], columns[j]).alias("correlation"),
-            )
-            for i, j in pairs
-        ]
-        return df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+        rows = pair_correlations(df, [(columns[i], columns[j]) for i, j in pairs])
+        return rows.select(
+            F.array(*[F.lit(i) for i, _ in pairs])[F.col("pair")].alias("i"),
+            F.array(*[F.lit(j) for _, j in pairs])[F.col("pair")].alias("j"),
+            _name([columns[i] for i, _ in pairs]).alias("feature_1"),
+            _name([columns[j] for _, j in pairs]).alias("feature_2"),
+            "correlation",
+        )
     matrix = correlation_matrix(df, columns)
     rows = [(i, j, columns[i], columns[j], float(matrix[i, j])) for i, j in pairs]
     table = df.sparkSession.createDataFrame(
@@ -57,11 +76,7 @@ def target_correlations(
     df: DataFrame, features: Sequence[str], target: str, keep_undefined: bool = False
 ) -> DataFrame:
     """Correlation of each feature with the target in one pass; undefined ones are dropped."""
-    structs = [
-        F.struct(F.lit(f).alias("feature"), pearson(f, target).alias("correlation"))
-        for f in features
-    ]
-    rows = df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+    rows = pair_correlations(df, [(f, target) for f in features]).select(_name(features).alias("feature"), "correlation")
     return rows if keep_undefined else rows.where("correlation is not null")
 
 
@@ -123,17 +138,11 @@ def two_sided_p(t: float, dof: float) -> float:
 
 def t_statistics(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """r, n and t over pairwise-complete rows, one pass for all features."""
-    structs = []
-    for f in features:
-        x, y = clean(f), clean(target)
-        structs.append(
-            F.struct(
-                F.lit(f).alias("feature"),
-                pearson(x, y).alias("correlation"),
-                F.count_if(x.isNotNull() & y.isNotNull()).alias("n"),
-            )
-        )
-    rows = df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows")).where("correlation is not null")
+    rows = (
+        pair_correlations(df, [(f, target) for f in features])
+        .where("correlation is not null")
+        .select(_name(features).alias("feature"), "correlation", "n")
+    )
     r = F.col("correlation")
     return rows.withColumn("t", r * F.sqrt(F.try_divide(F.col("n") - 2, 1 - r * r)))
 
@@ -156,15 +165,16 @@ def significance(df: DataFrame, features: Sequence[str], target: str) -> DataFra
 
 def cross_target(df: DataFrame, features: Sequence[str], first: str, second: str, n: int = 10) -> DataFrame:
     """Features by the mean of their absolute correlations with two targets, in one pass."""
-    structs = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.abs(pearson(f, first)).alias(f"abs_{first}"),
-            F.abs(pearson(f, second)).alias(f"abs_{second}"),
-        )
-        for f in features
-    ]
-    both = df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+    features = list(features)
+    pairs = [(f, first) for f in features] + [(f, second) for f in features]
+    rows = pair_correlations(df, pairs).select(
+        _name(features * 2).alias("feature"), (F.col("pair") < len(features)).alias("is_first"),
+        F.abs("correlation").alias("size"),
+    )
+    both = rows.groupBy("feature").agg(
+        F.max(F.when(F.col("is_first"), F.col("size"))).alias(f"abs_{first}"),
+        F.max(F.when(~F.col("is_first"), F.col("size"))).alias(f"abs_{second}"),
+    )
     mean = (F.col(f"abs_{first}") + F.col(f"abs_{second}")) / 2
     return both.withColumn("mean_abs", mean).na.drop().orderBy(F.col("mean_abs").desc(), "feature").limit(n)
 
