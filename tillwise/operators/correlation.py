@@ -26,10 +26,13 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     once. The aggregate stays three expressions wide whatever the number of
     pairs, so its generated code stays compilable. A constant side gives null.
     """
-    options = [
-        F.struct(F.lit(k).alias("pair"), clean(x).alias("x"), clean(y).alias("y")) for k, (x, y) in enumerate(pairs)
-    ]
-    long = df.select(F.inline(F.array(*options))).where("x is not null and y is not null")
+    used = sorted({c for pair in pairs for c in pair})
+    options = ", ".join(f"struct({k} AS pair, `{x}` AS x, `{y}` AS y)" for k, (x, y) in enumerate(pairs))
+    long = (
+        df.select([clean(c).alias(c) for c in used])
+        .select(F.expr(f"inline(array({options}))"))
+        .where("x is not null and y is not null")
+    )
     spread = F.stddev_pop("x") * F.stddev_pop("y")
     return long.groupBy("pair").agg(
         F.count("*").alias("n"), F.try_divide(F.covar_pop("x", "y"), spread).alias("correlation")
@@ -37,7 +40,8 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
 
 
 def _name(names: Sequence[str]) -> Column:
-    return F.array(*[F.lit(n) for n in names])[F.col("pair")]
+    """Look up a text by the pair number."""
+    return F.lit(list(names))[F.col("pair")]
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -51,8 +55,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if len(pairs) <= PAIR_LIMIT:
         rows = pair_correlations(df, [(columns[i], columns[j]) for i, j in pairs])
         return rows.select(
-            F.array(*[F.lit(i) for i, _ in pairs])[F.col("pair")].alias("i"),
-            F.array(*[F.lit(j) for _, j in pairs])[F.col("pair")].alias("j"),
+            F.lit([i for i, _ in pairs])[F.col("pair")].alias("i"),
+            F.lit([j for _, j in pairs])[F.col("pair")].alias("j"),
             _name([columns[i] for i, _ in pairs]).alias("feature_1"),
             _name([columns[j] for _, j in pairs]).alias("feature_2"),
             "correlation",

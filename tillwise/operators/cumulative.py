@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .quantiles import with_group_stats
 
-BUCKETS = 256
+LEVELS = 8  # 2**8 ranges per group
 
 
 def running_totals(
@@ -18,7 +18,7 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = True,
     ties: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Add ``cum_<c>`` for every column in ``sums``, cumulated over ``order``.
 
@@ -26,7 +26,7 @@ def running_totals(
     totals per distinct value, aggregate first. The input is read three times, so
     hand in a stored table.
     A sketch cuts each group into value ranges of about equal row counts; the
-    range totals (at most ``buckets`` + 1 rows a group) are cumulated and joined
+    range totals (at most 2**levels rows a group) are cumulated and joined
     back as offsets, and rows are then cumulated range by range. Every sort
     holds one range, so a single large group is spread over many tasks.
     """
@@ -34,11 +34,14 @@ def running_totals(
     # a constant key stands for "no groups"; ranges keep the group key so that
     # equal ranges of different groups never mix
     keyed = df.withColumn("_g", F.struct(*by) if by else F.lit(0))
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = F.percentile_approx(order, probs, F.lit(10 * buckets)).alias("_cuts")
-    placed = with_group_stats(keyed, cuts, grouped=bool(by)).withColumn(
-        "_range", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col(order))), F.lit(0))
-    ).drop("_cuts")
+    parts = 2**levels
+    probs = F.lit([i / parts for i in range(1, parts)])
+    cuts = F.percentile_approx(order, probs, F.lit(10 * parts)).alias("_cuts")
+    steps = ", ".join(str(2**i) for i in reversed(range(levels)))
+    # binary search: how many of the ascending cuts lie below the row
+    place = f"""aggregate(array({steps}), 0,
+        (pos, step) -> pos + if(coalesce(get(_cuts, pos + step - 1) < `{order}`, false), step, 0))"""
+    placed = with_group_stats(keyed, cuts, grouped=bool(by)).withColumn("_range", F.expr(place)).drop("_cuts")
     totals = placed.groupBy("_g", "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     key = F.col("_range").desc() if descending else F.col("_range").asc()
     earlier = Window.partitionBy("_g").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

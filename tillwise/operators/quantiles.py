@@ -61,18 +61,19 @@ def exact_quantiles(
     rows = with_group_stats(
         rows,
         F.count("*").alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("_edges"),
+        F.percentile_approx("_v", F.lit(edges), F.lit(accuracy)).alias("_edges"),
         grouped=bool(by),
     )
-    lows = [F.col("_edges")[2 * i] for i in range(len(probs))]
-    highs = [F.col("_edges")[2 * i + 1] for i in range(len(probs))]
     # below ``accuracy`` rows a bracket may miss a neighbouring rank, and the whole
     # group is no more than a bracket of a large one, so all of it is kept apart
-    inside = F.col("_n") <= accuracy
-    below = F.lit(None).cast("double")
-    for low, high in zip(lows, highs):
-        inside = inside | F.col("_v").between(low, high)
-        below = F.when(F.col("_v") > high, high).otherwise(below)
+    brackets = range(len(probs))
+    inside = F.expr(
+        f"_n <= {accuracy} OR " + " OR ".join(f"_v BETWEEN _edges[{2 * i}] AND _edges[{2 * i + 1}]" for i in brackets)
+    )
+    # a row between brackets is folded into the upper edge of the bracket before it
+    below = F.expr(
+        "CASE " + " ".join(f"WHEN _v > _edges[{2 * i + 1}] THEN _edges[{2 * i + 1}]" for i in reversed(brackets)) + " END"
+    )
     counted = (
         rows.select(
             "_g", "_n",
@@ -85,7 +86,7 @@ def exact_quantiles(
     order = Window.partitionBy("_g").orderBy(F.col("_v").asc_nulls_first(), "_gap")
     ranked = counted.withColumn("_end", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.col("_end") - F.col("_c")
-    wanted = F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob")
+    wanted = F.explode(F.lit(probs)).alias("prob")
     position = F.col("prob") * (F.col("_n") - 1)
     ranked = ranked.select("_g", "_n", "_v", "_gap", start.alias("_start"), "_end", wanted)
     low_hit = (F.floor(position) >= F.col("_start")) & (F.floor(position) < F.col("_end"))

@@ -13,6 +13,7 @@ from ..functions.scalars import one_row
 from .cumulative import running_totals
 
 BUCKETS = 10_000
+TOP_LIMIT = 100_000
 
 
 def _digest(key: str | Column, seed: int) -> Column:
@@ -59,5 +60,13 @@ def exact_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all, if fewer), the same on every run."""
-    return df.orderBy(hash_order(key, seed), key).limit(n)
+    """Exactly n rows (or all, if fewer), the same on every run.
+
+    A small sample is a top-n per task merged once. A large one would not fit the
+    merging task, so its rows are found by their rank in range-wise totals.
+    """
+    if n <= TOP_LIMIT:
+        return df.orderBy(hash_order(key, seed), key).limit(n)
+    marked = df.withColumn("_order", hash_order(key, seed)).withColumn("_one", F.lit(1))
+    ranked = running_totals(marked, "_order", ["_one"], descending=False, ties=[key])
+    return ranked.where(F.col("cum__one") <= n).drop("_order", "_one", "cum__one")

@@ -1,8 +1,9 @@
 """What-if analysis: move one feature at a time and score again.
 
-All requests, features and steps are scored as one table. A request expands to
-four rows per feature (a fixed factor, done by ``explode`` without a join), and
-the impacts are reduced per (request, feature) with map-side combine.
+All requests, features and steps are scored as one table. With a column formula
+the four steps of a feature are an array on the request's own row, so nothing is
+shuffled. With a model a request expands to four rows per feature (a fixed
+factor, by ``explode``), and the impacts are reduced per request and feature.
 """
 
 from __future__ import annotations
@@ -19,11 +20,8 @@ STEPS = [(-2.0, "-2σ"), (-1.0, "-1σ"), (1.0, "+1σ"), (2.0, "+2σ")]
 Scorer = Callable[[Mapping[str, Column]], Column]
 
 
-def variations(requests: DataFrame, features: Sequence[str], stats_from: DataFrame | None = None) -> DataFrame:
-    """Rows ``(*request, feature, variation, value)``, clipped to the observed range.
-
-    Spread and range come from ``stats_from`` (default: the requests themselves).
-    """
+def _with_stats(requests: DataFrame, features: Sequence[str], stats_from: DataFrame | None) -> DataFrame:
+    """Put spread and range of the features next to the rows."""
     source = requests if stats_from is None else stats_from
     stats = one_row(
         source.agg(
@@ -32,18 +30,28 @@ def variations(requests: DataFrame, features: Sequence[str], stats_from: DataFra
             *[F.max(f).alias(f"{f}__max") for f in features],
         )
     )
+    return requests.withColumn("_stats", stats)
+
+
+def _moved(feature: str, step: float) -> Column:
+    """The feature moved by some standard deviations, kept inside the observed range."""
     s = F.col("_stats")
-    options = []
-    for f in features:
-        for step, name in STEPS:
-            moved = F.col(f).cast("double") + F.lit(step) * s[f"{f}__std"]
-            bound = s[f"{f}__min" if step < 0 else f"{f}__max"].cast("double")
-            value = F.greatest(moved, bound) if step < 0 else F.least(moved, bound)
-            options.append(
-                F.struct(F.lit(f).alias("feature"), F.lit(name).alias("variation"), value.alias("value"))
-            )
-    expanded = requests.withColumn("_stats", stats).withColumn("_option", F.explode(F.array(*options)))
-    return expanded.select("*", "_option.*").drop("_stats", "_option")
+    moved = F.col(feature).cast("double") + F.lit(step) * s[f"{feature}__std"]
+    bound = s[f"{feature}__min" if step < 0 else f"{feature}__max"].cast("double")
+    return F.greatest(moved, bound) if step < 0 else F.least(moved, bound)
+
+
+def variations(requests: DataFrame, features: Sequence[str], stats_from: DataFrame | None = None) -> DataFrame:
+    """Rows ``(*request, feature, variation, value)``.
+
+    Spread and range come from ``stats_from`` (default: the requests themselves).
+    """
+    options = [
+        F.struct(F.lit(f).alias("feature"), F.lit(name).alias("variation"), _moved(f, step).alias("value"))
+        for f in features
+        for step, name in STEPS
+    ]
+    return _with_stats(requests, features, stats_from).select(*requests.columns, F.inline(F.array(*options)))
 
 
 def varied_columns(features: Sequence[str]) -> dict[str, Column]:
@@ -61,10 +69,32 @@ def impacts(
     stats_from: DataFrame | None = None,
 ) -> DataFrame:
     """Largest, mean and spread of the change per request and feature, for a column formula."""
-    varied = variations(requests, features, stats_from)
-    original = scorer({f: F.col(f) for f in features})
-    changed = scorer(varied_columns(features))
-    return summarize(varied.select(key, "feature", F.abs(changed - original).alias("impact")), key)
+    own = {f: F.col(f).cast("double") for f in features}
+    original = scorer(own)
+    rows = _with_stats(requests, features, stats_from).select(
+        key,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(f).alias("feature"),
+                        F.array(
+                            *[F.abs(scorer({**own, f: _moved(f, step)}) - original) for step, _ in STEPS]
+                        ).alias("_i"),
+                    )
+                    for f in features
+                ]
+            )
+        ),
+    )
+    i = F.col("_i")
+    mean = sum((i[k] for k in range(1, len(STEPS))), i[0]) / len(STEPS)
+    return rows.select(
+        key, "feature",
+        F.array_max(i).alias("max_impact"),
+        mean.alias("avg_impact"),
+        (F.array_max(i) - F.array_min(i)).alias("sensitivity"),
+    )
 
 
 def model_impacts(

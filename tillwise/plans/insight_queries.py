@@ -25,7 +25,8 @@ def _campaigns(spark):
 
 def _clv_trends(period):
     return lambda spark, d: rounded(
-        insights.clv_trends(clv_customers(spark, d), period), clv_growth_rate=6, expected_clv_growth_rate=6
+        insights.clv_trends(clv_customers(spark, d), period),
+        total_revenue=1, clv_growth_rate=6, expected_clv_growth_rate=6,
     )
 
 
@@ -40,7 +41,7 @@ QUERIES = {
     "table_counts": lambda spark, d: readers.table_counts(
         {t: tables.load(spark, d, t) for t in TABLES}
     ),
-    "revenue_at_risk": lambda spark, d: rounded(insights.revenue_at_risk(scored_customers(spark, d)), 2),
+    "revenue_at_risk": lambda spark, d: rounded(insights.revenue_at_risk(scored_customers(spark, d)), 1, avg_churn_probability=4),
     "campaign_roi": lambda spark, d: rounded(
         insights.campaign_roi(scored_customers(spark, d), _campaigns(spark)), 2
     ),
@@ -63,12 +64,12 @@ QUERIES = {
     "clv_trends_quarterly": _clv_trends("quarterly"),
     "clv_trends_yearly": _clv_trends("yearly"),
     "clv_insights": lambda spark, d: rounded(insights.clv_insights(clv_customers(spark, d)), 2),
-    "geo_city": lambda spark, d: rounded(insights.geo_cities(_geo_base(spark, d))),
+    "geo_city": lambda spark, d: rounded(insights.geo_cities(_geo_base(spark, d)), total_revenue=1),
     "geo_state": lambda spark, d: rounded(insights.geo_states(insights.geo_cities(_geo_base(spark, d)))),
     "geo_kpis": lambda spark, d: rounded(insights.geo_kpis(insights.geo_cities(_geo_base(spark, d)))),
-    "geo_rollup": lambda spark, d: rounded(insights.geo_rollup(_geo_base(spark, d))).drop("level"),
+    "geo_rollup": lambda spark, d: rounded(insights.geo_rollup(_geo_base(spark, d)), total_revenue=1).drop("level"),
     "geo_top_cities": lambda spark, d: rounded(
-        insights.top_n(insights.geo_cities(_geo_base(spark, d)), "customers", 10, "city")
+        insights.top_n(insights.geo_cities(_geo_base(spark, d)), "customers", 10, "city"), total_revenue=1
     ),
     "geo_best_worst_states": lambda spark, d: rounded(
         insights.best_worst(insights.geo_states(insights.geo_cities(_geo_base(spark, d))), "churn_rate", "country", 3)
@@ -153,7 +154,7 @@ _GEO = """
   FROM city GROUP BY 1
 )"""
 _CITY_COLS = """city, country, customers, round(churn_rate, 4) AS churn_rate,
- round(total_revenue, 4) AS total_revenue, round(avg_revenue, 4) AS avg_revenue"""
+ round(total_revenue, 1) AS total_revenue, round(avg_revenue, 4) AS avg_revenue"""
 _STATE_COLS = """country, customers, round(churn_rate, 4) AS churn_rate,
  round(avg_city_revenue, 4) AS avg_city_revenue, round(weighted_churn_rate, 4) AS weighted_churn_rate,
  round(revenue_per_customer, 4) AS revenue_per_customer"""
@@ -171,7 +172,7 @@ t AS (
   FROM k JOIN cuts ON cuts.period = k.period GROUP BY 1
 ), l AS (SELECT *, lag(a) OVER (ORDER BY period) AS pa, lag(e) OVER (ORDER BY period) AS pe FROM t)
 SELECT period, round(a, 4) AS avg_clv, round(e, 4) AS avg_expected_clv, round(pr, 4) AS avg_churn_probability,
-       n AS customer_count, round(rev, 4) AS total_revenue, hv AS high_value_customers, ar AS at_risk_customers,
+       n AS customer_count, round(rev, 1) AS total_revenue, hv AS high_value_customers, ar AS at_risk_customers,
        round(CASE WHEN pa > 0 THEN (a - pa) / pa WHEN pa IS NOT NULL THEN 0.0::double END, 6) AS clv_growth_rate,
        round(CASE WHEN pe > 0 THEN (e - pe) / pe WHEN pe IS NOT NULL THEN 0.0::double END, 6)
          AS expected_clv_growth_rate
@@ -229,8 +230,8 @@ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""",
     ),
     "revenue_at_risk": with_(
         SCORED + _RISK,
-        "SELECT tier, customers, round(revenue, 2) AS revenue, round(revenue_at_risk, 2) AS revenue_at_risk, "
-        "round(avg_churn_probability, 2) AS avg_churn_probability FROM per_tier",
+        "SELECT tier, customers, round(revenue, 1) AS revenue, round(revenue_at_risk, 1) AS revenue_at_risk, "
+        "round(avg_churn_probability, 4) AS avg_churn_probability FROM per_tier",
     ),
     "campaign_roi": with_(
         SCORED + _RISK,
@@ -300,7 +301,7 @@ FROM clv""",
     "geo_rollup": with_(
         C360,
         "SELECT customer_state AS country, customer_city AS city, count(*) AS customers, "
-        "round(avg(churned), 4) AS churn_rate, round(sum(total_sales), 4) AS total_revenue "
+        "round(avg(churned), 4) AS churn_rate, round(sum(total_sales), 1) AS total_revenue "
         "FROM c360 GROUP BY ROLLUP (customer_state, customer_city)",
     ),
     "geo_top_cities": with_(C360 + _GEO, f"SELECT {_CITY_COLS} FROM city ORDER BY customers DESC, city LIMIT 10"),

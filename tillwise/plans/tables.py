@@ -11,19 +11,31 @@ their measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.numeric import flag
 from ..operators import features
 from ..operators.encoders import level_by_threshold
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A source table. Its schema is read from the files once, later plans reuse it."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def retail_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item with its order, product, store and customer place."""
+    """One row per line item with its order, product, store and customer place.
+
+    Orders meet their customers before they meet the lines, so the lines, by far
+    the largest input, are not shuffled once more for the customer key. Hot
+    product or supplier keys are split by the adaptive skew join.
+    """
     line = load(spark, sf_dir, "lineitem")
     orders = load(spark, sf_dir, "orders")
     part = load(spark, sf_dir, "part")
@@ -33,12 +45,11 @@ def retail_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select("s_suppkey", F.col("n_name").alias("store_city"))
     )
-    buyer = customer_place(spark, sf_dir)
+    placed = orders.join(customer_place(spark, sf_dir), F.col("o_custkey") == F.col("customer_id"))
     return (
-        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        line.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(store, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(buyer, F.col("o_custkey") == F.col("customer_id"))
         .select(
             "customer_id",
             F.col("l_orderkey").alias("order_id"),
