@@ -21,7 +21,7 @@ def training_table(df: DataFrame, features: Sequence[str], label: str, keep: Seq
     return df.where(F.col(label).isNotNull()).select(*keep, *columns, F.col(label).cast("double").alias("label"))
 
 
-def vector_stages(features: Sequence[str], standardize: bool = True) -> list:
+def vector_stages(features: Sequence[str], standardize: bool = True, center: bool = True) -> list:
     """Mean imputation, assembly and, on request, standardisation; the result is ``features``."""
     filled = [f"{c}__filled" for c in features]
     stages = [
@@ -29,7 +29,7 @@ def vector_stages(features: Sequence[str], standardize: bool = True) -> list:
         VectorAssembler(inputCols=filled, outputCol="raw_features" if standardize else "features"),
     ]
     if standardize:
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
+        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=center, withStd=True))
     return stages
 
 

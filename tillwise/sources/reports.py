@@ -40,8 +40,9 @@ def read_reports(spark: SparkSession, path: str, schema: str = VALIDATION_SCHEMA
         .json(path)
         .select("*", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("source"))
     )
-    # a file cut short still yields its leading fields, so the marker decides
-    usable = read.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # a file cut short still yields its leading fields, so the marker decides; every
+    # report has a time, and Spark wants a data column read next to the marker
+    usable = read.where(F.col("_corrupt_record").isNull() & F.col("timestamp").isNotNull()).drop("_corrupt_record")
     return usable.orderBy(F.col("modified").desc(), F.col("source").desc()).limit(newest)
 
 
