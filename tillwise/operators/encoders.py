@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.numeric import as_col, flag
+from ..session import materialize
 
 # Categorical columns of the training table.
 TRAINING_CATEGORICALS = [
@@ -127,10 +128,11 @@ def ordinal_encode(c: str | Column, order: Sequence[str]) -> Column:
 def frequency_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     """Share of rows holding each row's level.
 
-    Levels are counted with map-side combine and joined back, so a level that
+    Levels are counted with map-side combine and written, so that their true size
+    decides how they are joined back: few levels are broadcast, and a level that
     holds most rows never gathers its rows in one task.
     """
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
+    counts = df.groupBy(F.col(column).alias("_level")).agg(F.count("*").alias("_n"))
     n = df.agg(F.count("*").alias("n")).scalar()
-    shares = counts.select(F.col(column).alias("_level"), (F.col("_n") / n).alias(out))
+    shares = materialize(counts.select("_level", (F.col("_n") / n).alias(out)), "levels")
     return df.join(shares, F.col(column).eqNullSafe(F.col("_level")), "left").drop("_level")

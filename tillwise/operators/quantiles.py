@@ -2,10 +2,11 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one task. Here
 pass one takes a quantile sketch (bounded memory, map-side merge) and brackets
-each wanted rank; pass two counts rows, keeping a value apart only inside a
-bracket and folding everything between brackets into one marker. What is sorted
-per group is the bracket content, about ``8 / accuracy`` of the rows, while
-repeated values are already collapsed by the partial aggregation.
+each wanted rank. Pass two counts rows per value inside the brackets and per gap
+between them; repeated values collapse in the partial aggregation. A bracket is
+cut into narrow strips, the counts of strips and gaps tell which strip holds the
+rank, and only the rows of that strip are sorted: about n x 8 / accuracy / 64
+values, whatever the skew of values or groups.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..functions.scalars import one_row
 from ..session import materialize
 
 ACCURACY = 20_000
+STRIPS = 64
 
 
 def with_group_stats(rows: DataFrame, *stats: Column, grouped: bool) -> DataFrame:
@@ -64,46 +66,64 @@ def exact_quantiles(
         F.percentile_approx("_v", F.lit(edges), F.lit(accuracy)).alias("_edges"),
         grouped=bool(by),
     )
-    # below ``accuracy`` rows a bracket may miss a neighbouring rank, and the whole
-    # group is no more than a bracket of a large one, so all of it is kept apart
-    brackets = range(len(probs))
-    inside = F.expr(
-        f"_n <= {accuracy} OR " + " OR ".join(f"_v BETWEEN _edges[{2 * i}] AND _edges[{2 * i + 1}]" for i in brackets)
-    )
-    # a row between brackets is folded into the upper edge of the bracket before it
-    below = F.expr(
-        "CASE " + " ".join(f"WHEN _v > _edges[{2 * i + 1}] THEN _edges[{2 * i + 1}]" for i in reversed(brackets)) + " END"
-    )
+    placed = rows.select("_g", "_n", "_v", F.expr(_strip_sql(len(probs), accuracy)).alias("_b"))
+    is_gap = (F.col("_n") > accuracy) & (F.floor(F.col("_b") / STRIPS) % 2 == 0)
     counted = (
-        rows.select(
-            "_g", "_n",
-            F.when(inside, F.col("_v")).otherwise(below).alias("_v"),
-            (~inside).alias("_gap"),
-        )
-        .groupBy("_g", "_n", "_v", "_gap")
+        placed.select("_g", "_n", "_b", F.when(~is_gap, F.col("_v")).alias("_v"))
+        .groupBy("_g", "_n", "_b", "_v")
         .agg(F.count("*").alias("_c"))
     )
-    order = Window.partitionBy("_g").orderBy(F.col("_v").asc_nulls_first(), "_gap")
-    ranked = counted.withColumn("_end", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.col("_end") - F.col("_c")
-    wanted = F.explode(F.lit(probs)).alias("prob")
+    # strips and gaps of a group: a number of rows fixed by the probabilities
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (
+        counted.groupBy("_g", "_n", "_b")
+        .agg(F.sum("_c").alias("_size"))
+        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .withColumn("prob", F.explode(F.lit(probs)))
+    )
     position = F.col("prob") * (F.col("_n") - 1)
-    ranked = ranked.select("_g", "_n", "_v", "_gap", start.alias("_start"), "_end", wanted)
-    low_hit = (F.floor(position) >= F.col("_start")) & (F.floor(position) < F.col("_end"))
-    high_hit = (F.ceil(position) >= F.col("_start")) & (F.ceil(position) < F.col("_end"))
+
+    def inside(start: Column, end: Column) -> tuple[Column, Column]:
+        """Whether the lower and the upper neighbour of the position lie in [start, end)."""
+        return tuple((r(position) >= start) & (r(position) < end) for r in (F.floor, F.ceil))
+
+    low_hit, high_hit = inside(F.col("_before"), F.col("_before") + F.col("_size"))
+    hits = sizes.where(low_hit | high_hit).select("_g", "_b", "prob", "_before")
+    order = Window.partitionBy("_g", "_b", "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(hits, ["_g", "_b"]).withColumn("_end", F.col("_before") + F.sum("_c").over(order))
+    low_row, high_row = inside(F.col("_end") - F.col("_c"), F.col("_end"))
     exact = F.when(
-        F.col("_gap"), F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double")
+        is_gap, F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double")
     ).otherwise(F.col("_v"))
     found = (
-        ranked.where(low_hit | high_hit)
+        ranked.where(low_row | high_row)
         .groupBy("_g", "_n", "prob")
-        .agg(F.max(F.when(low_hit, exact)).alias("_lo"), F.max(F.when(high_hit, exact)).alias("_hi"))
+        .agg(F.max(F.when(low_row, exact)).alias("_lo"), F.max(F.when(high_row, exact)).alias("_hi"))
     )
     weight = position - F.floor(position)
     result = (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * weight).alias("quantile")
     return found.select(*[F.col("_g")[c].alias(c) for c in by], "prob", result)
 
 
+def _strip_sql(brackets: int, accuracy: int) -> str:
+    """Number of the strip or gap a value lies in, growing with the value.
+
+    Bracket i spans edges 2i and 2i+1 and owns the numbers from (2i + 1) x STRIPS;
+    the gap after it starts at (2i + 2) x STRIPS. Up to ``accuracy`` rows a bracket
+    may miss a neighbouring rank, and the group is no larger than a bracket of a
+    large one, so all of it forms one strip.
+    """
+    branches = []
+    for i in reversed(range(brackets)):
+        low, high = f"_edges[{2 * i}]", f"_edges[{2 * i + 1}]"
+        share = f"coalesce(try_divide(_v - {low}, {high} - {low}), 0D)"
+        strip = f"least({STRIPS - 1}, cast(floor({share} * {STRIPS}) AS int))"
+        branches.append(
+            f"WHEN _v >= {low} THEN if(_v <= {high}, {(2 * i + 1) * STRIPS} + {strip}, {(2 * i + 2) * STRIPS})"
+        )
+    return f"CASE WHEN _n <= {accuracy} THEN {STRIPS} {' '.join(branches)} ELSE 0 END"
+
+
 def quantile_value(df: DataFrame, value: str | Column, prob: float) -> Column:
     """One exact quantile of a whole table as a scalar subquery."""
     return exact_quantiles(df, as_col(value), [prob]).select("quantile").scalar()

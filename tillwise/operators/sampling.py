@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import as_col
 from ..functions.scalars import one_row
+from ..session import materialize
 from .cumulative import running_totals
 
 BUCKETS = 10_000
@@ -49,7 +50,8 @@ def exact_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42
     marked = df.withColumn("_order", hash_order(key, seed)).withColumn("_one", F.lit(1))
     ranked = running_totals(marked, "_order", ["_one"], by=by, descending=False, ties=[key])
     if by:
-        sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+        # written, so that the true size of the class table decides the join
+        sizes = materialize(df.groupBy(*by).agg(F.count("*").alias("_n")), "class-sizes")
         ranked = ranked.join(sizes, list(by))
         n = F.col("_n")
     else:
