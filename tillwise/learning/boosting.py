@@ -67,27 +67,30 @@ def quantile_thresholds(df: DataFrame, features: Sequence[str]) -> dict[str, lis
     return {f: sorted({r["quantile"] for r in rows if r["feature"] == f}) for f in features}
 
 
-def bin_of(value: Column, thresholds: Sequence[float]) -> Column:
-    """How many thresholds a value reaches."""
-    return sum((F.when(value >= t, 1).otherwise(0) for t in thresholds), F.lit(0))
+def bin_of(column: str, thresholds: Sequence[float]) -> Column:
+    """How many thresholds a column reaches."""
+    return F.expr(" + ".join([f"if(`{column}` >= {t!r}D, 1, 0)" for t in thresholds] or ["0"]))
 
 
-def start_weight(label: str, positives: int, negatives: int) -> Column:
-    """Half the total weight for each class."""
+def start_weight(label: str, positives: int, negatives: int) -> str:
+    """Half the total weight for each class, as SQL."""
     pos = 0.5 / positives if positives else 0.0
     neg = 0.5 / negatives if negatives else 0.0
-    return F.when(F.col(label) == 1, F.lit(pos)).otherwise(F.lit(neg))
+    return f"if(`{label}` = 1, {pos!r}D, {neg!r}D)"
 
 
-def bin_weights(binned: DataFrame, features: Sequence[str], weight: Column, sign: Column) -> DataFrame:
-    """``(feature, bin, plus, minus)``: weight of both classes per bin of every feature."""
-    options = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"bin__{f}").alias("bin")) for f in features])
+def bin_weights(binned: DataFrame, features: Sequence[str], weight: str, sign: str) -> DataFrame:
+    """``(feature, bin, plus, minus)``: weight of both classes per bin of every feature.
+
+    ``weight`` and ``sign`` are SQL expressions.
+    """
+    options = ", ".join(f"struct('{f}' AS feature, `bin__{f}` AS bin)" for f in features)
     return (
-        binned.select(weight.alias("_w"), sign.alias("_s"), F.inline(options))
+        binned.selectExpr(f"{weight} AS _w", f"{sign} AS _s", f"inline(array({options}))")
         .groupBy("feature", "bin")
         .agg(
-            F.sum(F.when(F.col("_s") == 1, F.col("_w")).otherwise(0.0)).alias("plus"),
-            F.sum(F.when(F.col("_s") == -1, F.col("_w")).otherwise(0.0)).alias("minus"),
+            F.expr("sum(if(_s = 1, _w, 0D)) AS plus"),
+            F.expr("sum(if(_s = -1, _w, 0D)) AS minus"),
         )
     )
 
@@ -150,11 +153,10 @@ def first_round(df: DataFrame, features: Sequence[str], label: str) -> DataFrame
     thresholds = quantile_thresholds(df, features)
     n = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
     binned = df.select(
-        label, *[bin_of(clean(f), thresholds[f]).alias(f"bin__{f}") for f in features]
-    )
-    return stump_errors(
-        bin_weights(binned, features, start_weight(label, n[0], n[1]), label_sign(label)), thresholds
+        label, *[bin_of(f, thresholds[f]).alias(f"bin__{f}") for f in features]
     )
+    weights = bin_weights(binned, features, start_weight(label, n[0], n[1]), f"if(`{label}` = 1, 1, -1)")
+    return stump_errors(weights, thresholds)
 
 
 def fit_stumps(
@@ -178,7 +180,7 @@ def fit_stumps(
     sign = label_sign(label)
     state = materialize(
         train.select(
-            *[bin_of(F.col(f), thresholds[f]).cast("tinyint").alias(f"bin__{f}") for f in features],
+            *[bin_of(f, thresholds[f]).cast("tinyint").alias(f"bin__{f}") for f in features],
             sign.cast("tinyint").alias("sign"),
             F.when(sign == 1, F.lit(math.log(0.5 / max(n[0], 1)))).otherwise(math.log(0.5 / max(n[1], 1))).alias("logw"),
         ),
@@ -187,8 +189,7 @@ def fit_stumps(
     stumps: list[Stump] = []
     recent: list[Stump] = []
     while len(stumps) < rounds:
-        weight = F.exp(_log_weight(recent, thresholds))
-        rows = bin_weights(state, features, weight, F.col("sign")).collect()
+        rows = bin_weights(state, features, f"exp({_log_weight(recent, thresholds)})", "sign").collect()
         best = pick_stump(rows, features, thresholds)
         if best is None:
             break
@@ -198,7 +199,7 @@ def fit_stumps(
         stumps.append(stump)
         recent.append(stump)
         if len(recent) == fold_every and len(stumps) < rounds:
-            state = materialize(state.withColumn("logw", _log_weight(recent, thresholds)), "stumps")
+            state = materialize(state.withColumn("logw", F.expr(_log_weight(recent, thresholds))), "stumps")
             recent = []
     model = StumpModel(means, stumps)
     if stumps:
@@ -208,11 +209,11 @@ def fit_stumps(
     return model
 
 
-def _log_weight(recent: Sequence[Stump], thresholds: dict[str, list[float]]) -> Column:
-    """Log weight after the recent stumps; it needs no normalisation to find the next one."""
-    votes = []
-    for s in recent:
-        reached = F.col(f"bin__{s.feature}") > thresholds[s.feature].index(s.threshold)
-        up = F.lit(float(s.polarity))
-        votes.append(F.lit(s.alpha) * F.when(reached, up).otherwise(-up))
-    return F.col("logw") - F.col("sign") * total(votes)
+def _log_weight(recent: Sequence[Stump], thresholds: dict[str, list[float]]) -> str:
+    """Log weight after the recent stumps, as SQL; finding the next one needs no normalisation."""
+    votes = [
+        f"if(`bin__{s.feature}` > {thresholds[s.feature].index(s.threshold)}, "
+        f"{s.polarity * s.alpha!r}D, {-s.polarity * s.alpha!r}D)"
+        for s in recent
+    ]
+    return f"logw - sign * ({' + '.join(votes)})" if votes else "logw"

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import as_col, pearson, ratio_or_zero
-from ..functions.scalars import one_row
 from .quantiles import exact_quantiles, with_group_stats
 
 # The 19 cut-offs tried when a threshold is tuned.

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .stats import moments, null_profile, value_counts
 
@@ -147,6 +147,19 @@ def drift(current: DataFrame, baseline: DataFrame, limit: float = DRIFT_LIMIT) -
     )
 
 
+def drift_between(
+    df: DataFrame, columns: Sequence[str], baseline: Column, current: Column, limit: float = DRIFT_LIMIT
+) -> DataFrame:
+    """Drift between two row sets of one table, both profiled in a single pass."""
+    sides = {"base": baseline, "now": current}
+    marked = df.where(baseline | current).select(
+        [F.when(test, F.col(c)).alias(f"{side}:{c}") for side, test in sides.items() for c in columns]
+    )
+    profile = moments(marked, marked.columns).withColumn("side", F.split_part("column", F.lit(":"), F.lit(1)))
+    named = profile.withColumn("column", F.split_part("column", F.lit(":"), F.lit(2)))
+    return drift(named.where("side = 'now'"), named.where("side = 'base'"), limit)
+
+
 def drift_against(df: DataFrame, columns: Sequence[str], baseline_path: str, limit: float = DRIFT_LIMIT) -> DataFrame:
     """Drift against a stored profile; the first run stores it and reports none."""
     from pyspark.errors import AnalysisException

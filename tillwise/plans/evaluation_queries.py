@@ -48,7 +48,7 @@ def class_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 def sales_predictions(spark: SparkSession, d: str) -> DataFrame:
     """(customer_id, label, model, prediction) for three formula regressors."""
-    base = tables.customer_360(spark, d).withColumnRenamed("total_sales", "label")
+    base = tables.customers(spark, d).withColumnRenamed("total_sales", "label")
     return _stack(
         base,
         ["customer_id", "label"],
@@ -143,7 +143,7 @@ QUERIES = {
         reports.metric_rows(_class_metrics(spark, d), ["accuracy", "precision", "recall", "f1_score"]), 6
     ),
     "test_table_check": lambda spark, d: rounded(
-        evaluation.validate_test_table(tables.customer_360(spark, d).select("total_sales", "churned")), 4
+        evaluation.validate_test_table(tables.customers(spark, d).select("total_sales", "churned")), 4
     ),
 }
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import nonzero
 from ..operators import encoders, features, projection, sampling, scaling
-from ..session import materialize
 from . import tables
 from .oracle_base import C360, RETAIL_TX, with_
 from .shared import customers, rounded
@@ -19,12 +18,11 @@ _N = ", ".join(NUMERIC)
 
 
 def _one_hot(spark, d):
-    source = tables.customer_360(spark, d).select("customer_id", "segment", "purchase_frequency", "app_usage_frequency")
-    # nulls come from the data: customers without any web visit have no known app usage
+    source = tables.customers(spark, d).select("customer_id", "segment", "purchase_frequency", "app_usage_frequency")
+    # one level counts as unknown, so that nulls come from the data
     source = source.withColumn("segment", F.nullif(F.col("segment"), F.lit("BUILDING")))
-    base = materialize(source, "categories")
     cats = ["segment", "purchase_frequency", "app_usage_frequency"]
-    return encoders.one_hot(base, encoders.fit_levels(base, cats))
+    return encoders.one_hot(source, encoders.fit_levels(source, cats))
 
 
 def _dummy_names(spark, d):
@@ -34,11 +32,11 @@ def _dummy_names(spark, d):
 
 
 def _c(*columns):
-    return lambda spark, d: tables.customer_360(spark, d).select("customer_id", *columns)
+    return lambda spark, d: tables.customers(spark, d).select("customer_id", *columns)
 
 
 def _interaction(spark, d):
-    base = tables.customer_360(spark, d).where("quantity > 0").select(
+    base = tables.customers(spark, d).where("quantity > 0").select(
         "customer_id", "quantity", "unit_price", "discount_applied", "total_sales",
         F.col("gross_sales").alias("total_spent"),
     )
@@ -56,7 +54,7 @@ def _interaction(spark, d):
 
 
 def _engagement_train(spark, d):
-    base = tables.customer_360(spark, d)
+    base = tables.customers(spark, d)
     encoded = base.select(
         "customer_id", "email_subscriptions",
         *[
@@ -73,7 +71,7 @@ def _engagement_train(spark, d):
 
 
 def _engagement_serve(spark, d):
-    base = tables.customer_360(spark, d).withColumn("is_active_member", encoders.binary_map("loyalty_program"))
+    base = tables.customers(spark, d).withColumn("is_active_member", encoders.binary_map("loyalty_program"))
     fallback = base.select("website_visits", "is_active_member")
     return base.select(
         "customer_id",
@@ -83,7 +81,7 @@ def _engagement_serve(spark, d):
 
 
 def _online(spark, d):
-    base = tables.customer_360(spark, d)
+    base = tables.customers(spark, d)
     no_store = base.drop("in_store_purchases")
     purchases_only = base.drop("in_store_purchases", "online_purchases")
     return rounded(
@@ -99,13 +97,13 @@ def _online(spark, d):
 
 
 def _value_per_txn(spark, d):
-    base = tables.customer_360(spark, d).withColumnRenamed("total_sales", "total_spent")
+    base = tables.customers(spark, d).withColumnRenamed("total_sales", "total_spent")
     return rounded(base.select("customer_id", features.value_per_transaction(base).alias("value_per_transaction")))
 
 
 def _requests(spark, d):
     """Scoring requests shaped like the input form, one per customer."""
-    return tables.customer_360(spark, d).select(
+    return tables.customers(spark, d).select(
         "customer_id",
         F.col("num_purchases"), F.col("avg_purchase_value").alias("avg_purchase"),
         encoders.binary_map("loyalty_program").alias("is_active_member"),
@@ -116,7 +114,7 @@ def _requests(spark, d):
 
 
 def _sign(spark, d):
-    return tables.customer_360(spark, d).select("customer_id", scaling.label_sign("churned").alias("sign"))
+    return tables.customers(spark, d).select("customer_id", scaling.label_sign("churned").alias("sign"))
 
 
 def _sample_base(spark, d):
@@ -124,7 +122,7 @@ def _sample_base(spark, d):
 
 
 def _stratified(spark, d):
-    base = materialize(tables.customer_360(spark, d).select("customer_id", "churned"), "labels")
+    base = tables.customers(spark, d).select("customer_id", "churned")
     return sampling.exact_split(base, "customer_id", by=("churned",))
 
 
@@ -166,7 +164,7 @@ QUERIES = {
             )
         )
     )(_c("quantity", "unit_price", "discount_applied", "days_since_last_purchase", "purchase_frequency")(spark, d)),
-    "buckets": lambda spark, d: tables.customer_360(spark, d)
+    "buckets": lambda spark, d: tables.customers(spark, d)
     .select(
         encoders.income_bracket(F.col("acct_balance") * 10).alias("income_bracket"),
         encoders.purchase_frequency("num_purchases").alias("purchase_frequency"),
@@ -229,14 +227,14 @@ QUERIES = {
         )
     ),
     "class_weights": lambda spark, d: rounded(
-        scaling.class_weights(tables.customer_360(spark, d).select("churned"), "churned"), 6
+        scaling.class_weights(tables.customers(spark, d).select("churned"), "churned"), 6
     ),
     "best_feature": lambda spark, d: rounded(
-        scaling.best_feature(tables.customer_360(spark, d).select(*NUMERIC, "total_sales"), NUMERIC, "total_sales"), 6
+        scaling.best_feature(tables.customers(spark, d).select(*NUMERIC, "total_sales"), NUMERIC, "total_sales"), 6
     ),
     "frequency_encode": lambda spark, d: rounded(
         encoders.frequency_encode(
-            materialize(tables.load(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "orders"),
+            tables.load(spark, d, "orders").select("o_orderkey", "o_orderpriority"),
             "o_orderpriority", "priority_share",
         ).withColumn(
             "priority_rank",
@@ -245,7 +243,7 @@ QUERIES = {
         6,
     ),
     "align_features": lambda spark, d: rounded(
-        projection.align_features(tables.customer_360(spark, d), ALIGNED, keep=["customer_id"])
+        projection.align_features(tables.customers(spark, d), ALIGNED, keep=["customer_id"])
     ),
     "coerce_numeric": lambda spark, d: tables.load(spark, d, "part").select(
         "p_partkey",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import insights, whatif
-from ..session import materialize
 from ..sources import readers, writers
 from . import tables
 from .oracle_base import AS_OF, C360, CLV, RETAIL_TX, SCORED, with_
@@ -31,7 +30,7 @@ def _clv_trends(period):
 
 
 def _geo_base(spark, d):
-    return tables.customer_360(spark, d).select("customer_city", "customer_state", "churned", "total_sales")
+    return tables.customers(spark, d).select("customer_city", "customer_state", "churned", "total_sales")
 
 
 QUERIES = {
@@ -45,12 +44,12 @@ QUERIES = {
     "campaign_roi": lambda spark, d: rounded(
         insights.campaign_roi(scored_customers(spark, d), _campaigns(spark)), 2
     ),
-    "customer_segments": lambda spark, d: rounded(insights.customer_segments(materialize(scored_customers(spark, d), "scored")), 2),
+    "customer_segments": lambda spark, d: rounded(insights.customer_segments(scored_customers(spark, d)), 2),
     "segment_totals": lambda spark, d: rounded(
-        insights.segment_totals(tables.customer_360(spark, d).select("total_sales")), 2
+        insights.segment_totals(tables.customers(spark, d).select("total_sales")), 2
     ),
     "segments_export": lambda spark, d: rounded(
-        writers.segment_export_rows(materialize(scored_customers(spark, d), "scored")), 2
+        writers.segment_export_rows(scored_customers(spark, d)), 2
     ).drop("export_date"),
     "clv_estimate": lambda spark, d: rounded(
         insights.clv_estimate(
@@ -78,7 +77,7 @@ QUERIES = {
     .groupBy(insights.risk_label("churn_probability").alias("risk"))
     .agg(F.count("*").alias("customers")),
     "revenue_range": lambda spark, d: rounded(
-        tables.customer_360(spark, d).select(
+        tables.customers(spark, d).select(
             "customer_id",
             insights.revenue_range("total_sales")[0].alias("lower_bound"),
             insights.revenue_range("total_sales")[1].alias("upper_bound"),

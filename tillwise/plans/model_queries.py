@@ -12,7 +12,7 @@ from ..learning.prep import training_table
 from ..learning.registry import FAMILIES, families
 from ..operators import whatif
 from ..operators.sampling import split
-from ..session import materialize, shared_folder
+from ..session import shared_folder
 from ..sources import model_store
 from . import tables
 from .oracle_base import C360, with_
@@ -28,8 +28,8 @@ SQL_FEATURES = ["quantity", "unit_price", "num_purchases", "total_transactions",
 
 def train_test(spark: SparkSession, d: str, task: str) -> tuple[DataFrame, DataFrame]:
     label = "churned" if task == "classification" else "total_sales"
-    table = training_table(tables.customer_360(spark, d), FEATURES, label, keep=["customer_id"])
-    return split(materialize(table, "training"), "customer_id", 0.2)
+    table = training_table(tables.customers(spark, d), FEATURES, label, keep=["customer_id"])
+    return split(table, "customer_id", 0.2)
 
 
 def _score(name: str):
@@ -70,13 +70,13 @@ def _saved(spark, d):
 
 
 def _attributions(spark, d):
-    table = materialize(tables.customer_360(spark, d).select("customer_id", *SQL_FEATURES, "total_sales"), "linear")
+    table = tables.customers(spark, d).select("customer_id", *SQL_FEATURES, "total_sales")
     model = descent.fit_multiple(table, SQL_FEATURES, "total_sales")
     return explain.linear_attributions(table, dict(zip(model.features, model.weights)), ["customer_id"])
 
 
 def _loss(spark, d):
-    table = materialize(tables.customer_360(spark, d).select(*SQL_FEATURES, "total_sales"), "linear")
+    table = tables.customers(spark, d).select(*SQL_FEATURES, "total_sales")
     return explain.loss_history(spark, descent.fit_multiple(table, SQL_FEATURES, "total_sales"))
 
 
@@ -99,7 +99,7 @@ def _what_if_model(spark, d):
 
 
 def _linear_base(spark, d):
-    return materialize(tables.customer_360(spark, d).select(*SQL_FEATURES, "total_sales", "churned"), "linear")
+    return tables.customers(spark, d).select(*SQL_FEATURES, "total_sales", "churned")
 
 
 def _least_squares(spark, d):

@@ -27,21 +27,15 @@ def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """``customer_360`` written once, cut to the columns a multi-pass query needs."""
-    table = tables.customer_360(spark, sf_dir)
-    return materialize(table.select(*columns) if columns else table, "customers")
+    """The stored customer table, cut to the columns a query needs."""
+    table = tables.customers(spark, sf_dir)
+    return table.select(*columns) if columns else table
 
 
 def scored_customers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Customers with the rule-based churn probability.
-
-    The customer table is stored first: the score needs global means next to the
-    rows, and a second scan of stored customers is far cheaper than a second
-    join of the fact tables.
-    """
+    """Stored customers with the rule-based churn probability."""
     needed = {"customer_id", "total_sales", "days_since_last_purchase", *columns}
-    base = customers(spark, sf_dir, *sorted(needed))
-    return insights.rule_scored(base)
+    return insights.rule_scored(customers(spark, sf_dir, *sorted(needed)))
 
 
 def clv_customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from ..operators import correlation, quality, stats
 from ..operators.quality import RangeRule
@@ -30,7 +28,7 @@ SPLIT_DATE = "1998-01-01"
 
 def _with_nulls(spark, d):
     """Customers where zero activity counts as unknown, so nulls come from the data."""
-    base = tables.customer_360(spark, d)
+    base = tables.customers(spark, d)
     return base.select(
         "customer_id", "segment",
         F.nullif(F.col("website_visits"), F.lit(0)).alias("website_visits"),
@@ -40,7 +38,7 @@ def _with_nulls(spark, d):
 
 
 def _corr_base(spark, d):
-    return tables.customer_360(spark, d).select(*CORRELATED, "total_sales", "churned")
+    return tables.customers(spark, d).select(*CORRELATED, "total_sales", "churned")
 
 
 def _stored(spark, d, *columns):
@@ -50,11 +48,12 @@ def _stored(spark, d, *columns):
 def _drift(spark, d):
     tx = tables.retail_tx(spark, d).select("quantity", "unit_price", "discount_applied", "total_sales", "transaction_date")
     cut = F.lit(SPLIT_DATE).cast("timestamp_ntz")
-    columns = ["quantity", "unit_price", "discount_applied", "total_sales"]
     # the baseline holds only bulk lines, so that some figures move and some do not
-    baseline = tx.where((F.col("transaction_date") < cut) & (F.col("quantity") > 25))
-    current = tx.where(F.col("transaction_date") >= cut)
-    return quality.drift(stats.moments(current, columns), stats.moments(baseline, columns))
+    return quality.drift_between(
+        tx, ["quantity", "unit_price", "discount_applied", "total_sales"],
+        baseline=(F.col("transaction_date") < cut) & (F.col("quantity") > 25),
+        current=F.col("transaction_date") >= cut,
+    )
 
 
 def _findings(spark, d):
@@ -80,7 +79,7 @@ QUERIES = {
     "null_profile": lambda spark, d: stats.null_profile(_with_nulls(spark, d)),
     "numeric_profile": lambda spark, d: rounded(stats.numeric_profile(_stored(spark, d, *PROFILED), PROFILED)),
     "numeric_info": lambda spark, d: rounded(
-        stats.numeric_info(tables.customer_360(spark, d).select(*PROFILED), PROFILED)
+        stats.numeric_info(tables.customers(spark, d).select(*PROFILED), PROFILED)
     ),
     "feature_info": lambda spark, d: stats.level_info(
         tables.retail_tx(spark, d), ["product_category", "product_brand", "store_city", "customer_state"]
@@ -89,7 +88,7 @@ QUERIES = {
         stats.value_counts(tables.retail_tx(spark, d).select("product_category"), "product_category"), 6
     ),
     "target_stats": lambda spark, d: rounded(
-        stats.target_stats(tables.customer_360(spark, d).select("total_sales"), "total_sales")
+        stats.target_stats(tables.customers(spark, d).select("total_sales"), "total_sales")
     ),
     "describe": lambda spark, d: rounded(stats.describe(_stored(spark, d, *PROFILED), PROFILED)),
     "quantiles": lambda spark, d: rounded(
@@ -136,14 +135,14 @@ QUERIES = {
     ),
     "segment_means": lambda spark, d: rounded(
         stats.group_means(
-            tables.customer_360(spark, d).withColumn("total_sales", F.col("total_sales") + 1e-7),
+            tables.customers(spark, d).withColumn("total_sales", F.col("total_sales") + 1e-7),
             "segment", ["total_sales", "num_purchases"],
         ), 2,
     ),
     "dq_nulls": lambda spark, d: quality.null_findings(_with_nulls(spark, d), ["customer_id", "acct_balance"]),
     "dq_missing_total": lambda spark, d: stats.total_missing(_with_nulls(spark, d)),
     "dq_ranges": lambda spark, d: quality.range_findings(
-        tables.customer_360(spark, d).select("acct_balance", "total_sales", "num_purchases"), RULES
+        tables.customers(spark, d).select("acct_balance", "total_sales", "num_purchases"), RULES
     ),
     "dq_drift": lambda spark, d: rounded(_drift(spark, d), 6, baseline=4, current=4),
     "dq_imbalance": lambda spark, d: rounded(

@@ -1,5 +1,9 @@
 """The two derived tables: ``retail_tx`` (line grain) and ``customer_360``.
 
+``customers`` is ``customer_360`` written once per session and source folder, the
+way a feature table is: the facts are joined and reduced one time, and every
+customer query after that reads the columns it needs from Parquet.
+
 Shape of the plan at scale. ``customer_360`` never joins raw lines to
 customers: lines are first reduced per order with map-side combine (so a hot
 order collapses before the shuffle), the reduced rows meet ``orders`` on the
@@ -11,11 +15,15 @@ their measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+import os
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.numeric import flag
 from ..operators import features
 from ..operators.encoders import level_by_threshold
+from ..session import materialize
 
 
 _schemas: dict[str, T.StructType] = {}
@@ -184,6 +192,26 @@ def customer_360(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def customers(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The stored customer table; ``refresh`` rebuilds it after the sources changed.
+
+    A table that is no longer in the shared folder is built again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if not refresh and key in _stored:
+        try:
+            return spark.read.parquet(_stored[key])
+        except AnalysisException as problem:
+            if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    table = materialize(customer_360(spark, sf_dir), "customers")
+    _stored[key] = os.path.dirname(table.inputFiles()[0])
+    return table
+
+
 def rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency, frequency and monetary value per customer with orders."""
     as_of = reference_date(spark, sf_dir)
