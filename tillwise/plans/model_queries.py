@@ -80,6 +80,22 @@ def _loss(spark, d):
     return explain.loss_history(spark, descent.fit_multiple(table, SQL_FEATURES, "total_sales"))
 
 
+def _simple(spark, d):
+    return descent.fit_simple(_linear_base(spark, d), SQL_FEATURES, "total_sales")
+
+
+def _simple_attributions(spark, d):
+    model = _simple(spark, d)
+    base = tables.customers(spark, d).select("customer_id", *SQL_FEATURES)
+    return explain.linear_attributions(base, dict(zip(model.features, model.weights)), ["customer_id"])
+
+
+def _simple_results(spark, d):
+    """Metrics of the one-feature descent model on all customers."""
+    scored = _simple(spark, d).transform(_linear_base(spark, d)).withColumn("model", F.lit("linear"))
+    return evaluate.regression_results(scored.withColumnRenamed("total_sales", "label"))
+
+
 def _evaluate(names, task):
     def run(spark, d):
         train, test = train_test(spark, d, task)
@@ -128,6 +144,9 @@ QUERIES = {
     "feature_importance": _importance,
     "tree_usage": _usage,
     "linear_attribution": _attributions,
+    "simple_attribution": lambda spark, d: rounded(_simple_attributions(spark, d)),
+    "simple_loss": lambda spark, d: rounded(explain.loss_history(spark, _simple(spark, d)), 6),
+    "simple_results": lambda spark, d: rounded(_simple_results(spark, d)),
     "loss_history": _loss,
     "saved_models": _saved,
     "what_if_model": _what_if_model,
@@ -143,18 +162,42 @@ _COMPLETE = C360 + ", x AS (SELECT " + ", ".join(SQL_FEATURES) + ", total_sales,
     f"{f} IS NOT NULL" for f in SQL_FEATURES
 ) + ")"
 
+_SIMPLE = (
+    C360
+    + ", r AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, corr({f}, total_sales) AS r, avg({f}) AS m, stddev_pop({f}) AS s, "
+        f"(SELECT avg(total_sales) FROM c360) AS my, (SELECT stddev_pop(total_sales) FROM c360) AS sy FROM c360"
+        for f in SQL_FEATURES
+    )
+    + "), b AS (SELECT *, r * (1 - 0.998::double ^ 150) * sy / s AS w FROM r ORDER BY abs(r) DESC LIMIT 1), "
+    + "v AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, customer_id, {f}::double AS x, total_sales AS y FROM c360" for f in SQL_FEATURES
+    )
+    + "), chosen AS (SELECT v.*, w, m, my, coalesce(x, m) * w + my - w * m AS pred FROM v JOIN b ON b.feature = v.feature)"
+)
+
 ORACLES = {
     "gd_linear_exact": with_(
-        C360,
-        ", r AS ("
-        + " UNION ALL ".join(
-            f"SELECT '{f}' AS feature, corr({f}, total_sales) AS r, avg({f}) AS m, stddev_pop({f}) AS s, "
-            f"(SELECT avg(total_sales) FROM c360) AS my, (SELECT stddev_pop(total_sales) FROM c360) AS sy FROM c360"
-            for f in SQL_FEATURES
-        )
-        + "), b AS (SELECT *, r * (1 - 0.998::double ^ 150) * sy / s AS w FROM r ORDER BY abs(r) DESC LIMIT 1) "
+        _SIMPLE,
         "SELECT feature, round(r, 4) AS correlation, round(w, 4) AS weight, round(my - w * m, 4) AS bias FROM b",
     ),
+    "simple_attribution": with_(
+        _SIMPLE,
+        "SELECT customer_id, feature, round(x, 4) AS value, round(w * (coalesce(x, m) - m), 4) AS contribution, "
+        "CASE WHEN w * (coalesce(x, m) - m) > 0 THEN 'positive' ELSE 'negative' END AS impact FROM chosen",
+    ),
+    "simple_loss": with_(
+        _SIMPLE,
+        "SELECT i::integer AS epoch, round(1 - r * r + r * r * 0.998::double ^ (2 * i), 6) AS loss FROM b, range(150) t(i)",
+    ),
+    "simple_results": with_(
+        _SIMPLE,
+        "SELECT 'linear' AS model, round(sqrt(avg((y - pred) ^ 2)), 4) AS rmse, round(avg(abs(y - pred)), 4) AS mae, "
+        "round(1 - sum((y - pred) ^ 2) / (var_pop(y) * count(*)), 4) AS r2, "
+        "round(avg(abs((y - pred) / y)) FILTER (y > 0) * 100, 4) AS mape, 'OK' AS status FROM chosen",
+    ),
     "ols_small": with_(
         _COMPLETE,
         """, c AS (
