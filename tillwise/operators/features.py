@@ -1,7 +1,7 @@
 """Derived features and targets.
 
-Training and serving forms differ in the reference data flow; each variant is
-its own function or flag. Fallback chains depend on which columns a table has,
+Training and serving use different forms of some features; each variant is its
+own function or flag. Fallback chains depend on which columns a table has,
 so they are resolved from the schema when the plan is built.
 """
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.numeric import flag
 from ..operators import features
 from ..operators.encoders import level_by_threshold
-from ..session import materialize
+from ..session import write_stage
 
 
 _schemas: dict[str, T.StructType] = {}
@@ -205,11 +205,10 @@ def customers(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFr
         try:
             return spark.read.parquet(_stored[key])
         except AnalysisException as problem:
-            if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-    table = materialize(customer_360(spark, sf_dir), "customers")
-    _stored[key] = os.path.dirname(table.inputFiles()[0])
-    return table
+    _stored[key] = write_stage(customer_360(spark, sf_dir), "customers")
+    return spark.read.parquet(_stored[key])
 
 
 def rfm(spark: SparkSession, sf_dir: str) -> DataFrame:

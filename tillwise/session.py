@@ -44,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def write_stage(df: DataFrame, name: str = "stage") -> str:
+    """Write ``df`` as Parquet under a fresh name in the shared folder; returns the path."""
+    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -51,7 +58,4 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     iterative training). The written table cuts the lineage, survives executor
     loss, keeps column pruning and gives Spark exact sizes for later joins.
     """
-    spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, name))
