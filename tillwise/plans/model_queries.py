@@ -38,7 +38,7 @@ def _score(name: str):
     def run(spark, d):
         train, test = train_test(spark, d, family.task)
         model = family.fit(train, FEATURES, "customer_id")
-        return scoring.score(model, test, ["customer_id", "label"], family.task)
+        return rounded(scoring.score(model, test, ["customer_id", "label"], family.task))
 
     return run
 
@@ -198,6 +198,23 @@ ORACLES = {
         "round(1 - sum((y - pred) ^ 2) / (var_pop(y) * count(*)), 4) AS r2, "
         "round(avg(abs((y - pred) / y)) FILTER (y > 0) * 100, 4) AS mape, 'OK' AS status FROM chosen",
     ),
+    "score_linear_regression": with_(
+        C360,
+        """, s AS (
+  SELECT *, ('0x' || substr(md5(customer_id::varchar || '|42'), 1, 8))::bigint % 10000 < 2000 AS is_test FROM c360
+), r AS ("""
+        + " UNION ALL ".join(
+            f"SELECT '{f}' AS feature, corr({f}, total_sales) AS r, avg({f}) AS m, stddev_pop({f}) AS s, "
+            "avg(total_sales) AS my, stddev_pop(total_sales) AS sy FROM s WHERE NOT is_test"
+            for f in FEATURES
+        )
+        + "), b AS (SELECT *, r * (1 - 0.998::double ^ 150) * sy / s AS w FROM r ORDER BY abs(r) DESC LIMIT 1), v AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{f}' AS feature, customer_id, {f}::double AS x, total_sales AS y FROM s WHERE is_test" for f in FEATURES
+        )
+        + ") SELECT customer_id, round(y, 4) AS label, round(coalesce(x, m) * w + my - w * m, 4) AS prediction "
+        "FROM v JOIN b ON b.feature = v.feature",
+    ),
     "ols_small": with_(
         _COMPLETE,
         """, c AS (
