@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import contamination, line_runs, quality
+from tillwise.llm import contamination, jaccard, line_runs, quality
+from tillwise.llm.queries import token_digests
 from tillwise.session import materialize
 
 
@@ -26,15 +27,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumns({"text": F.col("_kept"), "n_chars": n_chars}).select(*docs.columns)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, size=5, percent=80)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words is in benchmark windows."""
     return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens of each document, and digests of its ids and of the text they decode to."""
+    return token_digests(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
+    ("n-gram Jaccard join", jaccard_join),
     ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", bpe_tokens),
 ]
 
 #: Tokenizing has no SQL form; the pipeline is tested against a brute-force version.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, line_runs, quality, shards, url_filter, warc
+from . import bpe, contamination, jaccard, line_runs, quality, secret_scan, shards, suffix_dedup, url_filter, warc
 
 #: Rules of the URL query: host, beginning of the path, verdict.
 URL_RULES = [
@@ -35,6 +35,15 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), kept=False)
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = contamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return contamination.judged(hits).drop("text_key", "spans")
@@ -44,6 +53,43 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    named = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(named(F.filter("secrets", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"),
+        named(F.col("secrets")).alias("spans"),
+    )
+
+
+def tokenizer_path() -> str:
+    """The public byte-level BPE file; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Encode, decode, and sum both up: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+    path = tokenizer_path()
+    decoded = bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_runs.line_verdicts(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -58,8 +104,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scans": op7_secret_scans,
+    "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
