@@ -7,7 +7,6 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tillwise.llm import contamination, jaccard, line_runs, quality
 from tillwise.llm.queries import token_digests
@@ -21,10 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document of smaller id holds; one left without a word goes."""
-    done = line_runs.dedup_lines(docs)
-    kept = done.where((F.col("_n_dropped") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("_n_dropped") > 0, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumns({"text": F.col("_kept"), "n_chars": n_chars}).select(*docs.columns)
+    return line_runs.dedup_documents(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

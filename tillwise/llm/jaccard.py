@@ -36,7 +36,7 @@ from ..session import materialize
 from .common import raw, ship, slices, text_key
 from .components import connected_components, spanning_forest
 
-#: Growth of the upper size from band to band; about the cheapest for thresholds from 0.8 to 0.9.
+#: Least growth of the upper size from band to band; about the cheapest for thresholds from 0.8 to 0.9.
 BAND_GROWTH = 1.6
 #: Classes and bytes of sets that one comparison task gets from each side.
 BLOCK = 256
@@ -74,11 +74,12 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 
 @lru_cache(maxsize=8)
-def band_tops(last: int = 1 << 40) -> np.ndarray:
-    """Upper sizes of the bands."""
+def band_tops(percent: int, last: int = 1 << 40) -> np.ndarray:
+    """Upper sizes of the bands, which grow so much that partners are in the same or in neighbouring bands."""
     tops = [1]
     while tops[-1] < last:
-        tops.append(max(tops[-1] + 1, int(tops[-1] * BAND_GROWTH)))
+        grown = max(int(tops[-1] * BAND_GROWTH), 100 * tops[-1] // percent)
+        tops.append(max(tops[-1] + 1, grown))
     return np.array(tops)
 
 
@@ -103,7 +104,7 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     preceded by that many at least, and both sets give it.
     """
     n = len(shingles)
-    tops = band_tops()
+    tops = band_tops(percent)
     band = int(np.searchsorted(tops, n))
     out = []
     for group in (band, band + 1):
@@ -347,8 +348,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     words = found.where("n_shingles > 0")
     chosen = words.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "text_key")).alias("best")).select("best.*")
     empty = found.where("n_shingles = 0").select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "text_key").distinct()
-    chosen = materialize(chosen.union(empty).select(F.col("id").alias("_c_id"), F.col("text_key").alias("_c_key")), "chosen")
-    own, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), text_key(F.col("text"))
-    kept = docs.join(chosen.hint("shuffle_hash"), (own == F.col("_c_id")) & (key == F.col("_c_key")), "left_semi")
+    chosen = materialize(chosen.union(empty).select("id", "text_key"), "chosen")
+    own, key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)), text_key(docs["text"])
+    kept = docs.join(chosen.hint("shuffle_hash"), (own == chosen["id"]) & (key == chosen["text_key"]), "left_semi")
     again = found.groupBy("doc_id", "text_key").count().where("count > 1")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

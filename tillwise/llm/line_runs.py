@@ -8,7 +8,7 @@ each key is rewritten a logarithmic number of times. Runs are read in their stor
 batch's reduced keys are shuffled.
 
 The owner of a key is the smallest document id that holds it, provided that batches come in order of
-ids, as :func:`dedup_lines` deals them. All steps are DataFrame operations. A hot line is combined
+ids, as :func:`dropped_lines` deals them. All steps are DataFrame operations. A hot line is combined
 before the shuffle; the join that marks its occurrences is one that Spark can split.
 
 Defined cases: a null or empty text is one empty line; a null id is the smallest id; rows that share
@@ -150,28 +150,41 @@ def _flags(pos: Column) -> Column:
     return F.flatten(F.zip_with(pos, before, lambda p, q: F.concat(F.array_repeat(F.lit(False), p - q - 1), F.array(F.lit(True)))))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """``docs`` with two more columns: ``_n_dropped`` and ``_kept``, the text that is left.
+def _judged(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> DataFrame:
+    """``row`` (the whole input row), ``n_dropped`` and ``kept``, the text that is left."""
+    lost = dropped_lines(docs.select("doc_id", "text"), min_chars, batches, fanout).distinct().groupBy("id", "text_key")
+    lost = lost.agg(F.array_sort(F.collect_list("pos")).alias("pos"))
+    lost = lost.select("id", "text_key", F.size("pos").alias("size"), _flags(F.col("pos")).alias("flags"))
+    smallest = F.lit(-(1 << 63)).cast("long")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), smallest).alias("own"), text_key(docs["text"]).alias("own_key"))
+    joined = rows.join(lost.hint("shuffle_hash"), (F.col("own") == F.col("id")) & (F.col("own_key") == F.col("text_key")), "left")
+    left = F.filter(F.split("row.text", "\n", -1), lambda _, i: ~F.coalesce(F.get("flags", i), F.lit(False)))
+    kept = F.when(F.col("flags").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    return joined.select("row", F.coalesce("size", F.lit(0)).alias("n_dropped"), kept.alias("kept"))
+
+
+def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """``docs`` without the lines that a smaller id holds; a document left without a word goes.
 
-    A text that loses nothing is passed on as it is.
+    All columns stay; ``n_chars``, where the table has it, follows the text. A text that loses
+    nothing is passed on as it is.
     """
-    lost = dropped_lines(docs, min_chars, batches, fanout).distinct().groupBy("id", "text_key").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
-    lost = lost.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.size("pos").alias("_size"), _flags(F.col("pos")).alias("_flags"))
-    smallest = F.lit(-(1 << 63)).cast("long")
-    keyed = docs.withColumn("_own", F.coalesce(F.col("doc_id").cast("long"), smallest)).withColumn("_text_key", text_key(F.col("text")))
-    joined = keyed.join(lost.hint("shuffle_hash"), (F.col("_own") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.get("_flags", i), F.lit(False)))
-    kept = F.when(F.col("_flags").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[docs[c] for c in docs.columns], F.coalesce("_size", F.lit(0)).alias("_n_dropped"), kept.alias("_kept"))
+    done = _judged(docs, min_chars, batches, fanout)
+    done = done.where((F.col("n_dropped") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    chars = lambda kind: F.when(F.col("n_dropped") > 0, F.char_length("kept").cast(kind)).otherwise(F.col("row.n_chars"))
+    new = {"text": lambda kind: F.col("kept"), "n_chars": chars}
+    return done.select(
+        *[(new[f.name](f.dataType) if f.name in new else F.col("row").getField(f.name)).alias(f.name) for f in docs.schema.fields]
+    )
 
 
 def line_verdicts(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text`` of each document."""
-    done = dedup_lines(docs.select("doc_id", "text"), min_chars, batches, fanout)
-    text = F.coalesce("text", F.lit(""))
+    done = _judged(docs.select("doc_id", "text"), min_chars, batches, fanout)
+    text = F.coalesce("row.text", F.lit(""))
     return done.select(
-        "doc_id",
+        F.col("row.doc_id").alias("doc_id"),
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.col("_n_dropped").cast("long").alias("n_dropped"),
-        F.coalesce("_kept", F.lit("")).alias("kept_text"),
+        F.col("n_dropped").cast("long").alias("n_dropped"),
+        F.coalesce("kept", F.lit("")).alias("kept_text"),
     )

@@ -98,8 +98,7 @@ def judge_urls(pages: DataFrame, entries: DataFrame, default: str = "allow", max
 
 def filter_pages(pages: DataFrame, entries: DataFrame, default: str = "allow") -> DataFrame:
     """The pages whose URL is allowed; all columns kept."""
-    host, path = host_and_path(F.col("url"))
-    keys = judge_urls(pages.select("page_id", "url"), entries, default).where("verdict = 'block'").select(
-        F.col("host").alias("_b_host"), F.col("path").alias("_b_path")
-    ).distinct()
-    return pages.join(keys, (host == F.col("_b_host")) & (path == F.col("_b_path")), "left_anti")
+    blocked = judge_urls(pages.select("page_id", "url"), entries, default).where("verdict = 'block'").select("host", "path").distinct()
+    blocked = materialize(blocked, "blocked")
+    host, path = host_and_path(pages["url"])
+    return pages.join(blocked, (host == blocked["host"]) & (path == blocked["path"]), "left_anti")
