@@ -198,18 +198,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cut: str = "documents",
     if cut not in ("documents", "spans"):
         raise ValueError(cut)
     ship(docs.sparkSession)
-    names = docs.columns
-    at = names.index("text")
+    at = docs.columns.index("text")
+    mark = "hits"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs
     for items in _blocks(benchmark, block_words):
-        docs = _marked(docs, NgramSet(items, window), at)
-    out = docs.mapInArrow(_cutter(at, cut), docs.drop("_hit_spans").schema) if "_hit_spans" in docs.columns else docs
-    return out
+        marked = _marked(marked, NgramSet(items, window), at, mark)
+    return marked.mapInArrow(_cutter(at, cut), docs.schema)
 
 
-def _marked(docs: DataFrame, index: NgramSet, at: int) -> DataFrame:
-    """``docs`` with the hit word ranges of one more block in ``_hit_spans``."""
+def _marked(docs: DataFrame, index: NgramSet, at: int, mark: str) -> DataFrame:
+    """``docs`` with the word ranges that one more block hits in the last column, ``mark``."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    first = "_hit_spans" not in docs.columns
+    first = mark not in docs.columns
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +220,9 @@ def _marked(docs: DataFrame, index: NgramSet, at: int) -> DataFrame:
             before = [[]] * len(found) if first else part.column(part.num_columns - 1).to_pylist()
             spans = pa.array([[*b, *(x for s in f[1] for x in s)] for b, f in zip(before, found)], kind)
             columns = [*part.columns, spans] if first else [*part.columns[:-1], spans]
-            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "_hit_spans"] if first else part.schema.names)
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, mark] if first else part.schema.names)
 
-    schema = docs.withColumn("_hit_spans", F.array().cast("array<bigint>")).schema if first else docs.schema
+    schema = docs.withColumn(mark, F.array().cast("array<bigint>")).schema if first else docs.schema
     return docs.mapInArrow(run, schema)
 
 
@@ -228,9 +230,9 @@ def _cutter(at: int, cut: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, at):
             spans = [merged(list(zip(s[::2], s[1::2]))) for s in part.column(part.num_columns - 1).to_pylist()]
-            n_words = [len(normal_words(t)) for t in raw(part.column(at))]
-            bad = [bool(s) and 20 * sum(b - a for a, b in s) >= n for s, n in zip(spans, n_words)]
-            out = part.drop_columns(["_hit_spans"])
+            texts = raw(part.column(at))
+            bad = [bool(s) and 20 * sum(b - a for a, b in s) >= len(normal_words(t)) for s, t in zip(spans, texts)]
+            out = part.select(range(part.num_columns - 1))
             if cut == "documents":
                 yield out.filter(pa.array([not b for b in bad], pa.bool_()))
             else:

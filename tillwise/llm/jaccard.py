@@ -311,10 +311,11 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, text_key, n_shingles, class, component_id`` of each document.
+    """``doc_id, text_key, n_shingles, class, component_id, group`` of each document.
 
     Two documents link when their sets' Jaccard similarity is ``percent`` hundredths or more;
-    ``component_id`` is the smallest id that links reach, ``class`` the smallest id of an equal set.
+    ``component_id`` is the smallest id that links reach, ``class`` the smallest id of an equal set,
+    ``group`` a number that differs between components even where ids are repeated.
     """
     docs = docs.select("doc_id", "text")
     profiles = materialize(set_profiles(docs, size), "set-profiles")
@@ -329,13 +330,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     sets = materialize(_live_sets(docs, live, size), "live-sets")
     found = materialize(connected_components(_links(sets, percent)), "linked")
     named = found.join(classes, found["node"] == classes["key"]).groupBy("component").agg(F.min("id").alias("smallest"))
-    named = found.join(named, "component").select(F.col("node").alias("n_key"), "smallest")
+    named = found.join(named, "component").select(F.col("node").alias("n_key"), "smallest", "component")
     by_class = classes.join(named, F.col("key") == F.col("n_key"), "left")
-    by_class = materialize(by_class.select("key", F.col("id").alias("class"), F.coalesce("smallest", "id").alias("component_id")), "class-components")
+    by_class = materialize(by_class.select("key", F.col("id").alias("class"), F.coalesce("smallest", "id").alias("component_id"), F.coalesce("component", "key").alias("group")), "class-components")
     out = profiles.join(by_class, profiles["k1"] == by_class["key"], "left")
     named_id = lambda c: F.nullif(F.coalesce(c, "id"), F.lit(_LAST))
     return out.select(
-        F.nullif("id", F.lit(_LAST)).alias("doc_id"), "text_key", "n_shingles", named_id("class").alias("class"), named_id("component_id").alias("component_id")
+        F.nullif("id", F.lit(_LAST)).alias("doc_id"), "text_key", "n_shingles", named_id("class").alias("class"), named_id("component_id").alias("component_id"), "group"
     )
 
 
@@ -346,7 +347,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     found = materialize(jaccard_components(docs, size, percent), "components")
     words = found.where("n_shingles > 0")
-    chosen = words.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "text_key")).alias("best")).select("best.*")
+    chosen = words.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "text_key")).alias("best")).select("best.*")
     empty = found.where("n_shingles = 0").select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "text_key").distinct()
     chosen = materialize(chosen.union(empty).select("id", "text_key"), "chosen")
     own, key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)), text_key(docs["text"])

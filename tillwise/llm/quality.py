@@ -52,7 +52,8 @@ def line_fault(line: str) -> str | None:
         return None
     if n >= 4 and 5 * sum(SEPARATOR.fullmatch(w) is not None for w in words) >= n:
         return "navigation"
-    if 10 * sum(map(line.count, SYMBOLS)) >= word_chars(line):
+    n_symbols = sum(map(line.count, SYMBOLS))
+    if n_symbols >= 3 and 10 * n_symbols >= word_chars(line):
         return "symbols"
     if n >= 3 and 2 * sum(SHOUT.search(w) is not None for w in words) >= n:
         return "punctuation"
