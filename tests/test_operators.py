@@ -151,17 +151,47 @@ def test_correlation_edge_cases(spark):
     assert scaling.best_feature(df, ["constant", "x"], "y").first()["feature"] == "x"
 
 
-def test_wide_and_narrow_correlation_agree(spark, monkeypatch):
-    df = spark.range(200).select(*[F.sin(F.col("id") * (k + 1)).alias(f"c{k}") for k in range(4)])
-    narrow = {(r["i"], r["j"]): r["correlation"] for r in correlation.correlation_pairs(df, df.columns).collect()}
-    monkeypatch.setattr(correlation, "PAIR_LIMIT", 0)
-    wide = {(r["i"], r["j"]): r["correlation"] for r in correlation.correlation_pairs(df, df.columns).collect()}
-    assert narrow == {k: pytest.approx(v, abs=1e-9) for k, v in wide.items()}
+def test_correlation_is_pairwise_complete_at_every_width(spark):
+    """Nulls, NaN and constants in 30 columns, against pandas."""
+    import pandas as pd
+
+    hole = lambda k: (F.col("id") * (k + 3)) % 11 == 0
+    value = lambda k: F.when(~hole(k), F.sin(F.col("id") * (k + 1)) + 1000)
+    columns = [F.when(hole(k + 1), F.lit(float("nan"))).otherwise(value(k)).alias(f"c{k}") for k in range(29)]
+    df = spark.range(200).select(*columns, F.lit(4.1).alias("constant"))
+    got = {(r["feature_1"], r["feature_2"]): r["correlation"] for r in correlation.correlation_pairs(df, df.columns).collect()}
+    want = pd.DataFrame([r.asDict() for r in df.collect()], dtype=float).corr()
+    assert len(got) == 30 * 29 // 2
+    for (a, b), r in got.items():
+        undefined = "constant" in (a, b) or math.isnan(want.loc[a, b])  # an empty column is undefined as well
+        assert r is None if undefined else r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_infinite_values_leave_other_pairs_alone(spark):
+    df = spark.createDataFrame([(1.0, 2.0, float("inf")), (2.0, 4.0, 1.0), (3.0, 7.0, 2.0)], "a double, b double, c double")
+    got = {(r["i"], r["j"]): r["correlation"] for r in correlation.correlation_pairs(df, df.columns).collect()}
+    assert got[0, 1] == pytest.approx(0.9933992677987828) and got[0, 2] is None and got[1, 2] is None
+
+
+def test_missing_values_stay_missing(spark):
+    from tillwise.functions.numeric import clip, relu, sigmoid
+
+    df = spark.createDataFrame([(None,), (-1.0,), (2.0,)], "x double")
+    rows = df.select(clip("x", 0, 1), relu("x"), sigmoid("x")).collect()
+    assert tuple(rows[0]) == (None, None, None) and tuple(rows[1])[:2] == (0.0, 0.0) and tuple(rows[2])[:2] == (1.0, 2.0)
+
+
+def test_nan_counts_as_null(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "a"), (None, None), (300.0, "b")], "age double, label string")
+    assert stats.null_profile(df).where("column = 'age'").first()["null_count"] == 2
+    found = quality.range_findings(df, [quality.RangeRule("age", 0.0, 120.0)]).first()
+    assert found["violations"] == 1
+    assert quality.imbalance(df, "label").first()["minority_share"] == pytest.approx(1 / 3)
 
 
 @pytest.mark.parametrize(
     "t, dof, p",
-    [(2.228138852, 10, 0.05), (0.0, 5, 1.0), (12.70620474, 1, 0.05), (3.2905267, 1e6, 0.001), (1.959963985, 1e7, 0.05)],
+    [(2.228138852, 10, 0.05), (0.0, 5, 1.0), (12.70620474, 1, 0.05), (3.2905267, 1e6, 0.001), (1.959963985, 1e7, 0.05), (1.959963985, 1e11, 0.05), (1.984, 99_999, 0.047258), (1.984, 100_001, 0.047258)],
 )
 def test_p_values(t, dof, p):
     assert correlation.two_sided_p(t, dof) == pytest.approx(p, rel=1e-4)

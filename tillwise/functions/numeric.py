@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def as_col(c: str | Column) -> Column:
@@ -30,7 +30,7 @@ def ratio_or_zero(num: str | Column, den: str | Column) -> Column:
 def clip(c: str | Column, low: Column | float, high: Column | float) -> Column:
     low = low if isinstance(low, Column) else F.lit(float(low))
     high = high if isinstance(high, Column) else F.lit(float(high))
-    return F.least(F.greatest(as_col(c), low), high)
+    return F.when(as_col(c).isNotNull(), F.least(F.greatest(as_col(c), low), high))
 
 
 def sigmoid(c: str | Column) -> Column:
@@ -39,7 +39,7 @@ def sigmoid(c: str | Column) -> Column:
 
 
 def relu(c: str | Column) -> Column:
-    return F.greatest(as_col(c), F.lit(0.0))
+    return F.when(as_col(c).isNotNull(), F.greatest(as_col(c), F.lit(0.0)))
 
 
 def flag(condition: Column) -> Column:
@@ -57,6 +57,12 @@ def clean(c: str | Column) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
+def cleaned(df: DataFrame) -> DataFrame:
+    """The table with NaN counted as null in every floating column."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: clean(F.col(f"`{c}`")) for c in floats}) if floats else df
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Correlation over rows where both are present; null where either side is constant.
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import clean, total
-from ..operators.correlation import correlation_matrix, pair_correlations
+from ..operators.correlation import correlation_matrix, cross_correlations
 from ..operators.scaling import fit_means, impute
 
 SIMPLE = {"epochs": 150, "lr": 0.001}
@@ -51,7 +51,7 @@ def simple_descent(
 ) -> DataFrame:
     """One row: the feature most correlated with the target, and slope and intercept after ``epochs`` steps."""
     features = list(features)
-    pairs = pair_correlations(df, [(f, target) for f in features])
+    pairs = cross_correlations(df, list(features), [target]).withColumnRenamed("i", "pair")
     names = F.array(*[F.lit(f) for f in features])
     best = pairs.agg(
         F.max_by(F.struct("pair", "correlation"), F.struct(F.abs("correlation"), -F.col("pair"))).alias("b")

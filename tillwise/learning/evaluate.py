@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,23 +22,24 @@ def train_all(
         try:
             models[family.name] = family.fit(stored, features, key)
         except Exception as problem:  # one bad family must not stop the run
-            failures[family.name] = f"{type(problem).__name__}: {problem}"[:500]
+            failures[family.name] = f"{type(problem).__name__}: {problem}"
     return models, failures
 
 
 def predictions(models: Mapping[str, object], test: DataFrame, key: str) -> DataFrame:
     """Long hold-out predictions ``(model, key, label, prediction, score)`` of all models."""
-    parts = []
-    for name, model in models.items():
-        out = model.transform(test)
-        parts.append(
-            out.select(
-                F.lit(FAMILIES[name].title if name in FAMILIES else name).alias("model"),
-                key, "label", F.col("prediction").cast("double").alias("prediction"),
-                positive_score(out).cast("double").alias("score"),
-            )
+    out, found = test, []
+    for k, (name, model) in enumerate(models.items()):  # one scan: each model adds a column of its own
+        scored = model.transform(out)
+        row = F.struct(
+            F.lit(FAMILIES[name].title if name in FAMILIES else name).alias("model"),
+            F.col("prediction").cast("double").alias("prediction"),
+            positive_score(scored).cast("double").alias("score"),
         )
-    return reduce(DataFrame.unionByName, parts)
+        found.append(f"_model_{k}")
+        out = scored.select(*test.columns, *found[:-1], row.alias(found[-1]))
+    rows = out.select(key, "label", F.inline(F.array(*found)))
+    return rows.select("model", key, "label", "prediction", "score")
 
 
 def classification_results(long: DataFrame) -> DataFrame:

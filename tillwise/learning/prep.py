@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.sampling import hash_bucket, BUCKETS
 from ..operators.scaling import class_weights
 
-MAX_EXPANDED = 4096
-
-
 def training_table(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
     """Features and label as doubles; rows without a label are left out."""
     columns = [F.col(c).cast("double").alias(c) for c in features]
@@ -47,9 +44,6 @@ def expanded_width(n: int, degree: int) -> int:
 
 def polynomial_stages(features: Sequence[str], degree: int = 2) -> list:
     """Standardise, expand to all products up to a degree, standardise again."""
-    width = expanded_width(len(features), degree)
-    if width > MAX_EXPANDED:
-        raise ValueError(f"{len(features)} features expand to {width} columns, more than {MAX_EXPANDED}")
     return [
         *vector_stages(features)[:-1],
         StandardScaler(inputCol="raw_features", outputCol="scaled", withMean=True, withStd=True),

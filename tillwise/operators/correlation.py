@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import as_col, clean
@@ -16,71 +15,87 @@ from ..functions.numeric import as_col, clean
 STRENGTHS = [(0.7, "very strong"), (0.5, "strong"), (0.3, "moderate")]
 STARS = [(0.001, "***"), (0.01, "**"), (0.05, "*")]
 
-PAIR_LIMIT = 300
+#: A spread below this share of the summed squares is rounding: the side counts as constant.
+CONSTANT = 1e-12
 
 
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(pair, n, correlation)`` for column pairs, over rows where both values are present.
+def pair_sums(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """``(i, j, n, sx, sy, sxx, syy, sxy, endless)`` for each column of ``left`` with each of ``right``.
 
-    A row fans out to one small row per pair, which partial aggregation folds at
-    once. The aggregate stays three expressions wide whatever the number of
-    pairs, so its generated code stays compilable. A constant side gives null.
+    Sums run over the rows where both values are present, at every width: a
+    partition multiplies its value, square and presence matrices, and gives out
+    one row per pair. Values are taken from their column's minimum on, so that
+    squares stay small and a constant column sums to exact zeros.
     """
-    used = sorted({c for pair in pairs for c in pair})
-    options = ", ".join(f"struct({k} AS pair, `{x}` AS x, `{y}` AS y)" for k, (x, y) in enumerate(pairs))
-    long = (
-        df.select([clean(c).alias(c) for c in used])
-        .select(F.expr(f"inline(array({options}))"))
-        .where("x is not null and y is not null")
-    )
-    spread = F.stddev_pop("x") * F.stddev_pop("y")
-    return long.groupBy("pair").agg(
-        F.count("*").alias("n"), F.try_divide(F.covar_pop("x", "y"), spread).alias("correlation")
-    )
-
-
-def _name(names: Sequence[str]) -> Column:
-    """Look up a text by the pair number."""
-    return F.lit(list(names))[F.col("pair")]
+    used = list(dict.fromkeys([*left, *right]))
+    table = df.select([clean(c).alias(str(k)) for k, c in enumerate(used)])
+    lows = table.agg(*[F.min(str(k)) for k in range(len(used))]).first()
+    shift = [x if x is not None and math.isfinite(x) else 0.0 for x in lows]
+    x_at, y_at = [used.index(c) for c in left], [used.index(c) for c in right]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((7, len(x_at), len(y_at)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                values = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1).astype(float)
+                there = ~np.isnan(values)
+                endless = np.isinf(values)
+                values = np.where(there & ~endless, values - shift, 0.0)
+                m, e = there.astype(float), endless.astype(float)
+                x, y, mx, my = values[:, x_at], values[:, y_at], m[:, x_at], m[:, y_at]
+                total += [
+                    mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y,
+                    e[:, x_at].T @ my + mx.T @ e[:, y_at],
+                ]
+        i, j = (k.ravel() for k in np.indices(total.shape[1:]))
+        columns = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(t.ravel()) for t in total)]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy", "endless"])
+
+    sums = "n double, sx double, sy double, sxx double, syy double, sxy double, endless double"
+    parts = table.mapInArrow(run, f"i int, j int, {sums}")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "endless")])
+
+
+def cross_correlations(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """``(i, j, n, correlation)`` of each column of ``left`` with each of ``right``; a constant side gives null."""
+    s = pair_sums(df, left, right)
+    x_spread = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
+    y_spread = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
+    both = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    sound = (F.col("endless") == 0) & (x_spread > CONSTANT * F.col("sxx")) & (y_spread > CONSTANT * F.col("syy"))
+    r = F.when(sound, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), both / (F.sqrt(x_spread) * F.sqrt(y_spread)))))
+    return s.select("i", "j", F.col("n").cast("long").alias("n"), r.alias("correlation"))
+
+
+def _name(names: Sequence[str], at: str) -> Column:
+    """Look up a text by its number."""
+    return F.lit(list(names))[F.col(at)]
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long upper triangle ``(i, j, feature_1, feature_2, correlation)``.
-
-    Up to ``PAIR_LIMIT`` pairs: pairwise-complete rows. More: one distributed
-    matrix product over rows where all values are present.
-    """
+    """Long upper triangle ``(i, j, feature_1, feature_2, correlation)``, pairwise complete at every width."""
     columns = list(columns)
-    pairs = list(combinations(range(len(columns)), 2))
-    if len(pairs) <= PAIR_LIMIT:
-        rows = pair_correlations(df, [(columns[i], columns[j]) for i, j in pairs])
-        return rows.select(
-            F.lit([i for i, _ in pairs])[F.col("pair")].alias("i"),
-            F.lit([j for _, j in pairs])[F.col("pair")].alias("j"),
-            _name([columns[i] for i, _ in pairs]).alias("feature_1"),
-            _name([columns[j] for _, j in pairs]).alias("feature_2"),
-            "correlation",
-        )
-    matrix = correlation_matrix(df, columns)
-    rows = [(i, j, columns[i], columns[j], float(matrix[i, j])) for i, j in pairs]
-    table = df.sparkSession.createDataFrame(
-        rows, "i int, j int, feature_1 string, feature_2 string, correlation double"
+    rows = cross_correlations(df, columns, columns).where("i < j")
+    return rows.select(
+        "i", "j", _name(columns, "i").alias("feature_1"), _name(columns, "j").alias("feature_2"), "correlation"
     )
-    return table.withColumn("correlation", clean("correlation"))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]):
-    """d x d matrix as a NumPy array (d columns, independent of the row count)."""
-    complete = df.select([clean(c).alias(c) for c in columns]).na.drop()
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(complete).select("v")
-    return Correlation.corr(vectors, "v").first()[0].toArray()
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """d x d matrix as a NumPy array (d columns, independent of the row count); undefined entries are NaN."""
+    columns = list(columns)
+    matrix = np.full((len(columns), len(columns)), np.nan)
+    for r in cross_correlations(df, columns, columns).where("correlation is not null").collect():
+        matrix[r["i"], r["j"]] = r["correlation"]
+    return matrix
 
 
 def target_correlations(
     df: DataFrame, features: Sequence[str], target: str, keep_undefined: bool = False
 ) -> DataFrame:
     """Correlation of each feature with the target in one pass; undefined ones are dropped."""
-    rows = pair_correlations(df, [(f, target) for f in features]).select(_name(features).alias("feature"), "correlation")
+    rows = cross_correlations(df, list(features), [target]).select(_name(features, "i").alias("feature"), "correlation")
     return rows if keep_undefined else rows.where("correlation is not null")
 
 
@@ -106,7 +121,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 400):
+    for m in range(1, 100_000):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -117,35 +132,42 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-14:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the incomplete beta function did not converge for a={a}, b={b}, x={x}")
+
+
+def _log_half_ratio(a: float) -> float:
+    """log(gamma(a + 1/2) / gamma(a)), exact to rounding for every size of ``a``."""
+    down = 0.0
+    while a < 60.0:  # each step up multiplies the ratio by (a + 1/2) / a
+        down -= math.log1p(0.5 / a)
+        a += 1.0
+    return down + 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)
 
 
 def two_sided_p(t: float, dof: float) -> float:
-    """Two-sided p-value of Student's t; the normal tail where the degrees of freedom are large."""
+    """Two-sided p-value of Student's t."""
     if t is None or dof is None or math.isnan(t) or dof <= 0:
         return math.nan
     if math.isinf(t):
         return 0.0
-    if dof > 1e5:
-        return math.erfc(abs(t) / math.sqrt(2.0))
-    a, b, x = dof / 2.0, 0.5, dof / (dof + t * t)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) if 0.0 < x < 1.0 else 0.0
-    if x >= 1.0:
+    a, b = dof / 2.0, 0.5
+    away = t * t / (dof + t * t)  # 1 - x, without cancellation
+    if away == 0.0:
         return 1.0
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    log_x = -math.log1p(t * t / dof)
+    front = math.exp(_log_half_ratio(a) - 0.5 * math.log(math.pi) + a * log_x + 0.5 * math.log(away))
+    if math.exp(log_x) < (a + 1.0) / (a + b + 2.0):
+        return front * _beta_fraction(a, b, math.exp(log_x)) / a
+    return 1.0 - front * _beta_fraction(b, a, away) / b
 
 
 def t_statistics(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """r, n and t over pairwise-complete rows, one pass for all features."""
     rows = (
-        pair_correlations(df, [(f, target) for f in features])
+        cross_correlations(df, list(features), [target])
         .where("correlation is not null")
-        .select(_name(features).alias("feature"), "correlation", "n")
+        .select(_name(features, "i").alias("feature"), "correlation", "n")
     )
     r = F.col("correlation")
     return rows.withColumn("t", r * F.sqrt(F.try_divide(F.col("n") - 2, 1 - r * r)))
@@ -170,10 +192,8 @@ def significance(df: DataFrame, features: Sequence[str], target: str) -> DataFra
 def cross_target(df: DataFrame, features: Sequence[str], first: str, second: str, n: int = 10) -> DataFrame:
     """Features by the mean of their absolute correlations with two targets, in one pass."""
     features = list(features)
-    pairs = [(f, first) for f in features] + [(f, second) for f in features]
-    rows = pair_correlations(df, pairs).select(
-        _name(features * 2).alias("feature"), (F.col("pair") < len(features)).alias("is_first"),
-        F.abs("correlation").alias("size"),
+    rows = cross_correlations(df, features, [first, second]).select(
+        _name(features, "i").alias("feature"), (F.col("j") == 0).alias("is_first"), F.abs("correlation").alias("size")
     )
     both = rows.groupBy("feature").agg(
         F.max(F.when(F.col("is_first"), F.col("size"))).alias(f"abs_{first}"),

@@ -30,7 +30,20 @@ YES_NO_COLUMNS = ["loyalty_program", "churned", "holiday_season", "weekend", "em
 # Ternary codes.
 GENDER_CODES = {"Male": 1, "Female": 0, "Other": 2}
 MARITAL_CODES = {"Married": 1, "Single": 0, "Divorced": 2}
-# Dummy columns a single record may set, per source column.
+# Request columns that set dummies, with the prefix of their dummies' names.
+DUMMY_PREFIXES = {
+    "gender": "gender_",
+    "store_location": "store_location_",
+    "customer_city": "customer_city_",
+    "store_city": "store_city_",
+    "app_usage_frequency": "app_usage_",
+    "social_media_engagement": "social_media_engagement_",
+    "education_level": "education_level_",
+    "marital_status": "marital_status_",
+    "product_category": "product_category_",
+    "payment_method": "payment_method_",
+}
+# Levels that may set a dummy, where not every level does.
 KNOWN_LEVELS = {
     "gender": ["Male", "Other"],
     "app_usage_frequency": ["Low", "Medium"],
@@ -39,26 +52,25 @@ KNOWN_LEVELS = {
     "marital_status": ["Married", "Single", "Divorced"],
 }
 
-MAX_LEVELS = 1000
-
 
-def fit_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
+def fit_levels(df: DataFrame, columns: Sequence[str], max_levels: int | None = None) -> dict[str, list[str]]:
     """Sorted distinct levels of each column, found in one pass.
 
     All columns are unpivoted and reduced together, so one shuffle of distinct
-    (column, level) pairs serves every column. More than ``max_levels`` levels
-    in any column is refused: the encoded table would be unusably wide.
+    (column, level) pairs serves every column. A caller may name a number of
+    levels beyond which a column is refused; for wide columns
+    :func:`frequency_encode` gives one column whatever the number of levels.
     """
     long = df.select([F.col(c).cast("string").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "level"
     )
     pairs = long.where("level is not null").distinct()
-    rows = pairs.limit(max_levels * len(columns) + 1).collect()
+    rows = (pairs if max_levels is None else pairs.limit(max_levels * len(columns) + 1)).collect()
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for row in rows:
         levels[row["column"]].append(row["level"])
-    wide = [c for c in columns if len(levels[c]) > max_levels]
-    if wide or len(rows) > max_levels * len(columns):
+    wide = [c for c in columns if max_levels is not None and len(levels[c]) > max_levels]
+    if wide or (max_levels is not None and len(rows) > max_levels * len(columns)):
         raise ValueError(f"more than {max_levels} levels in {wide or list(columns)}")
     return {c: sorted(v) for c, v in levels.items()}
 
@@ -78,10 +90,20 @@ def one_hot(
     return df.select(*[F.col(f"`{c}`") for c in rest], *dummies)
 
 
-def known_level_dummies(df: DataFrame, levels: Mapping[str, Sequence[str]] = KNOWN_LEVELS) -> DataFrame:
-    """Add dummies for a fixed level dictionary, skipping absent columns."""
-    present = {c: v for c, v in levels.items() if c in df.columns}
-    return one_hot(df, present, drop_first=False, keep_source=True)
+def request_dummies(df: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """Add the dummies among ``expected`` that a present column can set; 0 for null and other levels.
+
+    The expected names decide: behind a column's prefix stands the level that
+    sets the dummy, so a level the model does not know sets nothing.
+    """
+    dummies = {}
+    for column, prefix in DUMMY_PREFIXES.items():
+        if column in df.columns:
+            for name in expected:
+                level = name.removeprefix(prefix)
+                if name.startswith(prefix) and level in KNOWN_LEVELS.get(column, [level]) and name not in df.columns:
+                    dummies[name] = flag(F.col(column) == level)
+    return df.withColumns(dummies) if dummies else df
 
 
 def binary_map(c: str | Column) -> Column:

@@ -236,10 +236,10 @@ def apply_defaults(
 
 def request_features(df: DataFrame, expected: Sequence[str] = MODEL_FEATURES) -> DataFrame:
     """Requests -> model features: aliases, derived values, dummies, defaults, alignment."""
-    from .encoders import income_bracket, known_level_dummies, purchase_frequency
+    from .encoders import income_bracket, purchase_frequency, request_dummies
     from .projection import align_features
 
-    out = known_level_dummies(df)
+    out = request_dummies(df, expected)
     if has(df, "income"):
         level = income_bracket("income")
         out = out.withColumns({f"income_bracket_{v}": flag(level == v) for v in ("Low", "Medium")})

@@ -2,7 +2,7 @@
 
 Every query reads the customer table once and returns a table whose size does
 not grow with it (tiers, segments, periods, places), apart from the row-level
-estimates. Global figures reach the rows as scalar subqueries.
+estimates. Global figures reach the rows as scalar subqueries. NaN counts as a missing value throughout.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.numeric import as_col, nonzero
+from ..functions.numeric import as_col, cleaned, nonzero
 from ..functions.scalars import one_row
 from ..functions.text import period_key
 from ..session import materialize
@@ -39,6 +39,7 @@ def rule_scored(
     Starts at 0.2; +0.3 for sales below the mean, +0.3 for more days than the
     mean (than 100 where the table has no such column); capped at 0.95.
     """
+    df = cleaned(df)
     known_days = days is not None and days in df.columns
     means = [F.avg(sales).alias("sales")]
     if known_days:
@@ -50,6 +51,7 @@ def rule_scored(
         stale = F.col(days) > F.col("_mean")["days"]
     else:
         stale = F.lit(False)
+    # Base score and the two steps.
     score = 0.2 + F.when(low_sales, 0.3).otherwise(0.0) + F.when(stale, 0.3).otherwise(0.0)
     return scored.withColumn("churn_probability", F.least(F.lit(0.95), score)).drop("_mean")
 
@@ -78,6 +80,7 @@ def _fixed_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 def revenue_at_risk(df: DataFrame) -> DataFrame:
     """Per tier and in total: customers, revenue, revenue x p, mean p; empty tiers show 0."""
+    df = cleaned(df)
     p, sales = F.col("churn_probability"), F.col("total_sales")
     measured = (
         df.withColumn("tier", risk_tier(p))
@@ -155,6 +158,7 @@ def segment_of(p: str | Column, high_value: Column, low: float = 0.3, high: floa
 
 def with_segment(df: DataFrame) -> DataFrame:
     """Add ``segment_name``; high value means total sales at or above the 75th percentile."""
+    df = cleaned(df)
     cut = quantile_value(df, "total_sales", 0.75)
     high = F.col("total_sales") >= F.col("_cut")
     return df.withColumn("_cut", cut).withColumn("segment_name", segment_of("churn_probability", high)).drop("_cut")
@@ -162,6 +166,7 @@ def with_segment(df: DataFrame) -> DataFrame:
 
 def customer_segments(df: DataFrame, show_unassigned: bool = True) -> DataFrame:
     """Count, means and revenue of each segment; empty segments show 0."""
+    df = cleaned(df)
     measured = (
         with_segment(df)
         .groupBy(F.col("segment_name").alias("segment"))
@@ -184,6 +189,7 @@ def customer_segments(df: DataFrame, show_unassigned: bool = True) -> DataFrame:
 
 def segment_totals(df: DataFrame) -> DataFrame:
     """All customers, all revenue, and average lifetime value = revenue per customer x 3."""
+    df = cleaned(df)
     n, revenue = F.count("*"), F.coalesce(F.sum("total_sales"), F.lit(0.0))
     return df.agg(n.alias("total_customers"), revenue.alias("total_revenue")).withColumn(
         "avg_customer_lifetime_value",
@@ -193,6 +199,7 @@ def segment_totals(df: DataFrame) -> DataFrame:
 
 def clv_estimate(df: DataFrame) -> DataFrame:
     """Add lifespan, recency, frequency and (expected) lifetime-value columns."""
+    df = cleaned(df)
     longest = df.agg(F.max("days_since_last_purchase").alias("d")).scalar()
     lifespan = F.col("membership_years") + 1
     recency = F.lit(1.0) - F.try_divide(F.col("days_since_last_purchase").cast("double"), F.col("_longest"))
@@ -222,6 +229,7 @@ def clv_trends(df: DataFrame, period: str = "monthly", date: str = "transaction_
     ``df`` carries the columns of :func:`clv_estimate`. The value cut of each
     period is its own 75th percentile. Growth runs over one row per period.
     """
+    df = cleaned(df)
     keyed = df.withColumn("period", period_key(date, period)).where(F.col("period").isNotNull())
     # written so that its true size (one row per period) decides the join strategy
     cuts = materialize(
@@ -257,6 +265,7 @@ def clv_insights(df: DataFrame, period: str = "monthly", date: str = "transactio
     ``clv_revenue_ratio`` keeps the published formula, which divides the mean
     revenue by the row count once more; ``clv_to_mean_revenue`` is the plain ratio.
     """
+    df = cleaned(df)
     cut = quantile_value(df, "clv_estimate", 0.75)
     figures = df.withColumn("_cut", cut).agg(
         F.avg("clv_estimate").alias("current_avg_clv"),
@@ -284,6 +293,7 @@ def clv_insights(df: DataFrame, period: str = "monthly", date: str = "transactio
 
 def geo_cities(df: DataFrame) -> DataFrame:
     """Customers, churn rate, total and mean revenue per city and state."""
+    df = cleaned(df)
     return (
         df.groupBy(F.col("customer_city").alias("city"), F.col("customer_state").alias("country"))
         .agg(
@@ -318,6 +328,7 @@ def geo_kpis(cities: DataFrame) -> DataFrame:
 
 def geo_rollup(df: DataFrame) -> DataFrame:
     """City, state and grand-total levels in one pass."""
+    df = cleaned(df)
     return (
         df.rollup("customer_state", "customer_city")
         .agg(

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.numeric import clean
 from .stats import moments, null_profile, value_counts
 
 # Limits of the rules and the columns every input needs.
@@ -47,6 +48,7 @@ class RangeRule:
     severity: str = "error"
 
 
+# Accepted ranges.
 RANGE_RULES = [
     RangeRule("price_usd", low=0.0),
     RangeRule("price_usd", high=10000.0, severity="warning"),
@@ -76,7 +78,7 @@ def range_findings(df: DataFrame, rules: Sequence[RangeRule] = RANGE_RULES) -> D
         )
     structs = []
     for r in usable:
-        value = F.col(r.column).cast("double")
+        value = clean(r.column)
         broken = F.lit(False)
         if r.low is not None:
             broken = broken | (value < r.low)
@@ -236,7 +238,7 @@ def run_checks(df: DataFrame, **options) -> DataFrame:
         row = summary(findings(df, **options)).first()
         values = (row["errors"], row["warnings"], row["checks"], row["passed"], None)
     except Exception as problem:  # an unusable table must give a failed report, not a crash
-        values = (1, 0, 0, False, str(problem)[:500])
+        values = (1, 0, 0, False, str(problem))
     return df.sparkSession.createDataFrame([values], schema)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numeric import as_col, clean
+from ..functions.numeric import as_col, clean, cleaned
 from ..functions.scalars import one_row
 from .quantiles import exact_quantiles
 
@@ -21,15 +21,13 @@ def per_column(
     return df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
 
 
-def missing(c: str) -> Column:
-    return F.col(c).isNull()
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Null count and percentage (two decimals) per column."""
+    """Null count and percentage (two decimals) per column; NaN counts as null."""
     columns = list(columns or df.columns)
     counted = per_column(
-        df, columns, {"null_count": lambda c: F.count_if(missing(c)), "rows": lambda c: F.count(F.lit(1))}
+        cleaned(df), columns, {"null_count": lambda c: F.count_if(F.col(c).isNull()), "rows": lambda c: F.count(F.lit(1))}
     )
     pct = F.round(F.coalesce(F.try_divide(F.col("null_count") * 100.0, "rows"), F.lit(0.0)), 2)
     return counted.select("column", "null_count", pct.alias("null_pct"))
@@ -114,10 +112,15 @@ def level_info(df: DataFrame, columns: Sequence[str], limit: int = 50) -> DataFr
 
 
 def value_counts(df: DataFrame, column: str, out: str = "value") -> DataFrame:
-    """Absolute and relative frequency of each value."""
-    counts = df.groupBy(F.col(column).alias(out)).agg(F.count("*").alias("count"))
-    n = one_row(df.agg(F.count("*").alias("n")))
-    return counts.withColumn("_n", n).select(out, "count", (F.col("count") / F.col("_n")["n"]).alias("share"))
+    """Absolute and relative frequency of each present value. The total is summed from the counts."""
+    counts = cleaned(df.select(F.col(column).alias(out))).where(F.col(out).isNotNull()).groupBy(out).agg(F.count("*").alias("count"))
+    return summed_shares(counts, out)
+
+
+def summed_shares(counts: DataFrame, name: str) -> DataFrame:
+    """``(name, count)`` rows with each one's share of all counts."""
+    n = one_row(counts.agg(F.sum("count").alias("n")))
+    return counts.withColumn("_n", n).select(name, "count", (F.col("count") / F.col("_n")["n"]).alias("share"))
 
 
 def target_stats(df: DataFrame, target: str) -> DataFrame:

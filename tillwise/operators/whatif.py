@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.numeric import clean, cleaned
 from ..functions.scalars import one_row
 
 # Steps in standard deviations.
@@ -25,12 +26,12 @@ def _with_stats(requests: DataFrame, features: Sequence[str], stats_from: DataFr
     source = requests if stats_from is None else stats_from
     stats = one_row(
         source.agg(
-            *[F.stddev_samp(f).alias(f"{f}__std") for f in features],
-            *[F.min(f).alias(f"{f}__min") for f in features],
-            *[F.max(f).alias(f"{f}__max") for f in features],
+            *[F.stddev_samp(clean(f)).alias(f"{f}__std") for f in features],
+            *[F.min(clean(f)).alias(f"{f}__min") for f in features],
+            *[F.max(clean(f)).alias(f"{f}__max") for f in features],
         )
     )
-    return requests.withColumn("_stats", stats)
+    return cleaned(requests).withColumn("_stats", stats)
 
 
 def _moved(feature: str, step: float) -> Column:
@@ -38,7 +39,8 @@ def _moved(feature: str, step: float) -> Column:
     s = F.col("_stats")
     moved = F.col(feature).cast("double") + F.lit(step) * s[f"{feature}__std"]
     bound = s[f"{feature}__min" if step < 0 else f"{feature}__max"].cast("double")
-    return F.greatest(moved, bound) if step < 0 else F.least(moved, bound)
+    kept = F.greatest(moved, bound) if step < 0 else F.least(moved, bound)
+    return F.when(F.col(feature).isNotNull(), kept)
 
 
 def variations(requests: DataFrame, features: Sequence[str], stats_from: DataFrame | None = None) -> DataFrame:
@@ -105,12 +107,12 @@ def model_impacts(
     prediction: Column,
     stats_from: DataFrame | None = None,
 ) -> DataFrame:
-    """The same for a fitted pipeline: one ``transform`` scores every variation."""
-    original = model.transform(requests).select(key, prediction.alias("_original"))
-    varied = variations(requests, features, stats_from).withColumns(varied_columns(features))
-    changed = model.transform(varied).select(key, "feature", prediction.alias("_changed"))
-    both = changed.join(original, key)
-    return summarize(both.select(key, "feature", F.abs(F.col("_changed") - F.col("_original")).alias("impact")), key)
+    """The same for a fitted pipeline: one ``transform`` scores the requests, one every variation."""
+    # the first prediction rides on the row, so nothing is joined
+    scored = model.transform(requests).select(*requests.columns, prediction.alias("_original"))
+    varied = variations(scored, features, requests if stats_from is None else stats_from)
+    changed = model.transform(varied.withColumns(varied_columns(features)))
+    return summarize(changed.select(key, "feature", F.abs(prediction - F.col("_original")).alias("impact")), key)
 
 
 def summarize(rows: DataFrame, key: str) -> DataFrame:

@@ -35,8 +35,28 @@ def _c(*columns):
     return lambda spark, d: tables.customers(spark, d).select("customer_id", *columns)
 
 
+DUMMIES = [
+    "gender_Male", "gender_Other", "store_location_ASIA", "customer_city_FRANCE", "store_city_CHINA", "app_usage_Low",
+    "app_usage_Medium", "social_media_engagement_Low", "social_media_engagement_Medium", "education_level_High School",
+    "education_level_PhD", "marital_status_Single", "product_category_BUILDING", "payment_method_Weekly",
+]
+
+
+def _dummy_requests(spark, d):
+    """Requests with every column that sets dummies, derived from the customers."""
+    balance, bought = F.col("acct_balance"), F.col("num_purchases")
+    return tables.customers(spark, d).select(
+        "customer_id", "app_usage_frequency", "social_media_engagement", "customer_city",
+        F.when(balance > 5000, "Other").when(balance > 0, "Male").otherwise("Female").alias("gender"),
+        F.col("customer_state").alias("store_location"), F.col("customer_city").alias("store_city"),
+        F.when(bought > 60, "PhD").when(bought > 30, "High School").otherwise("None").alias("education_level"),
+        F.when(F.col("loyalty_program") == "Yes", "Single").otherwise("Widowed").alias("marital_status"),
+        F.col("segment").alias("product_category"), F.col("purchase_frequency").alias("payment_method"),
+    )
+
+
 def _interaction(spark, d):
-    base = tables.customers(spark, d).where("quantity > 0").select(
+    base = tables.customers(spark, d).select(
         "customer_id", "quantity", "unit_price", "discount_applied", "total_sales",
         F.col("gross_sales").alias("total_spent"),
     )
@@ -171,9 +191,9 @@ QUERIES = {
     )
     .groupBy("income_bracket", "purchase_frequency")
     .agg(F.count("*").alias("customers")),
-    "known_level_dummies": lambda spark, d: encoders.known_level_dummies(
-        _c("app_usage_frequency", "social_media_engagement")(spark, d)
-    ).drop("app_usage_frequency", "social_media_engagement"),
+    "known_level_dummies": lambda spark, d: encoders.request_dummies(_dummy_requests(spark, d), DUMMIES).select(
+        "customer_id", *DUMMIES
+    ),
     "alias_map": lambda spark, d: rounded(
         features.map_request_fields(_requests(spark, d)).drop("app_usage_frequency", "social_media_engagement")
     ),
@@ -182,7 +202,7 @@ QUERIES = {
             _requests(spark, d),
             ["total_transactions", "avg_purchase_value", "loyalty_program", "customer_support_calls",
              "recency_ratio", "recency_score", "quantity_times_price", "value_per_transaction",
-             "engagement_score", "engagement_ratio", "app_usage_frequency_Low", "unit_price",
+             "engagement_score", "engagement_ratio", "app_usage_Low", "unit_price",
              "purchase_frequency_Weekly"],
         ),
         6,
@@ -332,7 +352,7 @@ ORACLES = {
         C360,
         "SELECT customer_id, round(quantity * unit_price, 4) AS quantity_times_price, "
         "round(quantity * unit_price * (1 - discount_applied), 4) AS discounted, round(total_sales, 4) AS from_sales, "
-        "round(gross_sales, 4) AS from_spent, round(0.0::double, 4) AS from_nothing FROM c360 WHERE quantity > 0",
+        "round(gross_sales, 4) AS from_spent, round(0.0::double, 4) AS from_nothing FROM c360",
     ),
     "engagement_train": with_(
         C360,
@@ -376,13 +396,23 @@ ORACLES = {
     ),
     "known_level_dummies": with_(
         C360,
-        "SELECT customer_id, "
-        + ", ".join(
-            f"({c} = '{v}')::integer AS \"{c}_{v}\""
-            for c in ("app_usage_frequency", "social_media_engagement")
-            for v in ("Low", "Medium")
-        )
-        + " FROM c360",
+        """, r AS (
+  SELECT customer_id, app_usage_frequency AS app, social_media_engagement AS social, customer_city AS city,
+         segment AS category, purchase_frequency AS payment,
+         CASE WHEN acct_balance > 5000 THEN 'Other' WHEN acct_balance > 0 THEN 'Male' ELSE 'Female' END AS gender,
+         CASE WHEN num_purchases > 60 THEN 'PhD' WHEN num_purchases > 30 THEN 'High School' ELSE 'None' END AS edu,
+         CASE loyalty_program WHEN 'Yes' THEN 'Single' ELSE 'Widowed' END AS marital, customer_state AS place
+  FROM c360
+)
+SELECT customer_id, (gender = 'Male')::integer AS "gender_Male", (gender = 'Other')::integer AS "gender_Other",
+  (place = 'ASIA')::integer AS "store_location_ASIA", (city = 'FRANCE')::integer AS "customer_city_FRANCE",
+  (city = 'CHINA')::integer AS "store_city_CHINA", (app = 'Low')::integer AS "app_usage_Low",
+  (app = 'Medium')::integer AS "app_usage_Medium", (social = 'Low')::integer AS "social_media_engagement_Low",
+  (social = 'Medium')::integer AS "social_media_engagement_Medium",
+  (edu = 'High School')::integer AS "education_level_High School", (edu = 'PhD')::integer AS "education_level_PhD",
+  (marital = 'Single')::integer AS "marital_status_Single",
+  (category = 'BUILDING')::integer AS "product_category_BUILDING", (payment = 'Weekly')::integer AS "payment_method_Weekly"
+FROM r""",
     ),
     "alias_map": with_(
         C360,
@@ -421,7 +451,7 @@ ORACLES = {
         + _req("online_purchases / CASE WHEN online_purchases + half = 0 THEN 1 ELSE online_purchases + half END")
         + " AS engagement_ratio, "
         + _req("(app_usage_frequency = 'Low')::integer::double")
-        + ' AS "app_usage_frequency_Low", '
+        + ' AS "app_usage_Low", '
         + _req("100.0::double")
         + " AS unit_price, "
         + _req("(num_purchases >= 50)::integer::double")

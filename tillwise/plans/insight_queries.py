@@ -11,6 +11,7 @@ from .oracle_base import AS_OF, C360, CLV, RETAIL_TX, SCORED, with_
 from .shared import clv_customers, customers, rounded, scored_customers
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+ALL_TABLES = [*TABLES, *(t for t in tables.SOURCES if t not in TABLES)]
 # The campaigns of the demonstration query.
 CAMPAIGNS = [
     (1000000.0, "high_risk"), (2000000.0, "medium_risk"), (5000000.0, "all"),
@@ -38,7 +39,7 @@ QUERIES = {
     "customer_360": lambda spark, d: rounded(tables.customer_360(spark, d)),
     "rfm": lambda spark, d: rounded(tables.rfm(spark, d)),
     "table_counts": lambda spark, d: readers.table_counts(
-        {t: tables.load(spark, d, t) for t in TABLES}
+        {t: tables.load(spark, d, t) for t in ALL_TABLES}
     ),
     "revenue_at_risk": lambda spark, d: rounded(insights.revenue_at_risk(scored_customers(spark, d)), 1, avg_churn_probability=4),
     "campaign_roi": lambda spark, d: rounded(
@@ -85,9 +86,7 @@ QUERIES = {
     ),
     "what_if_formula": lambda spark, d: rounded(
         whatif.impacts(
-            customers(spark, d, "customer_id", "quantity", "unit_price", "discount_applied").where(
-                "unit_price is not null"
-            ),
+            customers(spark, d, "customer_id", "quantity", "unit_price", "discount_applied"),
             ["quantity", "unit_price", "discount_applied"],
             lambda c: c["quantity"] * c["unit_price"] * (1 - c["discount_applied"]),
             key="customer_id",
@@ -96,9 +95,7 @@ QUERIES = {
     ),
     "what_if_ranking": lambda spark, d: whatif.most_and_least_sensitive(
         whatif.impacts(
-            customers(spark, d, "customer_id", "quantity", "unit_price", "discount_applied").where(
-                "unit_price is not null"
-            ),
+            customers(spark, d, "customer_id", "quantity", "unit_price", "discount_applied"),
             ["quantity", "unit_price", "discount_applied"],
             lambda c: c["quantity"] * c["unit_price"] * (1 - c["discount_applied"]),
             key="customer_id",
@@ -180,7 +177,7 @@ FROM l""",
 
 
 _WHATIF = C360 + """, w AS (
-  SELECT customer_id, quantity, unit_price, discount_applied FROM c360 WHERE unit_price IS NOT NULL
+  SELECT customer_id, quantity, unit_price, discount_applied FROM c360
 ), s AS (
   SELECT stddev_samp(quantity) AS sq, min(quantity) AS lq, max(quantity) AS hq,
          stddev_samp(unit_price) AS su, min(unit_price) AS lu, max(unit_price) AS hu,
@@ -225,7 +222,7 @@ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""",
     "table_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS \"rows\", "
         f"(SELECT count(*) FROM (DESCRIBE {t}))::bigint AS \"columns\""
-        for t in TABLES
+        for t in ALL_TABLES
     ),
     "revenue_at_risk": with_(
         SCORED + _RISK,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..learning import boosting, descent, evaluate, explain, scoring
 from ..learning.prep import training_table
 from ..learning.registry import FAMILIES, families
+from ..operators.scaling import mean_impute
 from ..operators import whatif
 from ..operators.sampling import split
 from ..session import shared_folder
@@ -123,7 +124,7 @@ def _least_squares(spark, d):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    base = _linear_base(spark, d).na.drop()
+    base = mean_impute(_linear_base(spark, d), [*SQL_FEATURES, "total_sales"])
     x = ["quantity", "unit_price"]
     model = LinearRegression(solver="normal", labelCol="total_sales").fit(
         VectorAssembler(inputCols=x, outputCol="features").transform(base)
@@ -138,7 +139,7 @@ QUERIES = {
     ),
     "ols_small": lambda spark, d: rounded(_least_squares(spark, d), 3),
     "stump_round": lambda spark, d: rounded(
-        boosting.first_round(_linear_base(spark, d).na.drop(), SQL_FEATURES, "churned"), 6, threshold=4
+        boosting.first_round(mean_impute(_linear_base(spark, d), SQL_FEATURES), SQL_FEATURES, "churned"), 6, threshold=4
     ),
     **{f"score_{f.name}": _score(f.name) for f in families()},
     "feature_importance": _importance,

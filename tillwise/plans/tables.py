@@ -26,15 +26,30 @@ from ..operators.encoders import level_by_threshold
 from ..session import write_stage
 
 
-_schemas: dict[str, T.StructType] = {}
+SOURCES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+]
+CUSTOMER_SOURCES = ["region", "nation", "customer", "orders", "lineitem", "events"]
+
+_schemas: dict[str, tuple[tuple, T.StructType]] = {}
+
+
+def source_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Length, number of files and modification time of a source: what changes when it is written again."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = files.getContentSummary(target)
+    return summary.getLength(), summary.getFileCount(), files.getFileStatus(target).getModificationTime()
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A source table. Its schema is read from the files once, later plans reuse it."""
+    """A source table. Its schema is read from the files once and reused while they stay as they are."""
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    state = source_state(spark, path)
+    if path not in _schemas or _schemas[path][0] != state:
+        _schemas[path] = (state, spark.read.parquet(path).schema)
+    return spark.read.schema(_schemas[path][1]).parquet(path)
 
 
 def retail_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,15 +207,18 @@ def customer_360(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple, str] = {}
 
 
 def customers(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
-    """The stored customer table; ``refresh`` rebuilds it after the sources changed.
+    """The stored customer table; built again when a source has changed, or on ``refresh``.
 
     A table that is no longer in the shared folder is built again.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    if refresh:
+        _schemas.clear()
+    states = tuple(source_state(spark, f"{sf_dir}/{t}.parquet") for t in CUSTOMER_SOURCES)
+    key = (spark.sparkContext.applicationId, sf_dir, states)
     if not refresh and key in _stored:
         try:
             return spark.read.parquet(_stored[key])
