@@ -85,12 +85,22 @@ def test_exact_split_is_exact(spark):
     assert per_class == {True: 50, False: 150}
 
 
-def test_large_sample_equals_small_path(spark, monkeypatch):
+def test_samples_of_every_size_follow_the_hash(spark):
     df = materialize(spark.range(500), "test")
-    small = {r["id"] for r in sample_n(df, "id", 37).collect()}
-    monkeypatch.setattr(sampling, "TOP_LIMIT", 10)
-    assert {r["id"] for r in sample_n(df, "id", 37).collect()} == small
-    assert len(small) == 37
+    order = [r["id"] for r in df.orderBy(sampling.hash_order("id"), "id").collect()]
+    for n in (0, 1, 37, 499, 500, 900):
+        assert {r["id"] for r in sample_n(df, "id", n).collect()} == set(order[:n])
+
+
+def test_repeated_keys_and_rows_split_exactly(spark):
+    """One key holds most rows, and most of those are equal in every column."""
+    df = materialize(spark.range(400).select(F.lit(7).alias("k"), (F.col("id") % 3).alias("v")).union(spark.range(100).select("id", "id")), "test")
+    assert exact_split(df, "k", 0.31).where("is_test").count() == 155
+    assert exact_split(df, "k", 0.31).count() == 500
+    assert sample_n(df, "k", 333).count() == 333
+    nulls = materialize(spark.range(40).select("id", F.when(F.col("id") % 2 == 0, "a").alias("y")), "test")
+    flagged = exact_split(nulls, "id", 0.5, by=("y",)).where("is_test").groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in flagged} == {None: 10, "a": 10}
 
 
 def test_hash_split_does_not_depend_on_partitions(spark):

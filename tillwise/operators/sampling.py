@@ -6,15 +6,12 @@ the cluster. A keyed hash gives the same rows everywhere and needs no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import as_col
-from ..functions.scalars import one_row
 from ..session import materialize
-from .cumulative import running_totals
 
 BUCKETS = 10_000
-TOP_LIMIT = 100_000
 
 
 def _digest(key: str | Column, seed: int) -> Column:
@@ -41,34 +38,60 @@ def split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> t
     return df.where(~test), df.where(test)
 
 
-def exact_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
-    """Flag exactly floor(share x n) rows as ``is_test``, per ``by`` group when given.
+def _selected(df: DataFrame, need: DataFrame, orders: list[Column]) -> DataFrame:
+    """``df`` with ``_first``: whether a row is among the ``_need`` first of its group ``_g``.
 
-    Ranks come from range-wise running totals, so neither the whole table nor a
-    single class is sorted in one task. Hand in a stored table.
+    Only one number a group is wanted, the order of its last row to take. It is
+    found 16 bits at a time: counts of the leading bits, combined before the
+    shuffle, name the range that holds it, and the next count looks only there.
+    No row is sorted or sent anywhere. Rows that share this order, when not all
+    of them are taken, are told apart by the next of ``orders``; rows equal in
+    all of them are equal in every column, and any of them will do.
     """
-    marked = df.withColumn("_order", hash_order(key, seed)).withColumn("_one", F.lit(1))
-    ranked = running_totals(marked, "_order", ["_one"], by=by, descending=False, ties=[key])
-    if by:
-        # written, so that the true size of the class table decides the join
-        sizes = materialize(df.groupBy(*by).agg(F.count("*").alias("_n")), "class-sizes")
-        ranked = ranked.join(sizes, list(by))
-        n = F.col("_n")
-    else:
-        ranked = ranked.withColumn("_n", one_row(df.agg(F.count("*").alias("n")))["n"])
-        n = F.col("_n")
-    flag = F.col("cum__one") <= F.floor(n * test_share)
-    return ranked.withColumn("is_test", flag).drop("_order", "_one", "cum__one", "_n")
+    if not orders:
+        placed = df.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(F.lit(0)))).join(need, "_g")
+        return placed.withColumn("_first", F.col("_n") <= F.col("_need")).drop("_n", "_need")
+    marked = df.withColumn("_order", orders[0])
+    state, known = need, 60
+    while known:
+        bits = min(16, known)
+        here = marked.select("_g", "_order").join(state, "_g")
+        if known < 60:
+            here = here.where(F.shiftright("_order", known) == F.col("_lead")).drop("_lead", "_n")
+        known -= bits
+        counts = here.groupBy("_g", "_need", F.shiftright("_order", known).alias("_lead")).agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_lead"))  # 65536 rows a group at most
+        found = counts.withColumn("_upto", upto).where("_upto >= _need and _upto - _n < _need")
+        state = materialize(found.selectExpr("_g", "_need - _upto + _n AS _need", "_lead", "_n"), "rank-range")
+    joined = marked.join(state, "_g", "left")
+    split = F.coalesce((F.col("_order") == F.col("_lead")) & (F.col("_n") > F.col("_need")), F.lit(False))
+    extra = ["_order", "_lead", "_n", "_need"]
+    clear = joined.where(~split).withColumn("_first", F.coalesce(F.col("_order") <= F.col("_lead"), F.lit(False))).drop(*extra)
+    ties = state.where("_n > _need")
+    if ties.isEmpty():
+        return clear
+    return clear.unionByName(_selected(joined.where(split).drop(*extra), ties.select("_g", "_need"), orders[1:]))
+
+
+def _orders(df: DataFrame, key: str, seed: int) -> list[Column]:
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return [hash_order(key, seed), F.shiftrightunsigned(rest, 4)]
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all, if fewer), the same on every run.
+def exact_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """Flag exactly floor(share x n) rows as ``is_test``, per ``by`` group when given; by hash of ``key``.
 
-    A small sample is a top-n per task merged once. A large one would not fit the
-    merging task, so its rows are found by their rank in range-wise totals.
+    Rows of one key that stands more than once are told apart by a hash of the
+    whole row. Hand in a stored table.
     """
-    if n <= TOP_LIMIT:
-        return df.orderBy(hash_order(key, seed), key).limit(n)
-    marked = df.withColumn("_order", hash_order(key, seed)).withColumn("_one", F.lit(1))
-    ranked = running_totals(marked, "_order", ["_one"], descending=False, ties=[key])
-    return ranked.where(F.col("cum__one") <= n).drop("_order", "_one", "cum__one")
+    rows = df.withColumn("_g", F.struct(*by) if by else F.lit(0))
+    need = rows.groupBy("_g").agg(F.floor(F.count("*") * test_share).cast("long").alias("_need")).where("_need > 0")
+    picked = _selected(rows, materialize(need, "wanted"), _orders(df, key, seed))
+    return picked.withColumnRenamed("_first", "is_test").drop("_g")
+
+
+def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """Exactly n rows (or all, if fewer), the same on every run and by one plan for every n."""
+    rows = df.withColumn("_g", F.lit(0))
+    need = rows.groupBy("_g").agg(F.least(F.count("*"), F.lit(n)).alias("_need")).where("_need > 0")
+    return _selected(rows, materialize(need, "wanted"), _orders(df, key, seed)).where("_first").drop("_first", "_g")

@@ -310,6 +310,11 @@ QUERIES = {
     "exact_split": lambda spark, d: sampling.exact_split(_sample_base(spark, d), "customer_id"),
     "stratified_split": _stratified,
     "sample_n": lambda spark, d: sampling.sample_n(_sample_base(spark, d), "customer_id", 100),
+    "sample_lines": lambda spark, d: sampling.sample_n(
+        tables.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", 100_001
+    ).groupBy("l_orderkey").agg(F.count("*").alias("lines")).where("lines > 0").agg(
+        F.sum("lines").alias("lines"), F.count("*").alias("orders")
+    ),
     "train_val": lambda spark, d: sampling.split(_sample_base(spark, d), "customer_id", 0.2)[0].select(
         "customer_id", sampling.in_share("customer_id", 0.15, seed=7).alias("is_validation")
     ),
@@ -560,6 +565,10 @@ FROM r""",
         f"{_ORDER.format(key='customer_id')}, customer_id) <= floor(count(*) OVER (PARTITION BY churned) * 0.2::double) "
         "AS is_test FROM c360",
     ),
+    # whole orders are taken in the order of their hash, the last one perhaps in part
+    "sample_lines": f"WITH o AS (SELECT l_orderkey, count(*) AS c, {_ORDER.format(key='l_orderkey')} AS h FROM lineitem GROUP BY 1), "
+    "u AS (SELECT *, sum(c) OVER (ORDER BY h, l_orderkey) - c AS before FROM o) "
+    "SELECT sum(least(c, 100001 - before))::bigint AS lines, count(*) AS orders FROM u WHERE before < 100001",
     "sample_n": f"SELECT c_custkey AS customer_id, c_mktsegment FROM customer ORDER BY "
     f"{_ORDER.format(key='c_custkey')}, c_custkey LIMIT 100",
     "train_val": f"SELECT c_custkey AS customer_id, {_BUCKET.format(seed=7)} < 1500 AS is_validation FROM customer "
