@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_stage
+
 #: Bytes of text that an operator holds as Python or NumPy values at a time.
 SLICE_BYTES = 2 << 20
 
@@ -77,6 +80,29 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
 
 
+class Scratch:
+    """Written stages of one operator, dropped when what follows from them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` in the shared folder and read it back."""
+        schema, path = df.schema, write_stage(df, name)
+        self.paths.append(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def tidy(self, stages: int = 0) -> None:
+        """Remove all stages but the last ``stages``, and let Spark drop the shuffle files of plans that are gone."""
+        cut = len(self.paths) - stages
+        for path in self.paths[:cut]:
+            remove_folder(self.spark, path)
+        self.paths = self.paths[cut:]
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver forgets their plans
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a written stage that nothing reads any more, through Hadoop's file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import ship
+from .common import Scratch, ship
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +54,7 @@ def _shrunk(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """Link the larger (large) or the other smaller (small) neighbours of each node to its smallest one.
 
     The smallest neighbours are a written table, so that the join back can split a hub's edges.
@@ -64,14 +63,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         sides = edges.union(edges.select("b", "a")).toDF("u", "v")
     else:
         sides = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = materialize(sides.groupBy("u").agg(F.min("v").alias("m")), "star-least")
+    least = scratch.keep(sides.groupBy("u").agg(F.min("v").alias("m")), "star-least")
     least = least.select("u", F.least("u", "m").alias("m"))
     joined = sides.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m").toDF("a", "b"))
-    return materialize(out.where("a <> b").distinct(), "star-edges")
+    return scratch.keep(out.where("a <> b").distinct(), "star-edges")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -80,10 +79,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Edges are first reduced inside each partition; then stars are formed until nothing changes, a
     logarithmic number of rounds in practice. No node's edges are gathered in one task.
     """
-    edges = materialize(_shrunk(edges.where("a <> b")), "forest")
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.keep(_shrunk(edges.where("a <> b")), "forest")
     mark = None
     while True:
-        edges = _star(_star(edges, large=True), large=False)
+        edges = _star(_star(edges, True, scratch), False, scratch)
+        scratch.tidy(1)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

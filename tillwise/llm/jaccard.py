@@ -8,11 +8,15 @@ signature, a hash of its shingles there, and similar sets share one at least. (P
 shingle would be shared by strangers. More than ``k + 1`` parts are cut, and a set leaves out as many
 of its empty parts as it can spare without losing a partner; see :func:`signatures`.)
 
-Classes that share a signature are joined into coarse groups, by stars and never by all pairs; every
-link lies inside a coarse group. There the sets are compared exactly: groups of up to ``BLOCK``
-classes in one task, larger ones against a pivot first, and then those that the pivot does not link
-in blocks of bounded size against the others. Only a spanning forest of each task's links is given
-out. Links between classes then give the components.
+Classes that share a signature form a bucket; buckets of equal members are one. A bucket's members are
+first compared by odd sketches: a set's shingles each flip one bit, so two sets differ in as many
+shingles as their sketches differ in bits, at least, and pairs beyond ``k`` are dropped without
+looking at the sets. Buckets are compared in blocks, and only a spanning forest of the pairs that
+stay possible is given out. It joins classes into coarse groups; every link lies inside one. There
+the sets are compared exactly: groups of up to ``BLOCK`` classes in one task, larger ones against a
+pivot first, and then those that the pivot does not link in blocks of bounded size against the
+others. Again only a forest of each task's links is given out. Links between classes then give the
+components.
 
 Defined cases: null texts and texts without a word have an empty set, which links with nothing; a
 text of fewer words than a shingle is one shingle; rows that share an id are judged as documents of
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import raw, ship, slices, text_key
+from .common import Scratch, raw, ship, slices, text_key
 from .components import connected_components, spanning_forest
 
 #: Least growth of the upper size from band to band; about the cheapest for thresholds from 0.8 to 0.9.
@@ -41,6 +45,8 @@ BAND_GROWTH = 1.6
 #: Classes and bytes of sets that one comparison task gets from each side.
 BLOCK = 256
 BLOCK_BYTES = 32 << 20
+#: Members of a bucket whose sketches one task compares with one another.
+SKETCHES = 1024
 _LAST = (1 << 63) - 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -152,80 +158,153 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), text_key(F.col("text")).alias("text_key"), "text")
 
 
-def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by signature; where each run begins, and the run's first key for each row."""
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    return order, first, key[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(sig) else key
+def buckets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``bucket, key``: the classes that share a signature; buckets with the same members are one.
 
-
-def candidate_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b``: a forest that joins all classes sharing a signature.
-
-    A map task joins what it finds in a batch itself and sends on one row per signature and batch,
-    so a signature that very many sets share is combined before the shuffle.
+    Equal sets of a map task's batch send their signatures once. A reduce task holds the 16-byte
+    rows of its share of the signatures.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, key, seen = [], [], set()
+            seen: set[int] = set()
             for part in slices(iter([batch]), 0):
+                sig, key = [], []
                 for s in shingle_sets(raw(part.column(0)), size):
                     k = _digest(s)[0]
                     if len(s) and k not in seen:
                         seen.add(k)
-                        sig.append(signatures(s, percent))
+                        sig.append(signatures(s, percent).view(np.int64))
                         key.append(np.full(len(sig[-1]), k, np.int64))
-            if not sig:
-                continue
-            sigs, keys = np.concatenate(sig).view(np.int64), np.concatenate(key)
-            order, first, pivot = _stars(sigs, keys)
-            sigs, keys = sigs[order], keys[order]
-            a, b = spanning_forest(keys[~first], pivot[~first])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([sigs[first], a ^ b]), pa.int64()),
-                    pa.array(np.concatenate([keys[first], a]), pa.int64()),
-                    pa.array(np.concatenate([keys[first], b]), pa.int64()),
-                ],
-                ["sig", "a", "b"],
-            )
+                if sig:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.concatenate(key))], ["sig", "key"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, a, b = [], [], []
-        for batch in batches:
-            s, x, y = (c.to_numpy() for c in batch.columns)
-            alone = x == y  # a signature's row; the others are edges already
-            sig.append(s[alone])
-            a.append(x[alone])
-            b.append(np.stack([x[~alone], y[~alone]]))
-        if not sig:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        sigs, keys, edges = np.concatenate(sig), np.concatenate(a), np.concatenate(b, axis=1)
-        order, first, pivot = _stars(sigs, keys)
-        left = np.concatenate([keys[order][~first], edges[0]])
-        right = np.concatenate([pivot[~first], edges[1]])
-        x, y = spanning_forest(left, right)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+        sig, key = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        order = np.lexsort((key, sig))
+        sig, key = sig[order], key[order]
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
+        sig, key = sig[new], key[new]  # equal sets of several batches
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        count = np.diff(np.concatenate([first, [len(sig)]]))
+        name = mixed(np.add.reduceat(mixed(key.view(np.uint64)), first) + count.astype(np.uint64))
+        shared = np.flatnonzero(count > 1)
+        shared = shared[np.unique(name[shared], return_index=True)[1]]
+        for at in range(0, len(shared), 1 << 14):
+            some = shared[at : at + (1 << 14)]
+            rows = np.concatenate([np.arange(first[i], first[i] + count[i]) for i in some])
+            names = np.repeat(name[some], count[some]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(key[rows])], ["bucket", "key"])
 
     ship(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(scan, "sig long, a long, b long")
-    return rows.repartition("sig").mapInArrow(gather, "a long, b long")
+    rows = docs.select("text").mapInArrow(scan, "sig long, key long")
+    return rows.repartition("sig").mapInArrow(gather, "bucket long, key long").distinct()
 
 
-def _live_sets(docs: DataFrame, live: DataFrame, size: int) -> DataFrame:
-    """``component, key, bytes`` of each class in ``live`` (``id, text_key, key, component``)."""
+def odd_sketch(shingles: np.ndarray, percent: int) -> bytes:
+    """One bit of parity for each value of the shingles' top bits; about four bits for each that may differ."""
+    n = len(shingles)
+    wanted = max(256, 4 * most_apart(n + 100 * n // percent, percent))
+    bits = 1 << int(wanted - 1).bit_length()
+    odd = np.bincount((mixed(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> int:
+    """A sketch of ``size`` bytes, as a number: folding keeps parities, as bits are numbered by low bits."""
+    x = int.from_bytes(sketch, "little")
+    at = len(sketch)
+    while at > size:
+        at //= 2
+        x = (x >> (8 * at)) ^ (x & ((1 << (8 * at)) - 1))
+    return x
+
+
+def possible_pairs(left: list[tuple[int, bytes]], right: list[tuple[int, bytes]] | None, percent: int) -> list[tuple[int, int]]:
+    """Forest of pairs (positions in ``left + right``) whose sketches allow the threshold; within ``left`` if ``right`` is None."""
+    rows = left + (right or [])
+    size = min(len(s) for _, s in rows)
+    marks = np.array([np.frombuffer(folded(s, size).to_bytes(size, "little"), np.uint64) for _, s in rows])
+    sizes = np.array([n for n, _ in rows])
+    start = len(left) if right else 0
+    found: list[np.ndarray] = []
+    for i in range(len(left)):
+        others = np.arange(max(start, i + 1), len(rows))
+        apart = np.bitwise_count(marks[others] ^ marks[i]).sum(axis=1)
+        near = others[apart <= (100 - percent) * (sizes[others] + sizes[i]) // (100 + percent)]
+        found.append(np.stack([np.full(len(near), i), near]))
+    pairs = np.concatenate(found, axis=1)
+    return list(zip(*spanning_forest(pairs[0], pairs[1])))
+
+
+def possible_edges(met: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``a, b``: forests of the pairs in each bucket that the sketches of ``met`` (``bucket, key, n, sketch``) allow.
+
+    A bucket beyond ``SKETCHES`` members is dealt into blocks, and each pair of blocks is a task's work.
+    """
+    spark = met.sparkSession
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("members"))
+    large = scratch.keep(sizes.where(F.col("members") > SKETCHES).select("bucket", F.ceil(F.col("members") / SKETCHES).cast("int").alias("blocks")), "large-buckets")
+    own = F.expr("int(pmod(xxhash64(key), blocks))")
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j"), own.alias("own")))
+    dealt = met.join(large, "bucket").select("bucket", "key", "n", "sketch", F.explode(other).alias("at"))
+    small = met.join(large, "bucket", "left_anti")
+    rows = small.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "key", "n", "sketch").unionByName(
+        dealt.select("bucket", "at.i", "at.j", "at.own", "key", "n", "sketch")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now = [], None
+        a: list[int] = []
+        b: list[int] = []
+
+        def close() -> None:
+            if len(group) > 1:
+                i, j = now[1:]
+                left = [g for g in group if g[0] == i]
+                right = [g for g in group if g[0] != i] if i != j else None
+                if right is None or (left and right):
+                    keys = [g[1] for g in left + (right or [])]
+                    for x, y in possible_pairs([g[2:] for g in left], right and [g[2:] for g in right], percent):
+                        a.append(keys[x])
+                        b.append(keys[y])
+
+        for batch in batches:
+            for *at, own_, key, n, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != now:
+                    close()
+                    group, now = [], at
+                group.append((own_, key, n, sketch))
+            if len(a) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a.clear()
+                b.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    ship(spark)
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _live_sets(docs: DataFrame, live: DataFrame, size: int, percent: int) -> DataFrame:
+    """``key, n, bytes, sketch`` of each class in ``live`` (``id, text_key, key``)."""
     rows = _keyed(docs)
-    names = live.select(F.col("id").alias("l_id"), F.col("text_key").alias("l_text_key"), "key", "component")
+    names = live.select(F.col("id").alias("l_id"), F.col("text_key").alias("l_text_key"), "key")
     joined = rows.join(names.hint("shuffle_hash"), (rows["id"] == F.col("l_id")) & (rows["text_key"] == F.col("l_text_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2):
-            sets = [s.tobytes() for s in shingle_sets(raw(part.column(2)), size)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["component", "key", "bytes"])
+        for part in slices(batches, 1):
+            sets = shingle_sets(raw(part.column(1)), size)
+            columns = [
+                part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()),
+                pa.array([odd_sketch(x, percent) for x in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "bytes", "sketch"])
 
-    return joined.select("component", "key", "text").mapInArrow(run, "component long, key long, bytes binary")
+    return joined.select("key", "text").mapInArrow(run, "key long, n long, bytes binary, sketch binary")
 
 
 def linked(far: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -270,13 +349,13 @@ def _compared(groups: DataFrame, percent: int) -> DataFrame:
     return groups.groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
+def _links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links that connect what is linked inside the coarse groups of ``sets``, exactly."""
     sizes = sets.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("bytes")).alias("size"), F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("p"))
-    sizes = materialize(sizes.select("component", "n", "size", F.col("p.key").alias("pivot")), "group-sizes")
+    sizes = scratch.keep(sizes.select("component", "n", "size", F.col("p.key").alias("pivot")), "group-sizes")
     large = sizes.where((F.col("n") > BLOCK) | (F.col("size") > BLOCK_BYTES))
     pivots = sets.join(large.select("component", F.col("pivot").alias("key")), ["component", "key"]).dropDuplicates(["component"])
-    pivots = materialize(pivots.select("component", F.col("key").alias("pivot"), F.col("bytes").alias("pivot_bytes")), "pivots")
+    pivots = scratch.keep(pivots.select("component", F.col("key").alias("pivot"), F.col("bytes").alias("pivot_bytes")), "pivots")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +367,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(far, pa.bool_())], ["component", "key", "bytes", "pivot", "far"])
 
     met = sets.join(pivots, "component", "left").select("component", "key", "bytes", "pivot", "pivot_bytes")
-    marked = materialize(met.mapInArrow(near, "component long, key long, bytes binary, pivot long, far boolean"), "met-pivot")
+    marked = scratch.keep(met.mapInArrow(near, "component long, key long, bytes binary, pivot long, far boolean"), "met-pivot")
     by_pivot = marked.where("not far and key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
 
     blocks = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_BYTES)).cast("int")
@@ -296,7 +375,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         F.count_if("far").alias("nf"), F.count_if(~F.col("far")).alias("nn"),
         F.sum(F.when(F.col("far"), F.length("bytes")).otherwise(0)).alias("sf"), F.sum(F.when(~F.col("far"), F.length("bytes")).otherwise(0)).alias("sn"),
     )
-    counts = materialize(counts.select("component", blocks("nf", "sf").alias("far_blocks"), blocks("nn", "sn").alias("near_blocks")).where("far_blocks > 0"), "group-blocks")
+    counts = scratch.keep(counts.select("component", blocks("nf", "sf").alias("far_blocks"), blocks("nn", "sn").alias("near_blocks")).where("far_blocks > 0"), "group-blocks")
     dealt = marked.drop("pivot").join(counts, "component").withColumn("h", F.xxhash64("key"))
     far_at, near_at = F.expr("int(pmod(h, far_blocks))"), F.expr("int(pmod(h, near_blocks))")
     meets_far = F.transform(F.sequence(F.lit(0), F.col("far_blocks") - 1), lambda j: F.struct(F.least(j, far_at).alias("i"), F.greatest(j, far_at).alias("j")))
@@ -325,10 +404,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     classes = materialize(classes.select(F.col("k1").alias("key"), "first.*", (F.col("low") != F.col("high")).alias("clash")), "set-classes")
     if not classes.where("clash").isEmpty():
         raise RuntimeError("two different shingle sets have the same 64-bit digest")
-    coarse = connected_components(candidate_edges(docs, size, percent))
-    live = materialize(coarse.join(classes, coarse["node"] == classes["key"]).select("id", "text_key", "key", "component"), "coarse-groups")
-    sets = materialize(_live_sets(docs, live, size), "live-sets")
-    found = materialize(connected_components(_links(sets, percent)), "linked")
+    scratch = Scratch(docs.sparkSession)
+    shared = scratch.keep(buckets(docs, size, percent), "buckets")
+    live = scratch.keep(shared.select("key").distinct().join(classes, "key").select("id", "text_key", "key"), "live-classes")
+    sets = scratch.keep(_live_sets(docs, live, size, percent), "live-sets")
+    scratch.tidy(3)
+    met = shared.join(sets.select("key", "n", "sketch"), "key")
+    coarse = scratch.keep(connected_components(possible_edges(met, percent, scratch)), "coarse-groups")
+    grouped = coarse.select(F.col("node").alias("key"), "component").join(sets.select("key", "bytes"), "key").select("component", "key", "bytes")
+    grouped = scratch.keep(grouped, "grouped-sets")
+    found = materialize(connected_components(_links(grouped, percent, scratch)), "linked")
+    scratch.tidy()
     named = found.join(classes, found["node"] == classes["key"]).groupBy("component").agg(F.min("id").alias("smallest"))
     named = found.join(named, "component").select(F.col("node").alias("n_key"), "smallest", "component")
     by_class = classes.join(named, F.col("key") == F.col("n_key"), "left")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_folder
-from .common import BLANKS, partitions, remove_folder, text_key
+from .common import BLANKS, Scratch, partitions, remove_folder, text_key
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -60,6 +60,7 @@ class LineRuns:
         self.folder = f"{shared_folder(spark)}/line-runs-{uuid.uuid4().hex}"
         self.buckets = partitions(spark)
         self.levels: list[list[str]] = [[]]
+        self.scratch = Scratch(spark)
 
     def _store(self, keys: DataFrame) -> str:
         """Write a run, bucketed and sorted by hash."""
@@ -80,13 +81,13 @@ class LineRuns:
         if not runs:
             self.levels[0].append(self._store(keys))
             return keys.limit(0)
-        keys = materialize(keys.repartition(self.buckets, "k1", "k2").sortWithinPartitions("k1", "k2"), "line-keys")
+        keys = self.scratch.keep(keys.repartition(self.buckets, "k1", "k2").sortWithinPartitions("k1", "k2"), "line-keys")
         new = keys
         for name in runs:
             new = new.join(self.spark.table(name).hint("merge"), ["k1", "k2"], "left_anti")
         self.levels[0].append(self._store(new))
         old = [keys.join(self.spark.table(name).hint("merge"), ["k1", "k2"], "left_semi") for name in runs]
-        known = materialize(reduce(DataFrame.union, old), "line-known")
+        known = self.scratch.keep(reduce(DataFrame.union, old), "line-known")
         self.compact()
         return known
 
@@ -105,6 +106,7 @@ class LineRuns:
     def close(self) -> None:
         for name in [n for level in self.levels for n in level]:
             self._drop(name)
+        self.scratch.tidy()
 
 
 def _batches(docs: DataFrame, n: int) -> list[Column]:
@@ -126,13 +128,14 @@ def _batches(docs: DataFrame, n: int) -> list[Column]:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """``id, text_key, pos`` of each line whose key a smaller document id holds."""
     spark = docs.sparkSession
-    lines = materialize(line_hashes(docs, min_chars), "lines")
+    scratch = Scratch(spark)
+    lines = scratch.keep(line_hashes(docs, min_chars), "lines")
     runs = LineRuns(spark, fanout)
     out = []
     for here in _batches(docs, batches):
         batch = lines.where(here)
         firsts = batch.groupBy("k1", "k2").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
-        firsts = materialize(firsts, "line-firsts")
+        firsts = scratch.keep(firsts, "line-firsts")
         known = runs.add(firsts.select("k1", "k2"))
         # a key of an earlier batch has no owner here; a key of this batch matters if two documents hold it
         losing = known.select("k1", "k2", F.lit(None).cast("long").alias("owner")).unionByName(
@@ -141,6 +144,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
         lost = batch.join(losing, ["k1", "k2"]).where(F.col("owner").isNull() | (F.col("id") > F.col("owner")))
         out.append(materialize(lost.select("id", "text_key", "pos"), "line-lost"))
     runs.close()
+    scratch.tidy()
     return reduce(DataFrame.union, out)
 
 
