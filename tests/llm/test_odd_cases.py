@@ -372,6 +372,20 @@ def test_tree_equals_library(leaf, radius):
     assert bpe.TreeEncoder(path, leaf, radius).encode(texts) == want
 
 
+def test_both_libraries_agree_on_all_code_points():
+    """The encoder of leaves against the library, for every character in several surroundings."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, tree = Tokenizer.from_file(path), bpe.TreeEncoder(path)
+    for start in range(0, 0x110000, 0x8000):
+        chars = [chr(c) for c in range(start, start + 0x8000) if not 0xD800 <= c <= 0xDFFF]
+        # a few characters a text keep this quick; a difference shows in any of their surroundings
+        texts = ["".join(f"a{c}b 1{c}2 {c}{c}  {c}'s{c}\n{c} " for c in chars[i : i + 64]) for i in range(0, len(chars), 64)]
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [tree._plain(t) for t in texts] == want
+
+
 def test_bpe_odd(odd, odd_docs, no_docs):
     path = queries.tokenizer_path()
     coded = bpe.encode_documents(odd_docs, path, leaf=64)
