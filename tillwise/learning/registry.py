@@ -157,12 +157,12 @@ for _name, _title, _task, _fit in [
     ("multiple_regression", "Multiple Regression (scratch)", "regression", multiple),
     ("least_squares_regression", "Multiple Regression (closed form)", "regression", ordinary_least_squares),
     ("polynomial_regression", "Polynomial Regression (scratch)", "regression", polynomial),
-    ("boosted_trees_regression", "XGBoost (scratch)", "regression", boosted_trees),
-    ("boosted_trees_sampled_regression", "XGBoost (sklearn)", "regression", boosted_trees_sampled),
+    ("boosted_trees_regression", "Boosted Trees", "regression", boosted_trees),
+    ("boosted_trees_sampled_regression", "Boosted Trees (subsampled)", "regression", boosted_trees_sampled),
     ("logistic_regression_classification", "Logistic Regression (scratch)", "classification", logistic),
     ("decision_tree_classification", "Decision Tree (scratch)", "classification", tree),
     ("random_forest_classification", "Random Forest (scratch)", "classification", forest),
-    ("random_forest_large_classification", "Random Forest (sklearn)", "classification", forest_large),
+    ("random_forest_large_classification", "Random Forest (200 trees)", "classification", forest_large),
     ("svm_classification", "SVM (scratch)", "classification", svm),
     ("random_forest_pca_classification", "Random Forest + PCA (scratch)", "classification", forest_pca),
     ("svm_pca_classification", "SVM + PCA (scratch)", "classification", svm_pca),

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numeric import sigmoid
 from ..operators.insights import rule_scored
+from .clusters import MarginModel
 
 # The order in which saved models are tried for churn scores.
 CHURN_MODEL_ORDER = [
@@ -17,7 +19,10 @@ CHURN_MODEL_ORDER = [
 
 
 def score(model, df: DataFrame, keys: Sequence[str], task: str = "classification") -> DataFrame:
-    """``(*keys, prediction[, label_text, probability])``; probability is 0.5 where a model has none."""
+    """``(*keys, prediction[, label_text, probability])``; probability is 0.5 where a model has none.
+
+    A margin between clusters becomes a probability by the logistic function, with one half at its threshold.
+    """
     out = model.transform(df)
     if task == "regression":
         return out.select(*keys, F.col("prediction").cast("double").alias("prediction"))
@@ -25,7 +30,7 @@ def score(model, df: DataFrame, keys: Sequence[str], task: str = "classification
         *keys,
         F.col("prediction").cast("int").alias("prediction"),
         F.when(F.col("prediction") == 1, "Churn").otherwise("Retain").alias("label_text"),
-        positive_score(out).alias("probability"),
+        (sigmoid(F.col("score") - model.threshold) if isinstance(model, MarginModel) else positive_score(out)).alias("probability"),
     )
 
 

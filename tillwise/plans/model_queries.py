@@ -13,7 +13,7 @@ from ..learning.registry import FAMILIES, families
 from ..operators.scaling import mean_impute
 from ..operators import whatif
 from ..operators.sampling import split
-from ..session import shared_folder
+from ..session import materialize, shared_folder
 from ..sources import model_store
 from . import tables
 from .oracle_base import C360, with_
@@ -39,11 +39,37 @@ def _score(name: str):
     def run(spark, d):
         train, test = train_test(spark, d, family.task)
         model = family.fit(train, FEATURES, "customer_id")
-        return rounded(scoring.score(model, test, ["customer_id", "label"], family.task))
+        scored = scoring.score(model, test, ["customer_id", "label"], family.task)
+        return rounded(scored if name in EXACT else _checked(scored, family.task))
 
     return run
 
 
+#: Families whose predictions follow from a formula, so that SQL can give them.
+EXACT = ("linear_regression", "multiple_regression")
+
+
+def _checked(scored: DataFrame, task: str) -> DataFrame:
+    """Scores of a family that depends on the solver, with what must hold for every sound model of it.
+
+    A classifier names a class, texts follow it, probabilities are probabilities,
+    and it finds churners (F1 above the majority rule's 0). A regressor is finite
+    and errs less than the mean does.
+    """
+    stored = materialize(scored, "scored")
+    p, y = F.col("prediction"), F.col("label")
+    if task == "regression":
+        fit = stored.agg((F.sum((p - y) * (p - y)) < F.var_pop("label") * F.count("*")).alias("better")).scalar()
+        sound = p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf"))
+        return stored.select("customer_id", "label", sound.alias("finite"), fit.alias("beats_mean"))
+    fit = stored.agg((F.count_if((p == 1) & (y == 1)) > 0).alias("better")).scalar()
+    text = F.when(p == 1, "Churn").otherwise("Retain")
+    return stored.select(
+        "customer_id", "label", p.isin(0, 1).alias("is_class"), (F.col("label_text") == text).alias("text_follows"),
+        F.col("probability").between(0.0, 1.0).alias("is_probability"), fit.alias("beats_majority"),
+    )
+
+
 def _fitted(name: str, spark, d):
     train, test = train_test(spark, d, FAMILIES[name].task)
     return FAMILIES[name].fit(train, FEATURES, "customer_id"), train, test
@@ -51,7 +77,14 @@ def _fitted(name: str, spark, d):
 
 def _importance(spark, d):
     model, _, _ = _fitted("random_forest_classification", spark, d)
-    return explain.importance(spark, model, FEATURES)
+    rows = materialize(explain.importance(spark, model, FEATURES), "importance")
+    total = rows.agg(F.sum("importance").alias("t")).scalar()
+    return rows.select("feature", F.col("importance").between(0.0, 1.0).alias("is_share"), F.round(total, 6).alias("total"))
+
+
+def _weights(spark, d):
+    """Absolute weights of the one-feature descent model, ranked."""
+    return rounded(explain.importance(spark, _simple(spark, d), SQL_FEATURES), 4)
 
 
 def _usage(spark, d):
@@ -73,12 +106,12 @@ def _saved(spark, d):
 def _attributions(spark, d):
     table = tables.customers(spark, d).select("customer_id", *SQL_FEATURES, "total_sales")
     model = descent.fit_multiple(table, SQL_FEATURES, "total_sales")
-    return explain.linear_attributions(table, dict(zip(model.features, model.weights)), ["customer_id"])
+    return rounded(explain.linear_attributions(table, dict(zip(model.features, model.weights)), ["customer_id"]), 3)
 
 
 def _loss(spark, d):
     table = tables.customers(spark, d).select(*SQL_FEATURES, "total_sales")
-    return explain.loss_history(spark, descent.fit_multiple(table, SQL_FEATURES, "total_sales"))
+    return rounded(explain.loss_history(spark, descent.fit_multiple(table, SQL_FEATURES, "total_sales")), 6)
 
 
 def _simple(spark, d):
@@ -97,13 +130,24 @@ def _simple_results(spark, d):
     return evaluate.regression_results(scored.withColumnRenamed("total_sales", "label"))
 
 
-def _evaluate(names, task):
+def _evaluate(task):
+    """All families of a task, trained and evaluated; figures that hold for every sound model are put beside SQL's."""
+
     def run(spark, d):
         train, test = train_test(spark, d, task)
-        models, failures = evaluate.train_all(train, FEATURES, "customer_id", [FAMILIES[n] for n in names])
+        models, failures = evaluate.train_all(train, FEATURES, "customer_id", families(task))
         long = evaluate.predictions(models, test, "customer_id")
-        results = evaluate.classification_results(long) if task == "classification" else evaluate.regression_results(long)
-        return evaluate.with_failures(results, failures)
+        if task == "classification":
+            rows = evaluate.with_failures(evaluate.classification_results(long), failures)
+            m = F.col("confusion_matrix")
+            tested, right = m["TN"] + m["FP"] + m["FN"] + m["TP"], m["TN"] + m["TP"]
+            return rows.select(
+                "model", "status", tested.alias("tested"), (m["TP"] + m["FN"]).alias("churners"),
+                (F.abs(F.col("accuracy") - right / tested) < 1e-9).alias("accuracy_agrees"),
+                F.col("f1_score").between(0.0, 1.0).alias("is_share"),
+            )
+        rows = evaluate.with_failures(evaluate.regression_results(long), failures)
+        return rows.select("model", "status", (F.col("mae") <= F.col("rmse")).alias("mae_below_rmse"), (F.col("r2") < 1).alias("r2_below_1"))
 
     return run
 
@@ -143,6 +187,7 @@ QUERIES = {
     ),
     **{f"score_{f.name}": _score(f.name) for f in families()},
     "feature_importance": _importance,
+    "weight_importance": _weights,
     "tree_usage": _usage,
     "linear_attribution": _attributions,
     "simple_attribution": lambda spark, d: rounded(_simple_attributions(spark, d)),
@@ -151,12 +196,8 @@ QUERIES = {
     "loss_history": _loss,
     "saved_models": _saved,
     "what_if_model": _what_if_model,
-    "evaluate_classification": _evaluate(
-        ["logistic_regression_classification", "decision_tree_classification", "svm_classification"], "classification"
-    ),
-    "evaluate_regression": _evaluate(
-        ["linear_regression", "multiple_regression", "least_squares_regression"], "regression"
-    ),
+    "evaluate_classification": _evaluate("classification"),
+    "evaluate_regression": _evaluate("regression"),
 }
 
 _COMPLETE = C360 + ", x AS (SELECT " + ", ".join(SQL_FEATURES) + ", total_sales, churned FROM c360 WHERE " + " AND ".join(
@@ -179,7 +220,89 @@ _SIMPLE = (
     + "), chosen AS (SELECT v.*, w, m, my, coalesce(x, m) * w + my - w * m AS pred FROM v JOIN b ON b.feature = v.feature)"
 )
 
+_TEST = "('0x' || substr(md5(customer_id::varchar || '|42'), 1, 8))::bigint % 10000 < 2000"
+
+
+def _descent(fs: list[str], target: str, base: str) -> str:
+    """Tables m (means), c (correlations and spreads) and w (weights by step) of the exact descent on ``base``."""
+    safe = lambda a, b: f"CASE WHEN isnan(corr({a}, {b})) THEN 0 ELSE coalesce(corr({a}, {b}), 0) END"
+    k = range(len(fs))
+    lr = f"{2 * descent.MULTIPLE['lr']!r}::double"
+    step = ", ".join(f"w{i} - {lr} * (" + " + ".join(f"c{i}_{j} * w{j}" for j in k) + f" - r{i})" for i in k)
+    return f"""
+, m AS (SELECT {', '.join(f'avg({f}) AS m{i}' for i, f in enumerate(fs))} FROM {base})
+, fl AS (SELECT {', '.join(f'coalesce({f}, m{i})::double AS x{i}' for i, f in enumerate(fs))}, {target}::double AS y FROM {base}, m)
+, c AS (SELECT {', '.join(f'{safe(f"x{i}", f"x{j}")} AS c{i}_{j}' for i in k for j in k)},
+  {', '.join(f'{safe(f"x{i}", "y")} AS r{i}, stddev_pop(x{i}) AS s{i}' for i in k)}, avg(y) AS my, stddev_pop(y) AS sy FROM fl)
+, w AS (SELECT 0 AS t, {', '.join(f'0.0::double AS w{i}' for i in k)}
+  UNION ALL SELECT t + 1, {step} FROM w, c WHERE t < {descent.MULTIPLE['epochs']})
+, b AS (SELECT {', '.join(f'CASE WHEN s{i} = 0 THEN sy * w{i} ELSE sy * w{i} / s{i} END AS b{i}' for i in k)}, my
+  FROM w, c WHERE t = {descent.MULTIPLE['epochs']})"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_N = range(len(SQL_FEATURES))
+_CHECKS = {
+    "classification": ("churned", "TRUE AS is_class, TRUE AS text_follows, TRUE AS is_probability, TRUE AS beats_majority"),
+    "regression": ("total_sales", "TRUE AS finite, TRUE AS beats_mean"),
+}
+
 ORACLES = {
+    **{
+        f"score_{f.name}": with_(
+            C360,
+            f"SELECT customer_id, round({_CHECKS[f.task][0]}::double, 4) AS label, {_CHECKS[f.task][1]} FROM c360 WHERE {_TEST}",
+        )
+        for f in families()
+        if f.name not in EXACT
+    },
+    "score_multiple_regression": _recursive(
+        with_(
+            C360 + f", s AS (SELECT * FROM c360 WHERE NOT ({_TEST}))" + _descent(FEATURES, "total_sales", "s"),
+            "SELECT customer_id, round(total_sales, 4) AS label, round(my + "
+            + " + ".join(f"b{i} * (coalesce({f}, m{i}) - m{i})" for i, f in enumerate(FEATURES))
+            + f", 4) AS prediction FROM c360, m, b WHERE {_TEST}",
+        )
+    ),
+    "loss_history": _recursive(
+        with_(
+            C360 + _descent(SQL_FEATURES, "total_sales", "c360"),
+            "SELECT t::integer AS epoch, round(1 - 2 * ("
+            + " + ".join(f"w{i} * r{i}" for i in _N) + ") + "
+            + " + ".join(f"c{i}_{j} * w{i} * w{j}" for i in _N for j in _N)
+            + f", 6) AS loss FROM w, c WHERE t < {descent.MULTIPLE['epochs']}",
+        )
+    ),
+    "linear_attribution": _recursive(
+        with_(
+            C360 + _descent(SQL_FEATURES, "total_sales", "c360"),
+            " UNION ALL ".join(
+                f"SELECT customer_id, '{f}' AS feature, round({f}::double, 3) AS value, "
+                f"round(b{i} * (coalesce({f}, m{i}) - m{i}), 3) AS contribution, "
+                f"CASE WHEN b{i} * (coalesce({f}, m{i}) - m{i}) > 0 THEN 'positive' ELSE 'negative' END AS impact FROM c360, m, b"
+                for i, f in enumerate(SQL_FEATURES)
+            ),
+        )
+    ),
+    "weight_importance": with_(
+        _SIMPLE,
+        "SELECT r.feature, round(CASE WHEN r.feature = b.feature THEN abs(b.w) ELSE 0.0::double END, 4) AS importance, "
+        "(row_number() OVER (ORDER BY r.feature <> b.feature, r.feature))::integer AS rank FROM r, b",
+    ),
+    "feature_importance": " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, TRUE AS is_share, 1.0::double AS total" for f in FEATURES
+    ),
+    "evaluate_classification": with_(
+        C360,
+        "SELECT unnest(" + repr([f.title for f in families("classification")]) + ") AS model, 'OK' AS status, "
+        "count(*) AS tested, count(*) FILTER (churned = 1) AS churners, TRUE AS accuracy_agrees, TRUE AS is_share "
+        f"FROM c360 WHERE {_TEST}",
+    ),
+    "evaluate_regression": "SELECT unnest(" + repr([f.title for f in families("regression")]) + ") AS model, "
+    "'OK' AS status, TRUE AS mae_below_rmse, TRUE AS r2_below_1",
     "gd_linear_exact": with_(
         _SIMPLE,
         "SELECT feature, round(r, 4) AS correlation, round(w, 4) AS weight, round(my - w * m, 4) AS bias FROM b",

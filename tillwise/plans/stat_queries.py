@@ -289,6 +289,15 @@ ORACLES = {
         C360 + _CORR,
         "SELECT feature, round(k, 6) AS correlation, n, round(k * sqrt((n - 2) / (1 - k * k)), 4) AS t FROM r",
     ),
+    # critical values of t from the normal ones (Cornish-Fisher; exact to 1e-6 from a hundred degrees of freedom on)
+    "corr_stars": with_(
+        C360 + _CORR,
+        ", q AS (SELECT feature, n - 2 AS v, abs(k * sqrt((n - 2) / (1 - k * k))) AS t FROM r) "
+        "SELECT feature, CASE " + " ".join(
+            f"WHEN t > {z}::double + ({z}::double ^ 3 + {z}) / (4 * v) + (5 * {z}::double ^ 5 + 16 * {z}::double ^ 3 + 3 * {z}) / (96 * v * v) THEN '{s}'"
+            for z, s in ((3.290526731491896, "***"), (2.5758293035489004, "**"), (1.959963984540054, "*"))
+        ) + " ELSE '' END AS stars FROM q",
+    ),
     "corr_labels": with_(
         C360 + _CORR,
         "SELECT feature, CASE WHEN abs(s) > 0.7::double THEN 'very strong' WHEN abs(s) > 0.5::double THEN 'strong' "
