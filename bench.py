@@ -12,7 +12,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tillwise.plans import catalog  # noqa: E402
+from tillwise.plans import catalog, tables  # noqa: E402
 from tillwise.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -21,6 +21,8 @@ HEADLINE = [
     "numeric_profile", "corr_long", "dq_drift", "dq_summary", "class_metrics", "roc_auc", "error_percentiles",
     "threshold_tuning", "gd_linear_exact", "stump_round", "score_logistic_regression_classification",
     "score_decision_tree_classification", "score_random_forest_classification", "score_least_squares_regression",
+    "score_boosted_trees_regression", "score_mlp_classification", "score_kmeans_classification",
+    "score_stumps_classification", "corr_wide", "stratified_split", "sample_lines",
 ]
 
 
@@ -41,6 +43,9 @@ def main() -> None:
     queries = catalog.all_queries()
     spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").count().collect()  # start workers
     times = {}
+    start = time.perf_counter()
+    tables.customers(spark, sf_dir)  # built once, read by most queries below: a line of its own
+    times["customer_build"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
