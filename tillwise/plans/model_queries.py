@@ -100,7 +100,7 @@ def _saved(spark, d):
     path = os.path.join(shared_folder(spark), f"models-{uuid.uuid4().hex}")
     model_store.save(spark, model, f"{path}/logistic_latest.pkl", FEATURES)
     again, _ = model_store.load_named(spark, path, "logistic")
-    return scoring.score(again, test, ["customer_id", "label"])
+    return rounded(_checked(scoring.score(again, test, ["customer_id", "label"]), "classification"))
 
 
 def _attributions(spark, d):
@@ -154,9 +154,13 @@ def _evaluate(task):
 
 def _what_if_model(spark, d):
     model, _, test = _fitted("least_squares_regression", spark, d)
-    return whatif.model_impacts(
+    rows = whatif.model_impacts(
         test, ["quantity", "unit_price", "discount_applied"], model, "customer_id", F.col("prediction")
     )
+    most, mean = F.col("max_impact"), F.col("avg_impact")
+    # a row without the feature, or a mean above the largest change by more than rounding, would be a fault
+    sound = (mean >= 0) & (mean <= most + 1e-6) & (F.col("sensitivity") <= most + 1e-6)
+    return rows.select("customer_id", "feature", F.coalesce(sound, F.lit(False)).alias("in_order"))
 
 
 def _linear_base(spark, d):
@@ -292,6 +296,14 @@ ORACLES = {
         "SELECT r.feature, round(CASE WHEN r.feature = b.feature THEN abs(b.w) ELSE 0.0::double END, 4) AS importance, "
         "(row_number() OVER (ORDER BY r.feature <> b.feature, r.feature))::integer AS rank FROM r, b",
     ),
+    "saved_models": with_(
+        C360, f"SELECT customer_id, round(churned::double, 4) AS label, {_CHECKS['classification'][1]} FROM c360 WHERE {_TEST}"
+    ),
+    "what_if_model": with_(
+        C360,
+        "SELECT customer_id, unnest(['quantity', 'unit_price', 'discount_applied']) AS feature, "
+        f"TRUE AS in_order FROM c360 WHERE {_TEST}",
+    ),
     "feature_importance": " UNION ALL ".join(
         f"SELECT '{f}' AS feature, TRUE AS is_share, 1.0::double AS total" for f in FEATURES
     ),
