@@ -2,7 +2,8 @@
 
 Records hash into a fixed number of virtual slots; the bytes of each slot are summed, and a
 versioned table maps slots to shards. Rebalancing edits the map: it moves slots from the heaviest
-shard to the lightest until no move makes the shards more equal, and stores a new version. Only the
+shard to the lightest, or exchanges two, until no move makes the shards more equal, and stores a new
+version. Only the
 map (one row per slot, so its size is fixed) goes through the driver and is broadcast.
 
 Defined cases: a null or empty text has size 1; rows that repeat an id share a slot, each keeping a
@@ -46,9 +47,9 @@ def even_map(shards: int, slots: int = SLOTS) -> list[int]:
 
 
 def rebalanced(owners: list[int], weights: list[int], shards: int) -> list[int]:
-    """``owners`` edited until no single move brings the heaviest and the lightest shard closer.
+    """``owners`` edited until no move brings the heaviest and the lightest shard closer.
 
-    Slots of shards that no longer exist are dealt first; a grown number of shards starts empty.
+    Where no slot can move alone, two are exchanged, down to a thousandth of the mean load. Slots of shards that no longer exist are dealt first; a grown number of shards starts empty.
     Every move shrinks the squared sum of loads, so the loop ends.
     """
     owners = list(owners)
@@ -66,13 +67,22 @@ def rebalanced(owners: list[int], weights: list[int], shards: int) -> list[int]:
         heavy, light = loads.index(max(loads)), loads.index(min(loads))
         gap = loads[heavy] - loads[light]
         slot = min((s for s in members[heavy] if 0 < weights[s] < gap), key=lambda s: (abs(gap - 2 * weights[s]), s), default=None)
+        swap = None
         if slot is None:
-            return owners
-        members[heavy].discard(slot)
-        members[light].add(slot)
-        owners[slot] = light
-        loads[heavy] -= weights[slot]
-        loads[light] += weights[slot]
+            if gap * shards * 1000 <= sum(loads):
+                return owners  # within a thousandth of the mean
+            pairs = ((s, t) for s in members[heavy] for t in members[light] if 0 < weights[s] - weights[t] < gap)
+            best = min(pairs, key=lambda p: (abs(gap - 2 * (weights[p[0]] - weights[p[1]])), p), default=None)
+            if best is None:
+                return owners
+            slot, swap = best
+        for moved, source, target in ((slot, heavy, light), (swap, light, heavy)):
+            if moved is not None:
+                members[source].discard(moved)
+                members[target].add(moved)
+                owners[moved] = target
+                loads[source] -= weights[moved]
+                loads[target] += weights[moved]
 
 
 @dataclass
