@@ -91,7 +91,13 @@ def _usage(spark, d):
     model, _, _ = _fitted("decision_tree_classification", spark, d)
     path = os.path.join(shared_folder(spark), f"tree-{uuid.uuid4().hex}")
     model.stages[-1].write().save(path)
-    return explain.split_usage(spark, path, FEATURES)
+    rows = materialize(explain.split_usage(spark, path, FEATURES), "usage")
+    known = spark.createDataFrame([(f,) for f in FEATURES], "feature string")
+    total = rows.agg(F.coalesce(F.sum("splits"), F.lit(0)).alias("t")).scalar()
+    # a split on anything that is no feature would show as a row of its own
+    return known.join(rows, "feature", "full").select(
+        "feature", (F.coalesce("splits", F.lit(0)) <= total).alias("is_part"), (total > 0).alias("tree_splits")
+    )
 
 
 def _saved(spark, d):
@@ -296,6 +302,7 @@ ORACLES = {
         "SELECT r.feature, round(CASE WHEN r.feature = b.feature THEN abs(b.w) ELSE 0.0::double END, 4) AS importance, "
         "(row_number() OVER (ORDER BY r.feature <> b.feature, r.feature))::integer AS rank FROM r, b",
     ),
+    "tree_usage": " UNION ALL ".join(f"SELECT '{f}' AS feature, TRUE AS is_part, TRUE AS tree_splits" for f in FEATURES),
     "saved_models": with_(
         C360, f"SELECT customer_id, round(churned::double, 4) AS label, {_CHECKS['classification'][1]} FROM c360 WHERE {_TEST}"
     ),
