@@ -24,6 +24,7 @@ FEATURES = [
     "website_visits", "online_purchases", "customer_support_calls", "product_return_rate", "acct_balance",
     "days_since_last_purchase", "email_subscriptions",
 ]
+TWO = ["quantity", "unit_price"]
 SQL_FEATURES = ["quantity", "unit_price", "num_purchases", "total_transactions", "days_since_last_purchase"]
 
 
@@ -33,14 +34,20 @@ def train_test(spark: SparkSession, d: str, task: str) -> tuple[DataFrame, DataF
     return split(table, "customer_id", 0.2)
 
 
-def _score(name: str):
-    family = FAMILIES[name]
+def _score_values(name: str):
+    """Prediction, and for classifiers text and probability, of every test customer."""
+
+    def run(spark, d):
+        model, _, test = _fitted(name, spark, d)
+        return scoring.score(model, test, ["customer_id", "label"], FAMILIES[name].task)
+
+    return run
 
+
+def _score(name: str):
     def run(spark, d):
-        train, test = train_test(spark, d, family.task)
-        model = family.fit(train, FEATURES, "customer_id")
-        scored = scoring.score(model, test, ["customer_id", "label"], family.task)
-        return rounded(scored if name in EXACT else _checked(scored, family.task))
+        scored = _score_values(name)(spark, d)
+        return rounded(scored if name in EXACT else _checked(scored, FAMILIES[name].task))
 
     return run
 
@@ -75,9 +82,13 @@ def _fitted(name: str, spark, d):
     return FAMILIES[name].fit(train, FEATURES, "customer_id"), train, test
 
 
-def _importance(spark, d):
+def _importance_values(spark, d):
     model, _, _ = _fitted("random_forest_classification", spark, d)
-    rows = materialize(explain.importance(spark, model, FEATURES), "importance")
+    return explain.importance(spark, model, FEATURES)
+
+
+def _importance(spark, d):
+    rows = materialize(_importance_values(spark, d), "importance")
     total = rows.agg(F.sum("importance").alias("t")).scalar()
     return rows.select("feature", F.col("importance").between(0.0, 1.0).alias("is_share"), F.round(total, 6).alias("total"))
 
@@ -87,11 +98,16 @@ def _weights(spark, d):
     return rounded(explain.importance(spark, _simple(spark, d), SQL_FEATURES), 4)
 
 
-def _usage(spark, d):
+def _usage_values(spark, d):
+    """Split count of every feature the tree uses."""
     model, _, _ = _fitted("decision_tree_classification", spark, d)
     path = os.path.join(shared_folder(spark), f"tree-{uuid.uuid4().hex}")
     model.stages[-1].write().save(path)
-    rows = materialize(explain.split_usage(spark, path, FEATURES), "usage")
+    return explain.split_usage(spark, path, FEATURES)
+
+
+def _usage(spark, d):
+    rows = materialize(_usage_values(spark, d), "usage")
     known = spark.createDataFrame([(f,) for f in FEATURES], "feature string")
     total = rows.agg(F.coalesce(F.sum("splits"), F.lit(0)).alias("t")).scalar()
     # a split on anything that is no feature would show as a row of its own
@@ -100,13 +116,17 @@ def _usage(spark, d):
     )
 
 
-def _saved(spark, d):
+def _saved_values(spark, d):
     """Scores of a model that went through the model store."""
     model, _, test = _fitted("logistic_regression_classification", spark, d)
     path = os.path.join(shared_folder(spark), f"models-{uuid.uuid4().hex}")
     model_store.save(spark, model, f"{path}/logistic_latest.pkl", FEATURES)
     again, _ = model_store.load_named(spark, path, "logistic")
-    return rounded(_checked(scoring.score(again, test, ["customer_id", "label"]), "classification"))
+    return scoring.score(again, test, ["customer_id", "label"])
+
+
+def _saved(spark, d):
+    return rounded(_checked(_saved_values(spark, d), "classification"))
 
 
 def _attributions(spark, d):
@@ -136,15 +156,25 @@ def _simple_results(spark, d):
     return evaluate.regression_results(scored.withColumnRenamed("total_sales", "label"))
 
 
-def _evaluate(task):
-    """All families of a task, trained and evaluated; figures that hold for every sound model are put beside SQL's."""
+def _evaluate_values(task):
+    """All families of a task, trained and evaluated: metrics and status of each."""
 
     def run(spark, d):
         train, test = train_test(spark, d, task)
         models, failures = evaluate.train_all(train, FEATURES, "customer_id", families(task))
         long = evaluate.predictions(models, test, "customer_id")
+        results = evaluate.classification_results if task == "classification" else evaluate.regression_results
+        return evaluate.with_failures(results(long), failures)
+
+    return run
+
+
+def _evaluate(task):
+    """What holds for the figures of every sound model, put beside SQL's."""
+
+    def run(spark, d):
+        rows = _evaluate_values(task)(spark, d)
         if task == "classification":
-            rows = evaluate.with_failures(evaluate.classification_results(long), failures)
             m = F.col("confusion_matrix")
             tested, right = m["TN"] + m["FP"] + m["FN"] + m["TP"], m["TN"] + m["TP"]
             return rows.select(
@@ -152,17 +182,24 @@ def _evaluate(task):
                 (F.abs(F.col("accuracy") - right / tested) < 1e-9).alias("accuracy_agrees"),
                 F.col("f1_score").between(0.0, 1.0).alias("is_share"),
             )
-        rows = evaluate.with_failures(evaluate.regression_results(long), failures)
         return rows.select("model", "status", (F.col("mae") <= F.col("rmse")).alias("mae_below_rmse"), (F.col("r2") < 1).alias("r2_below_1"))
 
     return run
 
 
+def _impacts(spark, d, moved: list[str], features: list[str]):
+    """Impacts per test customer and moved feature, of the closed-form model on ``features``."""
+    train, test = train_test(spark, d, "regression")
+    model = FAMILIES["least_squares_regression"].fit(train, features, "customer_id")
+    return whatif.model_impacts(test, moved, model, "customer_id", F.col("prediction"))
+
+
+def _what_if_values(spark, d):
+    return _impacts(spark, d, ["quantity", "unit_price", "discount_applied"], FEATURES)
+
+
 def _what_if_model(spark, d):
-    model, _, test = _fitted("least_squares_regression", spark, d)
-    rows = whatif.model_impacts(
-        test, ["quantity", "unit_price", "discount_applied"], model, "customer_id", F.col("prediction")
-    )
+    rows = _what_if_values(spark, d)
     most, mean = F.col("max_impact"), F.col("avg_impact")
     # a row without the feature, or a mean above the largest change by more than rounding, would be a fault
     sound = (mean >= 0) & (mean <= most + 1e-6) & (F.col("sensitivity") <= most + 1e-6)
@@ -187,7 +224,20 @@ def _least_squares(spark, d):
     return spark.createDataFrame(rows, "term string, coefficient double")
 
 
+#: The models' own values. They depend on the solver, so they have no SQL text; tests compare them with brute force.
+VALUES = {
+    **{f"score_{f.name}_values": _score_values(f.name) for f in families() if f.name not in EXACT},
+    "feature_importance_values": _importance_values,
+    "tree_usage_values": _usage_values,
+    "saved_models_values": _saved_values,
+    "what_if_model_values": _what_if_values,
+    "evaluate_classification_values": _evaluate_values("classification"),
+    "evaluate_regression_values": _evaluate_values("regression"),
+}
+
 QUERIES = {
+    **VALUES,
+    "what_if_two_features": lambda spark, d: rounded(_impacts(spark, d, TWO, TWO), 3),
     "gd_linear_exact": lambda spark, d: rounded(
         descent.simple_descent(_linear_base(spark, d), SQL_FEATURES, "total_sales"), 4
     ),
@@ -254,6 +304,24 @@ def _recursive(text: str) -> str:
     return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+#: Impacts of the least squares on two features: a weight times the move, which the observed range may cut short.
+_TWO_IMPACTS = (
+    C360
+    + f""", m AS (SELECT avg(quantity) AS ma, avg(unit_price) AS mb FROM c360 WHERE NOT ({_TEST}))
+, x AS (SELECT coalesce(quantity, ma)::double AS a, coalesce(unit_price, mb)::double AS b, total_sales AS y FROM c360, m WHERE NOT ({_TEST}))
+, c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS bs FROM x)
+, k AS (SELECT (ay * bb - bs * ab) / (aa * bb - ab * ab) AS wa, (bs * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM c)
+, v AS ("""
+    + " UNION ALL ".join(
+        f"SELECT customer_id, '{f}' AS feature, {f}::double AS x, {w} AS w, stddev_samp({f}) OVER () AS s, "
+        f"min({f}) OVER ()::double AS lo, max({f}) OVER ()::double AS hi FROM c360, k WHERE {_TEST}"
+        for f, w in (("quantity", "wa"), ("unit_price", "wb"))
+    )
+    + "), i AS (SELECT customer_id, feature, "
+    + "list_transform([greatest(x - 2 * s, lo), greatest(x - s, lo), least(x + s, hi), least(x + 2 * s, hi)], "
+    + "lambda z: coalesce(abs(w * (z - x)), 0.0::double)) AS i FROM v)"
+)
+
 _N = range(len(SQL_FEATURES))
 _CHECKS = {
     "classification": ("churned", "TRUE AS is_class, TRUE AS text_follows, TRUE AS is_probability, TRUE AS beats_majority"),
@@ -311,6 +379,11 @@ ORACLES = {
         "SELECT customer_id, unnest(['quantity', 'unit_price', 'discount_applied']) AS feature, "
         f"TRUE AS in_order FROM c360 WHERE {_TEST}",
     ),
+    "what_if_two_features": with_(
+        _TWO_IMPACTS,
+        "SELECT customer_id, feature, round(list_max(i), 3) AS max_impact, round(list_avg(i), 3) AS avg_impact, "
+        "round(list_max(i) - list_min(i), 3) AS sensitivity FROM i",
+    ),
     "feature_importance": " UNION ALL ".join(
         f"SELECT '{f}' AS feature, TRUE AS is_share, 1.0::double AS total" for f in FEATURES
     ),
