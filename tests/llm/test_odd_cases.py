@@ -315,6 +315,18 @@ def test_fixed_matches():
     ]
 
 
+def test_second_secret_beside_a_pattern_match_is_reported():
+    first, second = "AKIA" + "Q7" * 8, "zX9kQ2vLm4Tr8WbN5pYc3HsD"
+    field = secret_scan.train(secret_scan.training_lines([]))
+    shapes = [f"{first}:{second}", f"{second}:{first}", f'{{"é":"{second}","b":"{first}","c":"{second}"}}']
+    for text in (f"Authorization: Bearer {shape} and more" for shape in shapes):
+        found = [(k, text[a:b]) for a, b, k in secret_scan.scan_texts([text], field)[0]]
+        assert ("access", first) in found
+        assert sum(second in s for k, s in found if k == "crf") == text.count(second)
+    for text in (f'"{first}";', f"({first})", f"{first}"):  # marks alone are no secret
+        assert [k for _, _, k in secret_scan.scan_texts([text], field)[0]] == ["access"]
+
+
 def test_field_finds_held_out_secrets():
     """Trained on lines made up with one seed, tried on those of another."""
     field = secret_scan.train(secret_scan.training_lines([]))

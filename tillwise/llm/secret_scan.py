@@ -7,8 +7,8 @@ documents (twice that at most) whose labels are the fixed patterns' own matches,
 rule. The sample is drawn by hash, so it is the same at every partitioning; the weights (some
 hundred numbers) are broadcast, and every token of every document is decoded.
 
-Defined cases: a null text is empty and has no secrets; spans of the field that touch a pattern's
-match are left out, the match stays; a corpus without any secret trains on the made-up lines alone;
+Defined cases: a null text is empty and has no secrets; of a span of the field that touches patterns'
+matches, the parts outside them are reported if they hold a letter or digit, and the matches stay; a corpus without any secret trains on the made-up lines alone;
 repeated rows are scanned alike; empty tables give an empty result. Only the id and the text are
 read, nothing is shuffled, and a task holds a few megabytes of text at a time.
 """
@@ -36,6 +36,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
+#: Marks between a match and the rest of its token; "=" may end a secret.
+JOINTS = " \t\x0b\x0c\r\"'`()[]{}<>.,;:!?&|"
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -312,6 +314,24 @@ def fit(docs: DataFrame) -> Field:
     return train(training_lines([r["text"] for r in sorted(drawn, key=lambda r: (r["mark"], r["text"]))]))
 
 
+def outside(text: str, a: int, b: int, matches: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
+    """The parts of ``a`` to ``b`` that no match covers, without the marks that join them to one."""
+    parts, at = [], a
+    for x, y, _, _ in matches:
+        if y > at and x < b:
+            parts.append((at, x))
+            at = y
+    if at == a:
+        return [(a, b)]
+    out = []
+    for x, y in [*parts, (at, b)]:
+        found = text[x:y]
+        x, y = x + len(found) - len(found.lstrip(JOINTS + "=")), y - (len(found) - len(found.rstrip(JOINTS)))
+        if x < y and any(c.isalnum() for c in text[x:y]):
+            out.append((x, y))
+    return out
+
+
 def scan_texts(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
     """``start, end, kind`` of all secrets of each text, in code points: the patterns' and the field's."""
     base = [fixed_matches(t) for t in texts]
@@ -333,8 +353,7 @@ def scan_texts(texts: list[str], field: Field) -> list[list[tuple[int, int, str]
             continue
         a = len(coded[number][:a].decode(errors="ignore"))
         b = a + len(coded[number][len(texts[number][:a].encode()) : b].decode(errors="ignore"))
-        if all(b <= x or a >= y for x, y, _, _ in base[number]):
-            out[number].append((a, b, "crf"))
+        out[number] += [(x, y, "crf") for x, y in outside(texts[number], a, b, base[number])]
     order = [*KINDS, "crf"]
     return [sorted(x, key=lambda s: (s[0], order.index(s[2]))) for x in out]
 
