@@ -487,3 +487,19 @@ def test_damage_is_found(harm):
     with pytest.raises((warc.DamagedArchive, UnicodeDecodeError)):
         for data in warc.members(bad):
             warc.parse_record(data)
+
+
+@pytest.mark.parametrize(("word", "end"), [("शब्द", "।"), ("शब्द", " ॥"), ("لفظ", "۔"), ("كلمة", "؟"), ("ቃል", "።"), ("բառ", "։")])
+def test_sentences_of_other_scripts_are_kept(word, end):
+    text = "\n".join(" ".join(f"{word}{chr(0x966 + (i * j) % 10)}{i * j}" for j in range(15)) + end for i in range(3, 9))
+    got = quality.judge(text)
+    assert (got["n_bad_lines"], got["lost_chars"], got["kept"]) == (0, 0, True)
+
+
+def test_prose_wrapped_inside_sentences_is_kept():
+    line = lambda k: " ".join(f"word{i * k}" for i in range(13))
+    prose = "\n".join([f"The {line(3)}", line(5), f"«{line(7)}", f"and {line(11)}."])
+    assert quality.judge(prose)["n_bad_lines"] == 0 and quality.judge(prose)["kept"]
+    # no end is reached, a blank line or a capital comes first: the rule still holds
+    for text, bad in ((prose[:-1], 4), (f"{line(3)}\n\n{line(5)}.", 1), (f"{line(3)}\nNew {line(5)}.", 1)):
+        assert quality.judge(text)["n_bad_lines"] == bad
