@@ -38,6 +38,17 @@ def test_shards(odd, odd_docs, no_docs):
     assert shards.shard_documents(no_docs).count() == 0
 
 
+def test_null_and_repeated_ids_are_spread(spark):
+    rows = [(None, "the same text")] * 1000 + [(7, f"text number {i} of one id") for i in range(1000)] + [(100 + i, f"text {i}") for i in range(1000)]
+    got = shards.shard_documents(frame(spark, rows), shards=8).collect()
+    assert len(got) == len(rows)
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 200
+    assert max(Counter(r["virtual_slot"] for r in got).values()) < 20
+
+
 def test_rebalance_moves_little_and_grows():
     rng = random.Random(1)
     weights = [rng.randint(0, 50_000) for _ in range(shards.SLOTS)]

@@ -6,8 +6,9 @@ shard to the lightest, or exchanges two, until no move makes the shards more equ
 version. Only the
 map (one row per slot, so its size is fixed) goes through the driver and is broadcast.
 
-Defined cases: a null or empty text has size 1; rows that repeat an id share a slot, each keeping a
-place of its own; a null id is hashed like a value; an empty table gives an empty result and an even
+Defined cases: a null or empty text has size 1; rows that repeat an id are dealt by id and text
+together, each keeping a place of its own, and only exact copies of one row share a slot; rows with a
+null id, which names nobody, are dealt by their place in the input; an empty table gives an empty result and an even
 map. Only the id and the text are read, so other columns may have any name.
 """
 
@@ -28,11 +29,12 @@ SLOTS = 4096
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """``doc_id, size, text_crc32, virtual_slot`` of each document."""
     text = F.coalesce("text", F.lit(""))
+    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     return docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.xxhash64("doc_id", text, row), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
