@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -144,3 +146,70 @@ def fixed_secrets(text):
     names = ("assign", "access", "hex")
     counts = [sum(k == i for _, k, _ in found) for i in range(3)]
     return (*counts, sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(found))))
+
+
+def leaf(row):
+    parts = ("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row)
+    return sha("".join(parts))
+
+
+def tree_levels(digests):
+    levels = [digests]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + 16])) for i in range(0, len(levels[-1]), 16)])
+    return levels
+
+
+def siblings(levels, place):
+    """Place in the run and the run of every level below the last."""
+    for level in levels[:-1]:
+        yield place % 16, level[place // 16 * 16 : place // 16 * 16 + 16]
+        place //= 16
+
+
+def merkle(rows):
+    """Rows ``doc_id, source, lang, n_chars, text`` in, the contract's rows out."""
+    by_source = defaultdict(list)
+    for row in rows:
+        by_source[row[1]].append((row[0] is not None, row[0] or 0, leaf(row), row))
+    sources = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree_levels([x[2] for x in sorted(by_source[s], key=lambda x: x[:3])]) for s in sources}
+    top = tree_levels([trees[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for place, (_, _, mine, row) in enumerate(sorted(by_source[s], key=lambda x: x[:3])):
+            steps = [*siblings(trees[s], place), *siblings(top, k)]
+            node = mine
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0:
+                node = leaf((*row[:4], None if row[4] is None else lower(row[4])))
+            for at, run in steps:
+                node = sha("".join((*run[:at], node, *run[at + 1 :])))
+            proof = sha("".join(x for at, run in steps for i, x in enumerate(run) if i != at))
+            out.append((row[0], mine, trees[s][-1][0], top[-1][0], proof, node, node == top[-1][0]))
+    return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def lexical(docs, items, top=20):
+    found = [(d, Counter(TERM.findall(lower(t or "")))) for d, t in docs]
+    found = [(d, c) for d, c in found if c]
+    many, length = len(found), sum(sum(c.values()) for _, c in found)
+    df = Counter(t for _, c in found for t in c)
+    out = []
+    for item, text in items:
+        asked = Counter(TERM.findall(lower(text or "")))
+        ranked = []
+        for doc, c in found:
+            m = 100 - 25 + 25 * sum(c.values()) * many // length
+            score = sum(
+                k * math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m))
+                for t, k in asked.items()
+                if t in c
+            )
+            if score > 0:
+                ranked.append((-score, doc is not None, doc or 0))
+        ranked.sort()
+        out += [(item, i + 1, d if known else None, -s) for i, (s, known, d) in enumerate(ranked[:top])]
+    return out

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, jaccard, line_runs, quality, secret_scan, shards, suffix_dedup, url_filter, warc
+from . import (
+    bpe, contamination, jaccard, lexical, line_runs, merkle, packing, quality, secret_scan, shards, suffix_dedup, url_filter, warc,
+)
 
 #: Rules of the URL query: host, beginning of the path, verdict.
 URL_RULES = [
@@ -101,6 +103,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version for every document; those whose id's checksum 5 divides have their text lower-cased."""
+    changed = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = merkle.versions(table(spark, sf_dir, "documents"), changed, F.translate("text", UPPER, LOWER))
+    return found.drop("new_leaf", "copied")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
@@ -112,6 +132,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
+    "op11_merkle": op11_merkle,
+    "op12_lexical": op12_lexical,
+    "op13_packing": op13_packing,
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
