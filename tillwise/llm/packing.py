@@ -6,7 +6,8 @@ number of pieces of each length, at most ``capacity`` numbers whatever the corpu
 
 * **Exact complements.** From the longest length down, what a piece leaves free is looked up among the sums
   of one, two and three other lengths; each combination found is taken as often as its lengths last.
-* **Best fit.** What is left goes, longest first, to the open sequence it leaves least free in.
+* **Best fit.** What is left goes, longest first, to the open sequence it leaves least free in. Long pieces may go
+  first, so that complements fill the gaps that they leave (:func:`plan`).
 
 The plan is a list of patterns (lengths, how often). Pieces of one length are numbered without
 meeting (:mod:`numbering`), and a range of numbers belongs to each place of a pattern, so a piece finds
@@ -86,6 +87,7 @@ class Stock:
         sums = there[:, None] + there[None, :]
         self.pairs = np.zeros(2 * capacity + 1, bool)  # sums that two lengths of the stock can have
         self.pairs[sums.ravel()] = True
+        self.tried: dict[int, int] = {}  # gaps that no combination of so many pieces fills any more; the stock only shrinks
 
     def take(self, parts: tuple[int, ...], most: int) -> int:
         """Take ``parts`` out as often as they last, ``most`` times at the most."""
@@ -121,28 +123,70 @@ class Stock:
                 yield (x, total - x)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns ``(lengths, how often)`` that use every piece once; no pattern is longer than ``capacity``."""
+Groups = list[tuple[tuple[int, ...], int]]  # lengths in a sequence, and how many sequences hold them
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Groups:
+    """Patterns ``(lengths, how often)`` that use every piece once; no pattern is longer than ``capacity``.
+
+    Exact complements use up short pieces that other sequences could need, so it matters how much is placed
+    before them: nothing, or the pieces longer than a quarter or a sixteenth of a sequence. All are
+    planned, on counts alone, and the plan of fewest sequences is taken, the more exact one of equal ones.
+    """
+    plans = [planned(counts, capacity, capacity >> k) for k in (0, 2, 4)]
+    return min(plans, key=lambda groups: sum(times for _, times in groups))
+
+
+def planned(counts: dict[int, int], capacity: int, long: int) -> Groups:
+    """The plan where what is longer than ``long`` and has no single complement is placed by best fit first."""
     stock = Stock(counts, capacity)
-    out: list[tuple[tuple[int, ...], int]] = []
+    out: Groups = []
     if stock.left[capacity]:
         out.append(((capacity,), int(stock.left[capacity])))
         stock.left[capacity] = 0
-    for length in range(capacity - 1, 0, -1):
-        if not stock.left[length]:
-            continue
-        for parts in stock.complements(capacity - length):
-            times = stock.take((length, *parts), int(stock.left[length]))
-            if times:
-                out.append(((length, *parts), times))
-            if not stock.left[length]:
-                break
-    return out + best_fit({n: int(stock.left[n]) for n in np.flatnonzero(stock.left).tolist()}, capacity)
-
-
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit, longest first, over equal pieces and equally filled sequences at a time."""
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by what is free
+    for deepest in (1, 3):  # single complements of all pieces, then the others of short ones
+        for length in range(capacity - 1 if deepest == 1 else min(long, capacity - 1), 0, -1):
+            if stock.left[length]:
+                out += filled(stock, (length,), int(stock.left[length]), capacity, deepest, taken=False)[0]
+        if deepest == 1:
+            first = {n: int(stock.left[n]) for n in np.flatnonzero(stock.left).tolist() if n > long}
+            for n in first:
+                stock.left[n] = 0
+            open_ = best_fit(first, [], capacity)
+    for size in (1, 2, 3):
+        left: Groups = []
+        for held, times in sorted(open_, key=lambda group: sum(group[0])):
+            full, rest = filled(stock, held, times, capacity, size, least=size)
+            out += full
+            left += [(held, rest)] * (rest > 0)
+        open_ = left
+    return out + best_fit({n: int(stock.left[n]) for n in np.flatnonzero(stock.left).tolist()}, open_, capacity)
+
+
+def filled(stock: Stock, held: tuple[int, ...], times: int, capacity: int, most: int, least: int = 1, taken: bool = True) -> tuple[Groups, int]:
+    """Fill sequences exactly with ``least`` to ``most`` pieces; also how many stay open. ``taken``: what they hold is out of the stock."""
+    out: Groups = []
+    gap = capacity - sum(held)
+    if taken and stock.tried.get(gap, 0) >= most:
+        return out, times
+    for parts in stock.complements(gap) if gap else ():
+        if len(parts) > most or not times:
+            break
+        if len(parts) >= least:
+            used = stock.take(parts if taken else (*held, *parts), times)
+            if used:
+                out.append(((*held, *parts), used))
+                times -= used
+    if taken and times:
+        stock.tried[gap] = most
+    return out, times
+
+
+def best_fit(counts: dict[int, int], groups: Groups, capacity: int = CAPACITY) -> Groups:
+    """Best fit into open ``groups`` and new sequences, longest first, over equal pieces and equally filled sequences at a time."""
+    open_: dict[int, Groups] = defaultdict(list)  # by what is free
+    for held, times in groups:
+        open_[capacity - sum(held)].append((held, times))
     open_[capacity].append(((), sum(counts.values())))
     for length in sorted(counts, reverse=True):
         left = counts[length]
@@ -157,10 +201,10 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
                     open_[gap].append((held, times - used))
             if not left:
                 break
-    return [(held, times) for groups in open_.values() for held, times in groups if held]
+    return [(held, times) for same in open_.values() for held, times in same if held]
 
 
-def seats(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
+def seats(patterns: Groups) -> dict[int, tuple[np.ndarray, ...]]:
     """By length, ranges of piece numbers: ``first`` number, first ``sequence``, ``offset`` there, and pieces ``each`` sequence takes in a row."""
     rows: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     used: Counter = Counter()

@@ -137,6 +137,18 @@ QUERIES = {
     "op13_packing": op13_packing,
 }
 
+_LOWERED = f"translate(text, '{UPPER}', '{LOWER}')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({{{c}}}::varchar) || ':' || {{{c}}}::varchar, '-')" for c in merkle.COLUMNS) + ")"
+_OLD_LEAF = _LEAF.format(**{c: c for c in merkle.COLUMNS})
+_NEW_LEAF = _LEAF.format(**{c: _LOWERED if c == "text" else c for c in merkle.COLUMNS})
+#: CRC-32 of the decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1::UBIGINT)))), 4294967295::UBIGINT)"""
+_NEXT_LEVEL = """SELECT grp, l + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(total) + 15) // 16
+  FROM {0} WHERE total > 1 GROUP BY grp, l, pos // 16"""
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES = {
@@ -167,5 +179,46 @@ judged AS (SELECT k.doc_id, k.pos, k.line, o.owner IS NOT NULL AND o.owner <> k.
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op11_merkle": f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, coalesce('s' || source, '') AS grp, {_OLD_LEAF} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_NEW_LEAF} END AS new_leaf FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS total FROM base
+), lv AS (
+  SELECT grp, 0 AS l, pos, leaf AS digest, total FROM placed UNION ALL {_NEXT_LEVEL.format("lv")}
+), sub AS (SELECT grp, l AS height, digest FROM lv WHERE total = 1)
+, tv AS (
+  SELECT 'all' AS grp, 0 AS l, row_number() OVER (ORDER BY grp) - 1 AS pos, digest, count(*) OVER () AS total FROM sub
+  UNION ALL {_NEXT_LEVEL.format("tv")}
+), top AS (SELECT digest FROM tv WHERE total = 1)
+, runs AS (SELECT grp, l, pos // 16 AS run, list(digest ORDER BY pos) AS ds FROM lv WHERE total > 1 GROUP BY ALL)
+, top_runs AS (SELECT l, pos // 16 AS run, list(digest ORDER BY pos) AS ds FROM tv WHERE total > 1 GROUP BY ALL)
+, steps AS (
+  SELECT doc_id, l AS s, (pos // (16 ** l)::bigint % 16)::bigint AS slot, ds FROM placed JOIN runs USING (grp) WHERE run = pos // (16 ** (l + 1))::bigint
+  UNION ALL
+  SELECT doc_id, height + l, (k // (16 ** l)::bigint % 16)::bigint, ds
+  FROM base JOIN (SELECT grp, height, row_number() OVER (ORDER BY grp) - 1 AS k FROM sub) USING (grp) JOIN top_runs ON run = k // (16 ** (l + 1))::bigint
+), fold AS (
+  SELECT doc_id, 0 AS s, coalesce(new_leaf, leaf) AS digest FROM base
+  UNION ALL
+  SELECT f.doc_id, f.s + 1, sha256(array_to_string(ds[1:slot], '') || f.digest || array_to_string(ds[slot + 2:], ''))
+  FROM fold f JOIN steps p ON f.doc_id = p.doc_id AND f.s = p.s
+), ends AS (SELECT doc_id, arg_max(digest, s) AS folded_root FROM fold GROUP BY 1)
+, proofs AS (SELECT doc_id, sha256(string_agg(array_to_string(ds[1:slot], '') || array_to_string(ds[slot + 2:], ''), '' ORDER BY s)) AS p FROM steps GROUP BY 1)
+SELECT b.doc_id, b.leaf, sub.digest AS subroot, top.digest AS root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = top.digest AS verified
+FROM base b JOIN sub USING (grp) CROSS JOIN top JOIN ends ON ends.doc_id = b.doc_id LEFT JOIN proofs ON proofs.doc_id = b.doc_id
+""",
+    "op12_lexical": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_TERM}') AS w FROM documents WHERE text IS NOT NULL)
+, s AS (SELECT count(*) AS n_docs, sum(len(w))::bigint AS n_terms FROM d WHERE len(w) > 0)
+, q AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM benchmark) GROUP BY ALL)
+, tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL)
+, wt AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM tf, s GROUP BY term, n_docs)
+, sc AS (
+  SELECT item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint AS score
+  FROM q JOIN tf USING (term) JOIN wt USING (term) CROSS JOIN s GROUP BY ALL
+), r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM sc WHERE score > 0)
+SELECT item_id, rank::integer AS rank, doc_id, score FROM r WHERE rank <= 20
 """,
 }
