@@ -24,7 +24,7 @@ from ..operators.quantiles import exact_quantiles
 from ..operators.sampling import split
 from ..operators.scaling import fit_means, impute, label_sign
 from ..operators.stats import long_values
-from ..session import materialize
+from ..session import Stages
 
 CUTS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 FOLD_EVERY = 10
@@ -134,7 +134,8 @@ def stump_errors(weights: DataFrame, thresholds: dict[str, list[float]]) -> Data
 def pick_stump(rows, features: Sequence[str], thresholds: dict[str, list[float]]):
     """The stump with the least share of wrong weight, from at most ten bin rows per feature.
 
-    Ties go to the earlier feature, the lower threshold, the positive polarity.
+    Ties go to the earlier feature, the lower threshold, the positive polarity; errors
+    that differ by the order of summation only count as ties.
     """
     best = None
     for f in features:
@@ -143,7 +144,7 @@ def pick_stump(rows, features: Sequence[str], thresholds: dict[str, list[float]]
         for i, t in enumerate(thresholds[f]):
             wrong = sum(r["plus"] if r["bin"] <= i else r["minus"] for r in bins)
             for polarity, error in ((1, wrong / mass), (-1, 1.0 - wrong / mass)):
-                if best is None or error < best[3]:
+                if best is None or round(error, 12) < round(best[3], 12):
                     best = (f, t, polarity, error)
     return best
 
@@ -169,43 +170,55 @@ def fit_stumps(
     validation_share: float = 0.15,
     seed: int = 42,
     fold_every: int = FOLD_EVERY,
+    start: StumpModel | None = None,
 ) -> StumpModel:
-    """Train on all but the validation share, then tune the threshold on it."""
+    """Train on all but the validation share, then tune the threshold on it.
+
+    ``start`` goes on from a model: its means are kept, the weights follow from its stumps, and ``rounds``
+    more are added, as if training had not stopped. The stages written on the way are removed.
+    """
     features = list(features)
-    means = fit_means(df, features)
-    filled = impute(df, means).select(key, *features, label)
-    train, validation = split(materialize(filled, "boosting"), key, validation_share, seed)
-    thresholds = quantile_thresholds(train, features)
-    n = train.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
-    sign = label_sign(label)
-    state = materialize(
-        train.select(
-            *[bin_of(f, thresholds[f]).cast("tinyint").alias(f"bin__{f}") for f in features],
-            sign.cast("tinyint").alias("sign"),
-            F.when(sign == 1, F.lit(math.log(0.5 / max(n[0], 1)))).otherwise(math.log(0.5 / max(n[1], 1))).alias("logw"),
-        ),
-        "stumps",
-    )
-    stumps: list[Stump] = []
-    recent: list[Stump] = []
-    while len(stumps) < rounds:
-        rows = bin_weights(state, features, f"exp({_log_weight(recent, thresholds)})", "sign").collect()
-        best = pick_stump(rows, features, thresholds)
-        if best is None:
-            break
-        feature, threshold, polarity, error = best
-        error = min(max(error, 1e-12), 1.0 - 1e-12)
-        stump = Stump(feature, threshold, polarity, 0.5 * math.log((1.0 - error) / error) * lr)
-        stumps.append(stump)
-        recent.append(stump)
-        if len(recent) == fold_every and len(stumps) < rounds:
-            state = materialize(state.withColumn("logw", F.expr(_log_weight(recent, thresholds))), "stumps")
-            recent = []
-    model = StumpModel(means, stumps)
-    if stumps:
-        scored = model.transform(validation).select(F.lit("m").alias("model"), F.col(label).alias("label"), "score")
-        tuned = best_threshold(threshold_table(scored)).first()
-        model.threshold = tuned["threshold"] if tuned else 0.5
+    if start is not None and list(start.means) != features:
+        raise ValueError("the model to go on from was trained on other features")
+    with Stages(df.sparkSession) as filled_stage, Stages(df.sparkSession) as states:
+        means = start.means if start else fit_means(df, features)
+        filled = impute(df, means).select(key, *features, label)
+        train, validation = split(filled_stage.keep(filled, "boosting"), key, validation_share, seed)
+        thresholds = quantile_thresholds(train, features)
+        n = train.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+        sign = label_sign(label)
+        stumps: list[Stump] = list(start.stumps) if start else []
+        base = F.when(sign == 1, F.lit(math.log(0.5 / max(n[0], 1)))).otherwise(math.log(0.5 / max(n[1], 1)))
+        so_far = StumpModel(means, stumps).score() if stumps else F.lit(0.0)
+        state = states.keep(
+            train.select(
+                *[bin_of(f, thresholds[f]).cast("tinyint").alias(f"bin__{f}") for f in features],
+                sign.cast("tinyint").alias("sign"),
+                (base - sign * so_far).alias("logw"),
+            ),
+            "stumps",
+        )
+        recent: list[Stump] = []
+        wanted = len(stumps) + rounds
+        while len(stumps) < wanted:
+            rows = bin_weights(state, features, f"exp({_log_weight(recent, thresholds)})", "sign").collect()
+            best = pick_stump(rows, features, thresholds)
+            if best is None:
+                break
+            feature, threshold, polarity, error = best
+            error = min(max(error, 1e-12), 1.0 - 1e-12)
+            stump = Stump(feature, threshold, polarity, 0.5 * math.log((1.0 - error) / error) * lr)
+            stumps.append(stump)
+            recent.append(stump)
+            if len(recent) == fold_every and len(stumps) < wanted:
+                state = states.keep(state.withColumn("logw", F.expr(_log_weight(recent, thresholds))), "stumps")
+                states.drop(but=1)  # a state is one table, whatever the number of rounds
+                recent = []
+        model = StumpModel(means, stumps)
+        if stumps:
+            scored = model.transform(validation).select(F.lit("m").alias("model"), F.col(label).alias("label"), "score")
+            tuned = best_threshold(threshold_table(scored)).first()
+            model.threshold = tuned["threshold"] if tuned else 0.5
     return model
 
 

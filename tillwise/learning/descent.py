@@ -31,6 +31,9 @@ class LinearModel:
     bias: float
     means: dict[str, float]
     history: list[float] = field(default_factory=list)
+    #: Training state: weights on the standardised scale and the number of steps taken.
+    state: list[float] = field(default_factory=list)
+    steps: int = 0
 
     def expression(self) -> Column:
         filled = [F.coalesce(clean(f), F.lit(self.means[f])) for f in self.features]
@@ -83,11 +86,14 @@ def fit_simple(df: DataFrame, features: Sequence[str], target: str, epochs: int
 
 
 def fit_multiple(
-    df: DataFrame, features: Sequence[str], target: str, epochs: int = MULTIPLE["epochs"], lr: float = MULTIPLE["lr"]
-) -> LinearModel:
-    """All features; constant columns keep weight 0."""
+    df: DataFrame, features: Sequence[str], target: str, epochs: int = MULTIPLE["epochs"], lr: float = MULTIPLE["lr"],
+    start: LinearModel | None = None,
+) -> LinearModel:
+    """All features; constant columns keep weight 0. ``start`` goes on from a model's state, with its means."""
     features = list(features)
-    means = fit_means(df, features)
+    if start is not None and (start.features != features or len(start.state) != len(features)):
+        raise ValueError("the model to go on from was trained on other features")
+    means = start.means if start else fit_means(df, features)
     filled = impute(df.where(clean(target).isNotNull()), means)
     row = filled.agg(
         *[F.stddev_pop(f).alias(f) for f in features],
@@ -95,11 +101,12 @@ def fit_multiple(
     ).first()
     matrix = np.nan_to_num(correlation_matrix(filled, [*features, target]))
     big_r, r = matrix[:-1, :-1], matrix[:-1, -1]
-    w, history = np.zeros(len(features)), []
+    w, history = (np.array(start.state), list(start.history)) if start else (np.zeros(len(features)), [])
     for _ in range(epochs):
         history.append(float(1.0 - 2.0 * w @ r + w @ big_r @ w))
         w = w - 2.0 * lr * (big_r @ w - r)
     spread = np.array([row[f] or 1.0 for f in features])
     weights = row["_sy"] * w / spread
     bias = float(row["_my"] - sum(wt * means[f] for wt, f in zip(weights, features)))
-    return LinearModel(features, [float(x) for x in weights], bias, means, history)
+    steps = epochs + (start.steps if start else 0)
+    return LinearModel(features, [float(x) for x in weights], bias, means, history, [float(x) for x in w], steps)

@@ -59,3 +59,36 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     loss, keeps column pruning and gives Spark exact sizes for later joins.
     """
     return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, name))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written stage that nothing reads any more, through Hadoop's file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Stages:
+    """Written stages of an iterative operator. ``with Stages(spark) as stages`` removes what is left at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, name: str = "stage") -> DataFrame:
+        """Write ``df`` and read it back, as :func:`materialize` does."""
+        schema, path = df.schema, write_stage(df, name)
+        self.paths.append(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, but: int = 0) -> None:
+        """Remove all stages but the last ``but``."""
+        cut = len(self.paths) - but
+        for path in self.paths[:cut]:
+            remove_folder(self.spark, path)
+        self.paths = self.paths[cut:]
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from dataclasses import asdict
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..learning.boosting import Stump, StumpModel
 from ..learning.clusters import MarginModel
 from ..learning.descent import LinearModel
+from ..learning.gradient import LineModel
 from ..learning.registry import TunedClassifier
 
 SUFFIXES = ["_latest.pkl", ".pkl"]
@@ -21,7 +23,12 @@ def save(spark: SparkSession, model, path: str, features: Sequence[str]) -> None
     """Overwrite the model at ``path``; its feature list goes with it."""
     pipeline, facts = None, {}
     if isinstance(model, LinearModel):
-        facts = {"features": model.features, "weights": model.weights, "bias": model.bias, "means": model.means}
+        facts = {
+            "features": model.features, "weights": model.weights, "bias": model.bias, "means": model.means,
+            "history": model.history, "state": model.state, "steps": model.steps,
+        }
+    elif isinstance(model, LineModel):
+        facts = asdict(model)
     elif isinstance(model, StumpModel):
         facts = {
             "means": model.means, "threshold": model.threshold,
@@ -48,6 +55,8 @@ def load(spark: SparkSession, path: str):
     kind = row["kind"]
     if kind == "LinearModel":
         model = LinearModel(**facts)
+    elif kind == "LineModel":
+        model = LineModel(**facts)
     elif kind == "StumpModel":
         model = StumpModel(facts["means"], [Stump(*s) for s in facts["stumps"]], facts["threshold"])
     else:
@@ -88,6 +97,24 @@ def load_or_fit(spark: SparkSession, path: str, features: Sequence[str], fit: Ca
     return model
 
 
+def resume(spark: SparkSession, path: str, features: Sequence[str], fit: Callable[..., object]):
+    """Go on training a saved model, or start one: ``fit(start=model or None)``. The result is saved.
+
+    A model of other features is not gone on from; training starts anew.
+    """
+    start = None
+    try:
+        start, known = load(spark, path)
+        if known != list(features):
+            start = None
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    model = fit(start=start)
+    save(spark, model, path, features)
+    return model
+
+
 def catalogue(names: DataFrame, column: str = "name") -> DataFrame:
     """``(model, task)``: suffix stripped, task read from the name, both where it is unclear."""
     base = F.regexp_replace(F.col(column), r"(_latest)?\.pkl$", "")
