@@ -12,7 +12,9 @@ from ..functions.scalars import one_row
 from .boosting import StumpModel
 from .clusters import MarginModel
 from .descent import LinearModel
+from .gradient import LineModel
 from .registry import TunedClassifier
+from .trees import TreeModel
 
 
 def last_stage(model):
@@ -28,6 +30,10 @@ def importance(spark: SparkSession, model, features: Sequence[str]) -> DataFrame
         values = stage.featureImportances.toArray()
     elif isinstance(stage, LinearModel):
         values = [abs(stage.weights[stage.features.index(f)]) if f in stage.features else 0.0 for f in features]
+    elif isinstance(stage, TreeModel):
+        values = stage.importances()
+    elif isinstance(stage, LineModel):
+        values = [abs(w) for w in stage.weights]
     elif isinstance(stage, StumpModel):
         values = [sum(abs(s.alpha) for s in stage.stumps if s.feature == f) for f in features]
     elif isinstance(stage, MarginModel):
@@ -56,6 +62,11 @@ def split_usage(spark: SparkSession, saved_stage: str, features: Sequence[str])
     return used.groupBy(names[F.col("i")].alias("feature")).agg(F.count("*").alias("splits"))
 
 
+def tree_usage(spark: SparkSession, model: TreeModel) -> DataFrame:
+    """``(feature, splits)`` of the features that a model's trees split on."""
+    return spark.createDataFrame([*model.usage().items()], "feature string, splits long")
+
+
 def linear_attributions(df: DataFrame, weights: dict[str, float], keys: Sequence[str]) -> DataFrame:
     """Contribution w (x - mean) of every feature to every row, with its sign."""
     means = one_row(df.agg(*[F.avg(clean(f)).alias(f) for f in weights]))
@@ -75,5 +86,5 @@ def linear_attributions(df: DataFrame, weights: dict[str, float], keys: Sequence
 def loss_history(spark: SparkSession, model) -> DataFrame:
     """``(epoch, loss)`` of a trained model."""
     stage = last_stage(model)
-    losses = stage.history if isinstance(stage, LinearModel) else stage.summary.objectiveHistory
+    losses = stage.history if isinstance(stage, (LinearModel, LineModel)) else stage.summary.objectiveHistory
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "epoch int, loss double")

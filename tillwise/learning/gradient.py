@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import clean, flag, sigmoid, total
 from ..operators.scaling import class_weights, fit_means, impute
-from ..session import Stages
+from ..session import Stages, ship_package
 
 LOGISTIC = {"epochs": 100, "lr": 0.01}
 HINGE = {"epochs": 100, "lr": 0.001}
@@ -116,6 +116,7 @@ def train(
     """
     if start is not None and (start.features != list(features) or start.loss != loss):
         raise ValueError("the model to go on from was trained on other features or another loss")
+    ship_package(df.sparkSession)
     with Stages(df.sparkSession) as stages:
         model = start or fresh(df, features, loss)
         rows = stages.keep(matrix(df, model, label), "gradient")

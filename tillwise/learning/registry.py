@@ -11,9 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     LinearSVC,
-    LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
@@ -25,7 +23,7 @@ from ..functions.numeric import flag
 from ..operators.evaluation import best_threshold, threshold_table
 from ..operators.sampling import split
 from ..operators.scaling import balanced_weight
-from . import boosting, clusters, descent
+from . import boosting, clusters, descent, gradient, trees
 from .prep import oversample, pca_stages, polynomial_stages, vector_stages
 
 SEED = 42
@@ -84,26 +82,23 @@ def boosted_trees_sampled(df, features, key):
 
 
 def logistic(df, features, key, l2: float = 0.0):
-    return _pipeline(vector_stages(features), LogisticRegression(maxIter=100, regParam=l2), df)
+    return gradient.fit_logistic(df, features, l2=l2)
 
 
 def tree(df, features, key):
-    one = DecisionTreeClassifier(impurity="gini", maxDepth=10, maxBins=17, minInstancesPerNode=1, seed=SEED)
-    return _pipeline(vector_stages(features, False), one, df)
+    return trees.fit_tree(df, features)
 
 
-def forest(df, features, key, trees: int = 50):
-    many = RandomForestClassifier(numTrees=trees, maxDepth=10, featureSubsetStrategy="sqrt", seed=SEED)
-    return _pipeline(vector_stages(features, False), many, df)
+def forest(df, features, key, count: int = 50):
+    return trees.fit_forest(df, features, key, trees=count)
 
 
 def forest_large(df, features, key):
-    return forest(df, features, key, trees=200)
+    return forest(df, features, key, count=200)
 
 
 def svm(df, features, key):
-    weighted = balanced_weight(df, "label")
-    return _pipeline(vector_stages(features), LinearSVC(maxIter=100, regParam=0.001, weightCol="weight"), weighted)
+    return gradient.fit_hinge(df, features)
 
 
 def forest_pca(df, features, key):

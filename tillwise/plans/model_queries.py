@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..learning import boosting, descent, evaluate, explain, scoring
+from ..learning import boosting, descent, evaluate, explain, gradient, scoring, trees
 from ..learning.prep import training_table
 from ..learning.registry import FAMILIES, families
 from ..operators.scaling import mean_impute
@@ -15,7 +16,7 @@ from ..operators import whatif
 from ..operators.sampling import split
 from ..session import materialize, shared_folder
 from ..sources import model_store
-from . import tables
+from . import tables, training_sql as sql
 from .oracle_base import C360, with_
 from .shared import rounded
 
@@ -52,8 +53,11 @@ def _score(name: str):
     return run
 
 
-#: Families whose predictions follow from a formula, so that SQL can give them.
-EXACT = ("linear_regression", "multiple_regression")
+#: Families whose training SQL can repeat, so that it can give their predictions.
+EXACT = (
+    "linear_regression", "multiple_regression", "logistic_regression_classification", "svm_classification",
+    "decision_tree_classification", "random_forest_classification", "random_forest_large_classification",
+)
 
 
 def _checked(scored: DataFrame, task: str) -> DataFrame:
@@ -82,15 +86,10 @@ def _fitted(name: str, spark, d):
     return FAMILIES[name].fit(train, FEATURES, "customer_id"), train, test
 
 
-def _importance_values(spark, d):
-    model, _, _ = _fitted("random_forest_classification", spark, d)
-    return explain.importance(spark, model, FEATURES)
-
-
 def _importance(spark, d):
-    rows = materialize(_importance_values(spark, d), "importance")
-    total = rows.agg(F.sum("importance").alias("t")).scalar()
-    return rows.select("feature", F.col("importance").between(0.0, 1.0).alias("is_share"), F.round(total, 6).alias("total"))
+    """Importance and rank of every feature in the forest."""
+    model, _, _ = _fitted("random_forest_classification", spark, d)
+    return rounded(explain.importance(spark, model, FEATURES), 6)
 
 
 def _weights(spark, d):
@@ -98,35 +97,18 @@ def _weights(spark, d):
     return rounded(explain.importance(spark, _simple(spark, d), SQL_FEATURES), 4)
 
 
-def _usage_values(spark, d):
-    """Split count of every feature the tree uses."""
-    model, _, _ = _fitted("decision_tree_classification", spark, d)
-    path = os.path.join(shared_folder(spark), f"tree-{uuid.uuid4().hex}")
-    model.stages[-1].write().save(path)
-    return explain.split_usage(spark, path, FEATURES)
-
-
 def _usage(spark, d):
-    rows = materialize(_usage_values(spark, d), "usage")
-    known = spark.createDataFrame([(f,) for f in FEATURES], "feature string")
-    total = rows.agg(F.coalesce(F.sum("splits"), F.lit(0)).alias("t")).scalar()
-    # a split on anything that is no feature would show as a row of its own
-    return known.join(rows, "feature", "full").select(
-        "feature", (F.coalesce("splits", F.lit(0)) <= total).alias("is_part"), (total > 0).alias("tree_splits")
-    )
+    """Split count of every feature the tree uses."""
+    return explain.tree_usage(spark, _fitted("decision_tree_classification", spark, d)[0])
 
 
-def _saved_values(spark, d):
+def _saved(spark, d):
     """Scores of a model that went through the model store."""
     model, _, test = _fitted("logistic_regression_classification", spark, d)
     path = os.path.join(shared_folder(spark), f"models-{uuid.uuid4().hex}")
     model_store.save(spark, model, f"{path}/logistic_latest.pkl", FEATURES)
     again, _ = model_store.load_named(spark, path, "logistic")
-    return scoring.score(again, test, ["customer_id", "label"])
-
-
-def _saved(spark, d):
-    return rounded(_checked(_saved_values(spark, d), "classification"))
+    return rounded(scoring.score(again, test, ["customer_id", "label"]))
 
 
 def _attributions(spark, d):
@@ -227,9 +209,6 @@ def _least_squares(spark, d):
 #: The models' own values. They depend on the solver, so they have no SQL text; tests compare them with brute force.
 VALUES = {
     **{f"score_{f.name}_values": _score_values(f.name) for f in families() if f.name not in EXACT},
-    "feature_importance_values": _importance_values,
-    "tree_usage_values": _usage_values,
-    "saved_models_values": _saved_values,
     "what_if_model_values": _what_if_values,
     "evaluate_classification_values": _evaluate_values("classification"),
     "evaluate_regression_values": _evaluate_values("regression"),
@@ -322,6 +301,37 @@ _TWO_IMPACTS = (
     + "lambda z: coalesce(abs(w * (z - x)), 0.0::double)) AS i FROM v)"
 )
 
+_KNOWN = C360 + sql.filled(FEATURES, "churned", f"NOT ({_TEST})")
+_TREES = {"decision_tree_classification": 0, "random_forest_classification": 50, "random_forest_large_classification": 200}
+_RULES = {n: trees.Rule(take=math.isqrt(len(FEATURES)) if n in _TREES and _TREES[n] else None) for n in _TREES}
+#: Tables of the grown trees, by family.
+_GROWN = {
+    n: _KNOWN + (sql.copies(k, _RULES[n].seed) if k else "") + sql.tree_nodes(len(FEATURES), _RULES[n], k > 0) for n, k in _TREES.items()
+}
+
+
+def _named(prediction: str, probability: str, tables: str) -> str:
+    return (
+        f"SELECT customer_id, y::double AS label, ({prediction})::integer AS prediction, CASE WHEN {prediction} THEN 'Churn' ELSE 'Retain' END AS label_text, "
+        f"round({probability}, 4) AS probability FROM {tables}"
+    )
+
+
+def _line_scores(loss: str) -> str:
+    """Hold-out scores after all steps of a line model."""
+    steps = gradient.LOGISTIC["epochs"] if loss == "logistic" else gradient.HINGE["epochs"]
+    g = sql.margin(len(FEATURES))
+    p = f"1 / (1 + exp(-least(greatest({g}, -30), 30)))"
+    pick = _named(f"{p} >= 0.5", p, f"z, w WHERE t = {steps} AND NOT tr") if loss == "logistic" else _named(f"{g} >= 0", "0.5::double", f"z, w WHERE t = {steps} AND NOT tr")
+    return _recursive(with_(_KNOWN + sql.line(len(FEATURES), loss, steps), pick))
+
+
+def _tree_scores(family: str) -> str:
+    """Hold-out scores of a family of trees; a single tree has no probability."""
+    tables = f"fl JOIN ({sql.votes()}) USING (customer_id)"
+    return with_(_GROWN[family], _named("p >= 0.5", "p" if _TREES[family] else "0.5::double", tables))
+
+
 _N = range(len(SQL_FEATURES))
 _CHECKS = {
     "classification": ("churned", "TRUE AS is_class, TRUE AS text_follows, TRUE AS is_probability, TRUE AS beats_majority"),
@@ -370,10 +380,15 @@ ORACLES = {
         "SELECT r.feature, round(CASE WHEN r.feature = b.feature THEN abs(b.w) ELSE 0.0::double END, 4) AS importance, "
         "(row_number() OVER (ORDER BY r.feature <> b.feature, r.feature))::integer AS rank FROM r, b",
     ),
-    "tree_usage": " UNION ALL ".join(f"SELECT '{f}' AS feature, TRUE AS is_part, TRUE AS tree_splits" for f in FEATURES),
-    "saved_models": with_(
-        C360, f"SELECT customer_id, round(churned::double, 4) AS label, {_CHECKS['classification'][1]} FROM c360 WHERE {_TEST}"
+    "tree_usage": with_(
+        _GROWN["decision_tree_classification"], f"SELECT ({FEATURES!r})[f + 1] AS feature, count(*) AS splits FROM nodes WHERE f IS NOT NULL GROUP BY 1"
     ),
+    "saved_models": _line_scores("logistic"),
+    "score_logistic_regression_classification": _line_scores("logistic"),
+    "score_svm_classification": _line_scores("hinge"),
+    "score_decision_tree_classification": _tree_scores("decision_tree_classification"),
+    "score_random_forest_classification": _tree_scores("random_forest_classification"),
+    "score_random_forest_large_classification": _tree_scores("random_forest_large_classification"),
     "what_if_model": with_(
         C360,
         "SELECT customer_id, unnest(['quantity', 'unit_price', 'discount_applied']) AS feature, "
@@ -384,8 +399,13 @@ ORACLES = {
         "SELECT customer_id, feature, round(list_max(i), 3) AS max_impact, round(list_avg(i), 3) AS avg_impact, "
         "round(list_max(i) - list_min(i), 3) AS sensitivity FROM i",
     ),
-    "feature_importance": " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, TRUE AS is_share, 1.0::double AS total" for f in FEATURES
+    "feature_importance": with_(
+        _GROWN["random_forest_classification"],
+        f"""
+, gn AS (SELECT tree, f, sum((gini - score) * n) AS g FROM nodes WHERE f IS NOT NULL GROUP BY 1, 2)
+, im AS (SELECT f, sum(g / t) / {_TREES["random_forest_classification"]} AS i FROM gn JOIN (SELECT tree, sum(g) AS t FROM gn GROUP BY 1) USING (tree) GROUP BY f)
+SELECT ({FEATURES!r})[k + 1] AS feature, round(coalesce(i, 0), 6) AS importance,
+  (row_number() OVER (ORDER BY coalesce(i, 0) DESC, ({FEATURES!r})[k + 1]))::integer AS rank FROM (SELECT unnest(range({len(FEATURES)})) AS k) LEFT JOIN im ON f = k""",
     ),
     "evaluate_classification": with_(
         C360,

@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..learning import boosting, descent, gradient
+from ..learning import boosting, descent, gradient, trees
+from ..operators.bootstrap import bootstrap_counts, exact_bootstrap
 from ..operators.sampling import BUCKETS
 from ..session import shared_folder
 from ..sources import model_store
 from . import tables
-from .model_queries import SQL_FEATURES, _descent, _recursive
+from . import training_sql as sql
+from .model_queries import FEATURES, SQL_FEATURES, _descent, _recursive
 from .oracle_base import C360, with_
 from .shared import rounded
 
@@ -67,7 +69,42 @@ def _warm_stumps(spark, d):
     return rounded(spark.createDataFrame(rows, "round int, feature string, threshold double, polarity int, alpha double"), 6, threshold=4)
 
 
+def _tree(depth):
+    """Every node of a tree on all customers, with its impurity and its split's."""
+
+    def run(spark, d):
+        table = tables.customers(spark, d).select(*FEATURES, "churned")
+        return rounded(trees.fit_tree(table, FEATURES, "churned", trees.Rule(depth=depth)).rows(spark), 6, threshold=4)
+
+    return run
+
+
+SAMPLES = 6
+
+
+def _forest(spark, d):
+    """Every node of a small forest."""
+    table = tables.customers(spark, d).select("customer_id", *FEATURES, "churned")
+    model = trees.fit_forest(table, FEATURES, "customer_id", "churned", SAMPLES, trees.Rule(depth=2, take=3))
+    return rounded(model.rows(spark), 6, threshold=4)
+
+
+def _bootstrap(spark, d):
+    """Copies of every customer in every sample that draws it."""
+    return bootstrap_counts(tables.customers(spark, d).select("customer_id"), "customer_id", SAMPLES)
+
+
+def _exact_bootstrap(spark, d):
+    """Samples of exactly as many copies as there are customers."""
+    return exact_bootstrap(tables.customers(spark, d).select("customer_id"), "customer_id", SAMPLES)
+
+
 QUERIES = {
+    "tree_depth_1": _tree(1),
+    "tree_depth_2": _tree(2),
+    "forest_small": _forest,
+    "bootstrap_counts": _bootstrap,
+    "exact_bootstrap": _exact_bootstrap,
     "logistic_steps": _steps(gradient.fit_logistic),
     "svm_steps": _steps(gradient.fit_hinge),
     "warm_start_descent": _warm_descent,
@@ -126,7 +163,24 @@ def _stump_sql() -> str:
     ))
 
 
+_ALL = C360 + sql.filled(FEATURES, "churned", "TRUE")
+_SMALL = trees.Rule(depth=2, take=3)
+
 ORACLES = {
+    **{f"tree_depth_{k}": with_(_ALL + sql.tree_nodes(len(FEATURES), trees.Rule(depth=k), False), sql.node_rows(FEATURES)) for k in (1, 2)},
+    "forest_small": with_(
+        _ALL + sql.copies(SAMPLES, _SMALL.seed) + sql.tree_nodes(len(FEATURES), _SMALL, True), sql.node_rows(FEATURES)
+    ),
+    "bootstrap_counts": with_(_ALL + sql.copies(SAMPLES, 42), "SELECT customer_id, tree::integer AS tree, copies FROM dr WHERE copies > 0"),
+    "exact_bootstrap": with_(
+        _ALL,
+        f""", ra AS (SELECT count(*) AS n, 1 + 10 / sqrt(count(*)) AS r FROM fl)
+, ps AS (SELECT k, n, round(sum(exp(-r) * r ** k / factorial(k::integer)) OVER (ORDER BY k) * 4294967296)::bigint AS step FROM ra, (SELECT unnest(range(20)) AS k))
+, mk AS (SELECT customer_id, tree, ('0x' || substr(md5(customer_id::varchar || '|' || tree || '|42'), 1, 8))::bigint AS mark FROM fl, (SELECT unnest(range({SAMPLES})) AS tree))
+, cp AS (SELECT customer_id, tree, k + 1 AS copy, n FROM mk JOIN ps ON mark >= step)
+, kept AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY tree ORDER BY substr(md5(customer_id::varchar || '|' || tree || '|' || copy || '|42'), 1, 15)) <= n)
+SELECT tree::integer AS tree, customer_id, count(*) AS copies FROM kept GROUP BY 1, 2""",
+    ),
     "logistic_steps": _line_sql("1 / (1 + exp(-least(greatest(g, -30), 30))) - y", f"{gradient.LOGISTIC['lr']!r}::double", "0"),
     "svm_steps": _line_sql(
         "CASE WHEN (2 * y - 1) * g < 1 THEN -c * (2 * y - 1) ELSE 0 END", f"({gradient.HINGE['lr']!r}::double / sqrt(t + 1))", "1"

@@ -15,6 +15,7 @@ from ..learning.clusters import MarginModel
 from ..learning.descent import LinearModel
 from ..learning.gradient import LineModel
 from ..learning.registry import TunedClassifier
+from ..learning.trees import NODE_SCHEMA, TreeModel
 
 SUFFIXES = ["_latest.pkl", ".pkl"]
 
@@ -29,6 +30,9 @@ def save(spark: SparkSession, model, path: str, features: Sequence[str]) -> None
         }
     elif isinstance(model, LineModel):
         facts = asdict(model)
+    elif isinstance(model, TreeModel):
+        facts = {"features": model.features, "means": model.means, "trees": model.trees, "votes": model.votes}
+        spark.createDataFrame(model.nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
     elif isinstance(model, StumpModel):
         facts = {
             "means": model.means, "threshold": model.threshold,
@@ -57,6 +61,9 @@ def load(spark: SparkSession, path: str):
         model = LinearModel(**facts)
     elif kind == "LineModel":
         model = LineModel(**facts)
+    elif kind == "TreeModel":
+        nodes = [tuple(r) for r in spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").collect()]  # the model itself
+        model = TreeModel(nodes=nodes, **facts)
     elif kind == "StumpModel":
         model = StumpModel(facts["means"], [Stump(*s) for s in facts["stumps"]], facts["threshold"])
     else:
