@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 
 from tillwise.learning.registry import FAMILIES
 from tillwise.operators import whatif
@@ -50,37 +49,10 @@ def test_model_impacts(spark, sf, sales):
             assert np.allclose([got[(c, f)][name] for c in test.customer_id], want, rtol=1e-3, atol=0.1), (f, name)
 
 
-def test_saved_and_scored_probabilities(spark, sf):
-    """The logistic function of the fitted weights gives both queries' probabilities."""
-    model, _, test = mq._fitted("logistic_regression_classification", spark, sf)
-    stage, rows = model.stages[-1], model.transform(test).select("customer_id", vector_to_array("features").alias("x")).collect()
-    want = {r["customer_id"]: 1 / (1 + np.exp(-(stage.intercept + np.dot(stage.coefficients.toArray(), r["x"])))) for r in rows}
-    for name in ("saved_models_values", "score_logistic_regression_classification_values"):
-        got = mq.QUERIES[name](spark, sf).collect()
-        assert len(got) == len(want)
-        for r in got:
-            assert r["probability"] == pytest.approx(want[r["customer_id"]], abs=1e-6)
-            assert (r["prediction"], r["label_text"]) == ((1, "Churn") if r["probability"] > 0.5 else (0, "Retain"))
-
-
-def test_tree_values(spark, sf):
-    """Counts and importances from the trees' own printed form and attributes."""
-    import re
-
-    model, _, _ = mq._fitted("decision_tree_classification", spark, sf)
-    printed = re.findall(r"If \(feature (\d+)", model.stages[-1].toDebugString)
-    want = {mq.FEATURES[int(i)]: printed.count(i) for i in set(printed)}
-    assert {r["feature"]: r["splits"] for r in mq.QUERIES["tree_usage_values"](spark, sf).collect()} == want
-    model, _, _ = mq._fitted("random_forest_classification", spark, sf)
-    ranked = sorted(mq.QUERIES["feature_importance_values"](spark, sf).collect(), key=lambda r: r["rank"])
-    assert [r["importance"] for r in ranked] == sorted(model.stages[-1].featureImportances.toArray(), reverse=True)
-    assert [r["rank"] for r in ranked] == list(range(1, len(mq.FEATURES) + 1))
-
-
 def test_evaluations_recount_the_scores(spark, sf):
     found = by(mq.QUERIES["evaluate_classification_values"](spark, sf).collect(), "model")
     family = FAMILIES["decision_tree_classification"]
-    rows = mq.QUERIES[f"score_{family.name}_values"](spark, sf).collect()
+    rows = mq.QUERIES[f"score_{family.name}"](spark, sf).collect()
     n = {(y, p): sum((r["label"], r["prediction"]) == (y, p) for r in rows) for y in (0, 1) for p in (0, 1)}
     got = found[(family.title,)]
     assert got["confusion_matrix"].asDict() == {"TN": n[0, 0], "FP": n[0, 1], "FN": n[1, 0], "TP": n[1, 1]}

@@ -23,7 +23,7 @@ from ..functions.numeric import flag
 from ..operators.evaluation import best_threshold, threshold_table
 from ..operators.sampling import split
 from ..operators.scaling import balanced_weight
-from . import boosting, clusters, descent, gradient, trees
+from . import boosting, clusters, descent, gradient, regression_boosting, trees
 from .prep import oversample, pca_stages, polynomial_stages, vector_stages
 
 SEED = 42
@@ -70,8 +70,7 @@ def polynomial(df, features, key):
 
 
 def boosted_trees(df, features, key):
-    trees = GBTRegressor(maxIter=50, stepSize=0.1, maxDepth=6, featureSubsetStrategy="sqrt", seed=SEED)
-    return _pipeline(vector_stages(features, False), trees, df)
+    return regression_boosting.fit_boosted(df, features)
 
 
 def boosted_trees_sampled(df, features, key):

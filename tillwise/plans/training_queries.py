@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..learning import boosting, descent, gradient, trees
+from ..learning import boosting, descent, gradient, regression_boosting, trees
+from ..operators.batches import batch_numbers
 from ..operators.bootstrap import bootstrap_counts, exact_bootstrap
 from ..operators.sampling import BUCKETS
-from ..session import shared_folder
+from ..session import Stages, shared_folder
 from ..sources import model_store
 from . import tables
 from . import training_sql as sql
@@ -99,7 +100,31 @@ def _exact_bootstrap(spark, d):
     return exact_bootstrap(tables.customers(spark, d).select("customer_id"), "customer_id", SAMPLES)
 
 
+def _boosted(spark, d):
+    """The tree of the first round, of depth 1, on all features."""
+    table = tables.customers(spark, d).select(*FEATURES, "total_sales")
+    model = regression_boosting.fit_boosted(table, FEATURES, "total_sales", rounds=1, depth=1, take=len(FEATURES))
+    return rounded(model.rows(spark), 6, cut=4)
+
+
+BATCH = 64
+
+
+def _batches(spark, d):
+    """The batch of every customer in two epochs, and the size of the batch."""
+    keys, stages = tables.customers(spark, d).select("customer_id"), Stages(spark)
+    out = None
+    for epoch in (0, 1):
+        rows = batch_numbers(keys, "customer_id", BATCH, stages, 42 + epoch)
+        sizes = rows.groupBy("batch").agg(F.count("*").alias("size"))
+        rows = rows.join(sizes, "batch").select("customer_id", F.lit(epoch).alias("epoch"), "batch", "pos", "size")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 QUERIES = {
+    "boosted_round": _boosted,
+    "mini_batches": _batches,
     "tree_depth_1": _tree(1),
     "tree_depth_2": _tree(2),
     "forest_small": _forest,
@@ -167,6 +192,17 @@ _ALL = C360 + sql.filled(FEATURES, "churned", "TRUE")
 _SMALL = trees.Rule(depth=2, take=3)
 
 ORACLES = {
+    "boosted_round": with_(
+        C360 + sql.filled(FEATURES, "total_sales", "TRUE", kind="double") + sql.boosted_round(FEATURES, regression_boosting.DISTINCT, regression_boosting.PERCENTILES),
+        f"""SELECT 1 AS round, 1::bigint AS node, ({FEATURES!r})[f + 1] AS feature, round(cut, 4) AS cut, NULL::double AS value FROM bb
+UNION ALL SELECT 1, 2, NULL, NULL, round(s / l, 6) FROM bb UNION ALL SELECT 1, 3, NULL, NULL, round((t - s) / (n - l), 6) FROM bb""",
+    ),
+    "mini_batches": with_(
+        C360,
+        f""", pp AS (SELECT customer_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY substr(md5(customer_id::varchar || '|' || (42 + epoch)), 1, 15)) - 1 AS pos
+  FROM c360, (SELECT unnest([0, 1]) AS epoch))
+SELECT customer_id, epoch, pos // {BATCH} AS batch, pos, count(*) OVER (PARTITION BY epoch, pos // {BATCH}) AS size FROM pp""",
+    ),
     **{f"tree_depth_{k}": with_(_ALL + sql.tree_nodes(len(FEATURES), trees.Rule(depth=k), False), sql.node_rows(FEATURES)) for k in (1, 2)},
     "forest_small": with_(
         _ALL + sql.copies(SAMPLES, _SMALL.seed) + sql.tree_nodes(len(FEATURES), _SMALL, True), sql.node_rows(FEATURES)

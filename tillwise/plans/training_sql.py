@@ -12,13 +12,13 @@ from ..operators.bootstrap import poisson_steps
 TEST = "('0x' || substr(md5(customer_id::varchar || '|42'), 1, 8))::bigint % 10000 < 2000"
 
 
-def filled(features: Sequence[str], label: str, train: str, base: str = "c360") -> str:
+def filled(features: Sequence[str], label: str, train: str, base: str = "c360", kind: str = "integer") -> str:
     """Tables m (means of the training rows), fl (customer_id, y, tr, xs: filled features) and fr (the same at nine digits, for trees)."""
     means = ", ".join(f"avg({f}) AS m{i}" for i, f in enumerate(features))
     values = ", ".join(f"coalesce({f}, m{i})::double" for i, f in enumerate(features))
     return f"""
 , m AS (SELECT {means} FROM {base} WHERE {train})
-, fl AS MATERIALIZED (SELECT customer_id, {label}::integer AS y, {train} AS tr, [{values}] AS xs FROM {base}, m)
+, fl AS MATERIALIZED (SELECT customer_id, {label}::{kind} AS y, {train} AS tr, [{values}] AS xs FROM {base}, m)
 , fr AS MATERIALIZED (SELECT * REPLACE (list_transform(xs, lambda x: ROUND(x, 9)) AS xs) FROM fl)"""
 
 
@@ -101,3 +101,17 @@ def node_rows(features: Sequence[str]) -> str:
 def votes() -> str:
     """Select of the share of votes per hold-out row."""
     return "SELECT customer_id, avg(value)::double AS p FROM ends JOIN nodes USING (tree, node) GROUP BY customer_id"
+
+
+def boosted_round(features: Sequence[str], distinct: int, percentiles: int) -> str:
+    """Tables bb (the best cut of the first round) after :func:`filled` with a double target."""
+    probs = [i / (percentiles - 1) for i in range(percentiles)]
+    return f"""
+, ys AS (SELECT avg(y) AS my, stddev_pop(y) AS sy FROM fr)
+, lv AS MATERIALIZED (SELECT unnest(range({len(features)})) AS f, unnest(xs) AS v, (y - my) / sy AS r FROM fr, ys)
+, dv AS MATERIALIZED (SELECT DISTINCT f, v FROM lv)
+, nd AS (SELECT f, count(*) AS n FROM dv GROUP BY f)
+, cv AS MATERIALIZED (SELECT f, v AS cut FROM dv JOIN nd USING (f) WHERE n <= {distinct}
+    UNION SELECT f, unnest(quantile_disc(v, {probs!r})) FROM dv JOIN nd USING (f) WHERE n > {distinct} GROUP BY f)
+, ev AS (SELECT f, cut, (count(*) FILTER (v < cut))::double AS l, sum(r) FILTER (v < cut) AS s, count(*)::double AS n, sum(r) AS t FROM lv JOIN cv USING (f) GROUP BY 1, 2)
+, bb AS (SELECT * FROM ev WHERE l > 0 ORDER BY ROUND(s * s / l + (t - s) * (t - s) / (n - l), 9) DESC, f, cut LIMIT 1)"""

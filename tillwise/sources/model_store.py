@@ -14,7 +14,9 @@ from ..learning.boosting import Stump, StumpModel
 from ..learning.clusters import MarginModel
 from ..learning.descent import LinearModel
 from ..learning.gradient import LineModel
+from ..learning.minibatch import PolynomialModel
 from ..learning.registry import TunedClassifier
+from ..learning.regression_boosting import BoostModel
 from ..learning.trees import NODE_SCHEMA, TreeModel
 
 SUFFIXES = ["_latest.pkl", ".pkl"]
@@ -28,8 +30,10 @@ def save(spark: SparkSession, model, path: str, features: Sequence[str]) -> None
             "features": model.features, "weights": model.weights, "bias": model.bias, "means": model.means,
             "history": model.history, "state": model.state, "steps": model.steps,
         }
-    elif isinstance(model, LineModel):
+    elif isinstance(model, (LineModel, PolynomialModel)):
         facts = asdict(model)
+    elif isinstance(model, BoostModel):
+        facts = {**asdict(model), "trees": [[[node, *entry] for node, entry in tree.items()] for tree in model.trees]}
     elif isinstance(model, TreeModel):
         facts = {"features": model.features, "means": model.means, "trees": model.trees, "votes": model.votes}
         spark.createDataFrame(model.nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
@@ -61,6 +65,10 @@ def load(spark: SparkSession, path: str):
         model = LinearModel(**facts)
     elif kind == "LineModel":
         model = LineModel(**facts)
+    elif kind == "PolynomialModel":
+        model = PolynomialModel(**facts)
+    elif kind == "BoostModel":
+        model = BoostModel(**{**facts, "trees": [{n: (f, cut, value) for n, f, cut, value in tree} for tree in facts["trees"]]})
     elif kind == "TreeModel":
         nodes = [tuple(r) for r in spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").collect()]  # the model itself
         model = TreeModel(nodes=nodes, **facts)
