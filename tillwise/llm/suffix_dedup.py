@@ -8,8 +8,8 @@ passage shows up as two suffixes with equal leading tokens. About one byte in 35
 1. Anchors whose leading tokens occur once are dropped. Map tasks settle repeats inside a batch and
    send one row per key on, so very common tokens are combined before the shuffle.
 2. The others become suffixes: an anchor with the text on both sides that its passages cover.
-   Splitters from a bounded sample range-partition them by (hash of the leading tokens, document), so a
-   very common key spreads over several buckets.
+   Splitters from a bounded sample range-partition them by (hash of the leading tokens, document, place), so
+   a very common key spreads over several buckets, also where one document of padding repeats it.
 3. A bucket sorts its suffixes, forwards and backwards, by multikey quicksort with eight-byte digits:
    only runs of equal prefixes are sorted by the next digit. Common prefix lengths of neighbours give
    the class of every passage, and all but the first of a class are repeats. No bytes are hashed here.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import partitions, raw, ship, slices, text_key
+from .common import Scratch, partitions, raw, ship, slices, text_key
 
 SPAN = 100
 LEAD = 32
@@ -164,21 +164,21 @@ def _candidates(rows: np.ndarray) -> pa.RecordBatch:
 
 
 def splitters(found: DataFrame, buckets: int) -> np.ndarray:
-    """Up to ``buckets - 1`` keys (lead, uid) that cut ``found`` into about equal ranges."""
+    """Up to ``buckets - 1`` keys (lead, uid, pos) that cut ``found`` into about equal ranges."""
     rows = found.count()
     wanted = min(buckets * SAMPLE_PER_BUCKET, MAX_SAMPLE)
     step = max(1, rows // max(1, wanted))
-    sample = found.where(F.pmod(F.xxhash64("lead", "uid", "pos"), F.lit(step)) == 0).select("lead", "uid").collect()
-    keys = np.array(sorted((r[0], r[1]) for r in sample), np.int64).reshape(-1, 2)
+    sample = found.where(F.pmod(F.xxhash64("lead", "uid", "pos"), F.lit(step)) == 0).select("lead", "uid", "pos").collect()
+    keys = np.array(sorted(map(tuple, sample)), np.int64).reshape(-1, 3)
     cuts = keys[np.linspace(0, len(keys), buckets + 1)[1:-1].astype(int)] if len(keys) >= buckets else keys
     return np.unique(cuts, axis=0)
 
 
-def bucket_of(cuts: np.ndarray, lead: np.ndarray, uid: np.ndarray) -> np.ndarray:
-    """Number of splitters below each key."""
-    both = np.concatenate([cuts[:, 0], lead]), np.concatenate([cuts[:, 1], uid])
-    is_key = np.concatenate([np.zeros(len(cuts), np.int8), np.ones(len(lead), np.int8)])
-    order = np.lexsort((1 - is_key, both[1], both[0]))  # a key equal to a splitter stands before it
+def bucket_of(cuts: np.ndarray, *key: np.ndarray) -> np.ndarray:
+    """Number of splitters below each key (lead, uid, pos)."""
+    both = [np.concatenate([cuts[:, i], column]) for i, column in enumerate(key)]
+    is_key = np.concatenate([np.zeros(len(cuts), np.int8), np.ones(len(key[0]), np.int8)])
+    order = np.lexsort((1 - is_key, *both[::-1]))  # a key equal to a splitter stands before it
     below = np.empty(len(order), np.int64)
     below[order] = np.cumsum(1 - is_key[order])
     return below[len(cuts) :]
@@ -292,7 +292,7 @@ def _suffixes(docs: DataFrame, found: DataFrame, cuts: np.ndarray) -> DataFrame:
                 number, pos, lead, first, last = (x[here] for x in (number, pos, lead.view(np.int64), first, last))
                 uid = uids[number]
                 context = [texts[i][a : b + SPAN] for i, a, b in zip(number, first, last)]
-                columns = [bucket_of(shared.value, lead, uid), lead, uid, pos, first, last]
+                columns = [bucket_of(shared.value, lead, uid, pos), lead, uid, pos, first, last]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(c, pa.int64()) for c in columns), pa.array(context, pa.binary())],
                     ["bucket", "lead", "uid", "pos", "first", "last", "context"],
@@ -339,11 +339,14 @@ def _found(uid: np.ndarray, start: np.ndarray, stop: np.ndarray, passages: list)
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``uid, start, stop`` byte ranges of ``docs`` (``uid, text``) that repeat earlier passages; ranges may overlap."""
-    found = materialize(repeated_anchors(docs), "anchors")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(repeated_anchors(docs), "anchors")
+    scratch.tidy(1)  # the shuffle behind it goes
     buckets = max(partitions(docs.sparkSession), -(-found.count() // BUCKET_ROWS))
     cuts = splitters(found, buckets)
     suffixes = _suffixes(docs, found, cuts).repartitionById(buckets, F.col("bucket").cast("int"))
-    compared = materialize(_compared(suffixes, cuts), "repeats")
+    compared = scratch.keep(_compared(suffixes, cuts), "repeats")
+    scratch.tidy(1)  # the anchors, and the shuffles of texts and suffixes
     # across boundaries: each bucket gives a passage once at most, so a group is bounded by the number of buckets
     met = compared.where("passage is not null").groupBy("passage").agg(F.collect_list(F.struct("uid", "start", "stop")).alias("places"))
     later = F.array_sort("places")
