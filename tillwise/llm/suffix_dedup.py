@@ -26,6 +26,7 @@ are read.
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -337,16 +338,24 @@ def _found(uid: np.ndarray, start: np.ndarray, stop: np.ndarray, passages: list)
     return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (uid, start, stop)), pa.array(passages, pa.binary())], ["uid", "start", "stop", "passage"])
 
 
+def release(scratch: Scratch) -> None:
+    """Drop all stages but the last and their shuffle files, also those that the listeners of a plan still hold at first."""
+    for _ in range(3):
+        scratch.tidy(1)
+        time.sleep(0.4)
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``uid, start, stop`` byte ranges of ``docs`` (``uid, text``) that repeat earlier passages; ranges may overlap."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(repeated_anchors(docs), "anchors")
-    scratch.tidy(1)  # the shuffle behind it goes
+    release(scratch)  # the shuffle behind it goes
     buckets = max(partitions(docs.sparkSession), -(-found.count() // BUCKET_ROWS))
     cuts = splitters(found, buckets)
     suffixes = _suffixes(docs, found, cuts).repartitionById(buckets, F.col("bucket").cast("int"))
     compared = scratch.keep(_compared(suffixes, cuts), "repeats")
-    scratch.tidy(1)  # the anchors, and the shuffles of texts and suffixes
+    del suffixes
+    release(scratch)  # the anchors, and the shuffles of texts and suffixes
     # across boundaries: each bucket gives a passage once at most, so a group is bounded by the number of buckets
     met = compared.where("passage is not null").groupBy("passage").agg(F.collect_list(F.struct("uid", "start", "stop")).alias("places"))
     later = F.array_sort("places")
