@@ -153,9 +153,9 @@ def test_metamorphic_directions(spark, table, fitted):
     row = table.where("visits is not null").limit(1)
     at = lambda m, **v: m.transform(row.withColumns({k: F.lit(float(x)) for k, x in v.items()})).first()
     churn = fitted["logistic_regression_classification"]
-    p = [at(churn, days=d)["probability"][1] for d in (5, 100, 365)]
+    p = [at(churn, days=d)["score"] for d in (5, 100, 365)]
     assert p == sorted(p) and p[0] < p[2]
-    engaged = [at(churn, visits=v)["probability"][1] for v in (0, 20, 40)]
+    engaged = [at(churn, visits=v)["score"] for v in (0, 20, 40)]
     assert engaged == sorted(engaged, reverse=True)
     sales = fitted["polynomial_regression"]
     assert at(sales, quantity=2)["prediction"] < at(sales, quantity=9)["prediction"]
@@ -228,12 +228,10 @@ def test_explanations(spark, table, fitted, tmp_path):
     assert {r["feature"] for r in weights.collect()} == {"quantity", "unit_price"}
     with pytest.raises(ValueError):
         explain.importance(spark, fitted["polynomial_regression"], FEATURES)
-    path = str(tmp_path / "tree")
-    fitted["decision_tree_classification"].stages[-1].write().save(path)
-    usage = {r["feature"]: r["splits"] for r in explain.split_usage(spark, path, FEATURES).collect()}
+    usage = {r["feature"]: r["splits"] for r in explain.tree_usage(spark, fitted["decision_tree_classification"]).collect()}
     assert usage["days"] >= 1 and set(usage) <= set(FEATURES)
     path = str(tmp_path / "forest")
-    fitted["random_forest_classification"].stages[-1].write().save(path)
+    fitted["boosted_trees_sampled_regression"].stages[-1].write().save(path)
     assert explain.split_usage(spark, path, FEATURES).count() >= 2
     rows = explain.linear_attributions(table, {"quantity": 2.0, "days": -1.0}, ["customer_id"])
     sums = rows.groupBy("feature").agg(F.sum("contribution").alias("s")).collect()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.numeric import as_col, flag
-from ..session import materialize
+from ..session import Stages, materialize
 
 # Categorical columns of the training table.
 TRAINING_CATEGORICALS = [
@@ -158,3 +158,43 @@ def frequency_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     n = df.agg(F.count("*").alias("n")).scalar()
     shares = materialize(counts.select("_level", (F.col("_n") / n).alias(out)), "levels")
     return df.join(shares, F.col(column).eqNullSafe(F.col("_level")), "left").drop("_level")
+
+
+def level_table(df: DataFrame, columns: Sequence[str], stages: Stages) -> DataFrame:
+    """``column, level, index`` of every level but each column's first: its place in a vector over all columns.
+
+    Levels are numbered in (column, level) order by range: no task sorts them all, and none reaches the driver.
+    """
+    spark = df.sparkSession
+    pairs = F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"`{c}`").cast("string").alias("level")) for i, c in enumerate(columns)])
+    levels = stages.keep(df.select(F.inline(pairs)).where("level IS NOT NULL").distinct(), "levels")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = levels.repartitionByRange(parts, "column", "level").sortWithinPartitions("column", "level")
+    stored = stages.keep(ranged.withColumn("_place", F.monotonically_increasing_id()), "level-places")
+    part = F.shiftrightunsigned("_place", 33)
+    counts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    starts = counts.select("_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = stored.withColumn("_part", part).join(starts, "_part")
+    placed = placed.select("column", "level", (F.col("_before") + F.col("_place") - F.col("_first")).alias("pos"))
+    placed = stages.keep(placed, "level-index")
+    firsts = placed.groupBy("column").agg(F.min("pos").alias("_start"))  # a row per column
+    dropped = F.row_number().over(Window.orderBy("column")).cast("long")
+    firsts = firsts.withColumn("_dropped", dropped)
+    kept = placed.join(firsts, "column").where("pos > _start")
+    return stages.keep(kept.select("column", "level", (F.col("pos") - F.col("_dropped")).alias("index")), "level-table")
+
+
+def one_hot_sparse(df: DataFrame, columns: Sequence[str], stages: Stages) -> DataFrame:
+    """``df`` with ``indices``: ascending places of the ones in the dummy vector over all ``columns``.
+
+    The first level of each column in alphabetical order has no place, and a null has none. For any number of
+    levels: each column meets its levels in a join, broadcast or shuffled by their size.
+    """
+    table = level_table(df, columns, stages)
+    out = df
+    for i, c in enumerate(columns):
+        mine = table.where(F.col("column") == i).select(F.col("level").alias(f"_level{i}"), F.col("index").alias(f"_index{i}"))
+        out = out.join(mine, F.col(f"`{c}`").cast("string") == F.col(f"_level{i}"), "left").drop(f"_level{i}")
+    places = [F.col(f"_index{i}") for i in range(len(columns))]
+    return out.withColumn("indices", F.array_compact(F.array(*places))).drop(*[f"_index{i}" for i in range(len(columns))])

@@ -150,19 +150,6 @@ def value_per_transaction(df: DataFrame) -> Column:
     return spent / at_least_one("num_purchases") if has(df, "num_purchases") else spent
 
 
-def add_serving_features(df: DataFrame) -> DataFrame:
-    """All derived columns a whole table needs before it is scored."""
-    return df.withColumns(
-        {
-            "quantity_times_price": quantity_times_price(df),
-            "engagement_score": engagement_serving(df),
-            "recency_ratio": recency_ratio(df),
-            "online_preference": online_preference(df),
-            "value_per_transaction": value_per_transaction(df),
-        }
-    )
-
-
 def gaussian(key: str | Column, seed: int, mean: float, std: float) -> Column:
     """Normal draw that depends only on the row key, not on partitioning."""
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries, feature_queries, insight_queries, missing_queries, model_queries, source_queries, stat_queries, training_queries
+from . import evaluation_queries, feature_queries, further_queries, insight_queries, missing_queries, model_queries, source_queries, stat_queries, training_queries
 from .shared import TIE_SHIFT
 
-MODULES = [insight_queries, feature_queries, stat_queries, missing_queries, source_queries, evaluation_queries, model_queries, training_queries]
+MODULES = [insight_queries, feature_queries, stat_queries, missing_queries, source_queries, evaluation_queries, model_queries, training_queries, further_queries]
 
 
 def all_queries() -> dict:
