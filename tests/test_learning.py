@@ -230,9 +230,6 @@ def test_explanations(spark, table, fitted, tmp_path):
         explain.importance(spark, fitted["polynomial_regression"], FEATURES)
     usage = {r["feature"]: r["splits"] for r in explain.tree_usage(spark, fitted["decision_tree_classification"]).collect()}
     assert usage["days"] >= 1 and set(usage) <= set(FEATURES)
-    path = str(tmp_path / "forest")
-    fitted["boosted_trees_sampled_regression"].stages[-1].write().save(path)
-    assert explain.split_usage(spark, path, FEATURES).count() >= 2
     rows = explain.linear_attributions(table, {"quantity": 2.0, "days": -1.0}, ["customer_id"])
     sums = rows.groupBy("feature").agg(F.sum("contribution").alias("s")).collect()
     assert all(abs(r["s"]) < 1e-6 for r in sums)
@@ -240,6 +237,15 @@ def test_explanations(spark, table, fitted, tmp_path):
     assert explain.loss_history(spark, fitted["linear_regression"]).count() == 150
 
 
+def test_split_usage_of_a_saved_forest(spark, table, tmp_path):
+    from tillwise.learning.registry import forest_pca
+
+    model, path = forest_pca(labelled(table, "churned"), FEATURES, "customer_id"), str(tmp_path / "forest")
+    model.stages[-1].write().save(path)
+    usage = {r["feature"]: r["splits"] for r in explain.split_usage(spark, path, FEATURES).collect()}
+    assert len(usage) >= 2 and sum(usage.values()) == model.stages[-1].toDebugString.count("If (")
+
+
 def test_prep(spark, table):
     data = labelled(table, "churned")
     out = prep_pipeline(FEATURES).fit(data).transform(data)
