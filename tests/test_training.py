@@ -41,7 +41,6 @@ def folders(spark):
 def test_line_steps(spark, table, loss, tmp_path):
     df, x, y, _ = table
     fit = gradient.fit_logistic if loss == "logistic" else gradient.fit_hinge
-    mean, spread = None, None
     before = folders(spark)
     first = fit(df, NAMES, epochs=2)
     model_store.save(spark, first, f"{tmp_path}/m", NAMES)
@@ -49,6 +48,8 @@ def test_line_steps(spark, table, loss, tmp_path):
     assert again == first and names == NAMES
     model, whole = fit(df, NAMES, epochs=3, start=again), fit(df, NAMES, epochs=5)
     assert np.allclose([*model.weights, model.bias], [*whole.weights, whole.bias]) and model.steps == 5 and len(model.history) == 5
+    scans = fit(df, NAMES, epochs=5, local=100)  # a scan per step
+    assert np.allclose([*scans.weights, scans.bias], [*whole.weights, whole.bias]) and np.allclose(scans.history, whole.history)
     assert folders(spark) == before
     mean = np.array([whole.means[f] for f in NAMES])
     spread = np.array([whole.spreads[f] for f in NAMES])

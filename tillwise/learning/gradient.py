@@ -2,7 +2,8 @@
 
 The features are filled with their means, standardised and stored once. A step is one scan of that
 table: every batch of rows gives its gradient sums by two matrix products, the sums are added up
-before and after a shuffle of one row per task, and d + 2 numbers reach the driver.
+before and after a shuffle of one row per task, and d + 2 numbers reach the driver. For a table of at most
+``LOCAL`` rows a job would cost far more than its step; such a table takes all steps within one task.
 
 A model holds all that a later run needs to go on: weights, the number of steps taken, and the means and
 spreads it was trained with. 75 steps, a stop, and 75 more are the same as 150.
@@ -22,6 +23,8 @@ from ..functions.numeric import clean, flag, sigmoid, total
 from ..operators.scaling import class_weights, fit_means, impute
 from ..session import Stages, ship_package
 
+#: Rows that one task may hold for all steps.
+LOCAL = 50_000
 LOGISTIC = {"epochs": 100, "lr": 0.01}
 HINGE = {"epochs": 100, "lr": 0.001}
 
@@ -104,9 +107,41 @@ def sums(rows: DataFrame, model: LineModel, pull: Pull, costs: tuple[float, floa
     return np.array(partial.agg(*[F.sum(n).alias(n) for n in names]).first(), float)
 
 
+def moved(
+    loss: str, w: np.ndarray, b: float, found: np.ndarray, steps: int, lr: float, l2: float
+) -> tuple[np.ndarray, float, float]:
+    """Weights and bias after step number ``steps``, and the loss before it, from mean sums."""
+    if loss == "logistic":
+        rate, gradient, value = lr, found[:-2] + l2 * w, found[-1] + l2 / 2.0 * w @ w
+    else:
+        rate, gradient, value = lr / math.sqrt(steps + 1.0), found[:-2] + w, found[-1] + 0.5 * w @ w
+    return w - rate * gradient, float(b - rate * found[-2]), float(value)
+
+
+def local_steps(rows: DataFrame, model: LineModel, pull: Pull, costs: tuple[float, float], epochs: int, lr: float, l2: float) -> LineModel:
+    """All steps over a bounded table, in one task."""
+    d, loss, done = len(model.features), model.loss, model.steps
+    weights, bias = np.array(model.weights), model.bias
+
+    def run(group: pa.Table) -> pa.Table:
+        x = np.column_stack([group.column(f"x{i}").to_numpy() for i in range(d)])
+        y = group.column("y").to_numpy()
+        order = np.lexsort([y, *x.T])  # an order of the rows' own, whatever the shuffle gave
+        x, y, w, b, history = x[order], y[order], weights, bias, []
+        for t in range(done, done + epochs):
+            g, lost = pull(x @ w + b, y, costs)
+            w, b, value = moved(loss, w, b, np.array([*(g @ x), g.sum(), lost.sum()]) / len(y), t, lr, l2)
+            history.append(value)
+        lists = pa.list_(pa.float64())
+        return pa.table({"w": pa.array([w], lists), "b": pa.array([b], pa.float64()), "history": pa.array([history], lists)})
+
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "w array<double>, b double, history array<double>").first()
+    return replace(model, weights=list(found["w"]), bias=found["b"], steps=done + epochs, history=[*model.history, *found["history"]])
+
+
 def train(
     df: DataFrame, features: Sequence[str], label: str, loss: str, epochs: int, lr: float, l2: float = 0.0,
-    cost: float = 1.0, start: LineModel | None = None,
+    cost: float = 1.0, start: LineModel | None = None, local: int = LOCAL,
 ) -> LineModel:
     """``epochs`` more full-batch steps. ``start`` goes on from a model, with its means and spreads.
 
@@ -117,6 +152,7 @@ def train(
     if start is not None and (start.features != list(features) or start.loss != loss):
         raise ValueError("the model to go on from was trained on other features or another loss")
     ship_package(df.sparkSession)
+    pull = logistic_pull if loss == "logistic" else hinge_pull
     with Stages(df.sparkSession) as stages:
         model = start or fresh(df, features, loss)
         rows = stages.keep(matrix(df, model, label), "gradient")
@@ -125,25 +161,19 @@ def train(
             raise ValueError("no row with a label")
         ratio = class_weights(rows, "y", cost).first()
         costs = (ratio["margin_positive_cost"], ratio["margin_negative_cost"])
-        history = list(model.history)
+        if n <= local:
+            return local_steps(rows, model, pull, costs, epochs, lr, l2)
         for _ in range(epochs):
-            w = np.array(model.weights)
-            if loss == "logistic":
-                found = sums(rows, model, logistic_pull, costs) / n
-                rate, gradient = lr, found[:-2] + l2 * w
-                history.append(float(found[-1] + l2 / 2.0 * w @ w))
-            else:
-                found = sums(rows, model, hinge_pull, costs) / n
-                rate, gradient = lr / math.sqrt(model.steps + 1.0), found[:-2] + w
-                history.append(float(found[-1] + 0.5 * w @ w))
-            weights, bias = w - rate * gradient, model.bias - rate * found[-2]
-            model = replace(model, weights=[float(v) for v in weights], bias=float(bias), steps=model.steps + 1)
-    return replace(model, history=history)
-
-
-def fit_logistic(df, features, label="label", epochs=LOGISTIC["epochs"], lr=LOGISTIC["lr"], l2=0.0, start=None) -> LineModel:
-    return train(df, features, label, "logistic", epochs, lr, l2=l2, start=start)
-
-
-def fit_hinge(df, features, label="label", epochs=HINGE["epochs"], lr=HINGE["lr"], cost=1.0, start=None) -> LineModel:
-    return train(df, features, label, "hinge", epochs, lr, cost=cost, start=start)
+            found = sums(rows, model, pull, costs) / n
+            w, b, value = moved(loss, np.array(model.weights), model.bias, found, model.steps, lr, l2)
+            weights = [float(v) for v in w]
+            model = replace(model, weights=weights, bias=b, steps=model.steps + 1, history=[*model.history, value])
+    return model
+
+
+def fit_logistic(df, features, label="label", epochs=LOGISTIC["epochs"], lr=LOGISTIC["lr"], l2=0.0, start=None, local=LOCAL) -> LineModel:
+    return train(df, features, label, "logistic", epochs, lr, l2=l2, start=start, local=local)
+
+
+def fit_hinge(df, features, label="label", epochs=HINGE["epochs"], lr=HINGE["lr"], cost=1.0, start=None, local=LOCAL) -> LineModel:
+    return train(df, features, label, "hinge", epochs, lr, cost=cost, start=start, local=local)

@@ -38,7 +38,7 @@ from ..session import Stages, ship_package
 #: Quantiles of a node's rows that are tried as cuts.
 CUTS = [float(q) for q in np.linspace(0.05, 0.95, 16)]
 #: Rows of a node, copies included, that one task may hold.
-LOCAL = 5_000
+LOCAL = 50_000
 
 NODE_SCHEMA = "tree int, node long, feature int, threshold double, value int, n long, gini double, score double"
 
