@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillwise.operators.cumulative import running_totals
 from tillwise.operators.quantiles import exact_quantiles, quantile_value
+from tillwise.operators.ranges import bounded_ranges
 from tillwise.operators.sampling import exact_split, sample_n
 from tillwise.operators import sampling
 from tillwise.session import materialize
@@ -67,12 +68,53 @@ def test_quantile_value_beside_rows(skewed):
 @pytest.mark.parametrize("descending", [True, False])
 def test_running_totals(skewed, descending):
     counts = materialize(skewed.groupBy("g", "v").agg(F.count("*").alias("c")), "test")
-    got = running_totals(counts, "v", ["c"], by=["g"], descending=descending, levels=4).toPandas()
+    got = running_totals(counts, "v", ["c"], by=["g"], descending=descending, bound=300).toPandas()
     got = got.sort_values("v", ascending=not descending)
     assert (got.groupby("g").c.cumsum() == got.cum_c).all()
     assert got.cum_c.max() == (skewed.toPandas().g == "big").sum()
 
 
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_ranges_stay_bounded(spark, n):
+    """Ten times the rows give more ranges, not larger ones; heavy values, nulls and long tails included."""
+    rows = materialize(
+        spark.range(n).select(
+            F.when(F.col("id") % 4 == 0, 7.0).when(F.col("id") % 97 == 1, None).otherwise(F.pow(F.pmod(F.xxhash64("id"), F.lit(1009)) / 10.0, 9)).alias("v"),
+            F.col("id").alias("t"), F.lit(1).alias("one"), F.lit("g").alias("g"),
+        ),
+        "test",
+    )
+    for falls in (False, True):
+        placed, ranges = bounded_ranges(rows, ["g"], [("v", falls), ("t", False)], ["one"], bound=40)
+        sizes = ranges.toPandas()
+        assert sizes["_size"].max() <= 40 and sizes["_size"].sum() == n == sizes["_t_one"].sum()
+        assert len(sizes) >= n / 40
+        got = placed.toPandas().sort_values(["_range", "v", "t"], ascending=[True, not falls, True])
+        known = [(v, t) for v, t in zip(got.v, got.t) if v == v]
+        assert known == sorted(known, key=lambda r: (-r[0] if falls else r[0], r[1]))
+        assert got.v.isna().to_numpy()[: got.v.isna().sum()].all() != falls
+
+
+@pytest.mark.parametrize("bound", [20, 1 << 17])
+def test_running_totals_with_ties(spark, bound):
+    rows = materialize(spark.range(3_000).select((F.col("id") % 3).cast("double").alias("v"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("t"), F.lit(1).alias("one")), "test")
+    got = running_totals(rows, "v", ["one"], ties=["t"], bound=bound).toPandas().sort_values(["v", "t"], ascending=[False, True])
+    assert got.cum_one.tolist() == list(range(1, 3_001))
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("accuracy,bound", [(100, 15), (1000, 15), (100, 1 << 17)])
+def test_quantiles_of_a_power_law(spark, by, accuracy, bound):
+    """Brackets far above the bound, most of their width empty."""
+    rows = materialize(
+        spark.range(8_000).select(F.pow(F.lit(1.0) + F.pmod(F.xxhash64("id"), F.lit(10_007)) / 100.0, 12).alias("v"), (F.col("id") % 5 == 0).alias("g")), "test"
+    )
+    pdf = rows.toPandas()
+    for r in exact_quantiles(rows, "v", PROBS, by, accuracy, bound).collect():
+        part = pdf[pdf.g == r["g"]] if by else pdf
+        assert r["quantile"] == pytest.approx(np.quantile(part.v, r["prob"]), rel=1e-12)
+
+
 def test_running_totals_of_one_value(spark):
     one = spark.createDataFrame([(5.0, 3)], "v double, c long")
     assert running_totals(one, "v", ["c"]).first()["cum_c"] == 3

@@ -6,9 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .quantiles import with_group_stats
-
-LEVELS = 8  # 2**8 ranges per group
+from .ranges import BOUND, bounded_ranges
 
 
 def running_totals(
@@ -18,33 +16,24 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = True,
     ties: Sequence[str] = (),
-    levels: int = LEVELS,
+    bound: int = BOUND,
 ) -> DataFrame:
     """Add ``cum_<c>`` for every column in ``sums``, cumulated over ``order``.
 
-    Rows that share an ``order`` value are taken in the order of ``ties``; for
-    totals per distinct value, aggregate first. The input is read three times, so
-    hand in a stored table.
-    A sketch cuts each group into value ranges of about equal row counts; the
-    range totals (at most 2**levels rows a group) are cumulated and joined
-    back as offsets, and rows are then cumulated range by range. Every sort
-    holds one range, so a single large group is spread over many tasks.
+    Rows that share an ``order`` value are taken in the order of ``ties`` (numbers, dates
+    or times, ascending); for totals per distinct value, aggregate first. The input is read
+    once for every count and cut, so hand in a stored table.
+    Value ranges are cut until each holds at most ``bound`` rows, their totals are cumulated
+    and joined back as offsets, and rows are then cumulated range by range. The number of
+    ranges follows the row count, so a sort never holds more than ``bound`` rows.
     """
     by = list(by)
     # a constant key stands for "no groups"; ranges keep the group key so that
     # equal ranges of different groups never mix
     keyed = df.withColumn("_g", F.struct(*by) if by else F.lit(0))
-    parts = 2**levels
-    probs = F.lit([i / parts for i in range(1, parts)])
-    cuts = F.percentile_approx(order, probs, F.lit(10 * parts)).alias("_cuts")
-    steps = ", ".join(str(2**i) for i in reversed(range(levels)))
-    # binary search: how many of the ascending cuts lie below the row
-    place = f"""aggregate(array({steps}), 0,
-        (pos, step) -> pos + if(coalesce(get(_cuts, pos + step - 1) < `{order}`, false), step, 0))"""
-    placed = with_group_stats(keyed, cuts, grouped=bool(by)).withColumn("_range", F.expr(place)).drop("_cuts")
-    totals = placed.groupBy("_g", "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    key = F.col("_range").desc() if descending else F.col("_range").asc()
-    earlier = Window.partitionBy("_g").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [(order, descending), *[(t, False) for t in ties]]
+    placed, totals = bounded_ranges(keyed, ["_g"], keys, sums, bound)
+    earlier = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_g", "_range", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums]
     )

@@ -11,7 +11,7 @@ from ..session import materialize
 from ..sources import reports
 from . import tables
 from .oracle_base import C360, RETAIL_TX, with_
-from .shared import customers, rounded
+from .shared import TIE_SHIFT, customers, rounded
 
 PROFILED = ["acct_balance", "quantity", "total_sales", "website_visits", "days_since_last_purchase"]
 CORRELATED = [
@@ -23,9 +23,16 @@ RULES = [
     RangeRule("total_sales", high=1500000.0, severity="warning"),
     RangeRule("num_purchases", low=18.0, high=120.0),
 ]
+TAIL_PROBS = [0.05, 0.5, 0.95, 0.99]
 SPLIT_DATE = "1998-01-01"
 
 
+def _power_law(lines):
+    """A heavy tail made of the prices: their sixth power."""
+    x = F.col("l_extendedprice").cast("double") / F.lit(10000.0)
+    return lines.select("l_returnflag", (x * x * x * x * x * x).alias("v"))
+
+
 def _with_nulls(spark, d):
     """Customers where zero activity counts as unknown, so nulls come from the data."""
     base = tables.customers(spark, d)
@@ -112,6 +119,13 @@ QUERIES = {
             [0.05, 0.25, 0.5, 0.75, 0.95], by=["l_returnflag"],
         )
     ),
+    # brackets far above the bound at every scale, so that they are cut at equal counts
+    "quantiles_tail": lambda spark, d: rounded(
+        exact_quantiles(
+            materialize(_power_law(tables.load(spark, d, "lineitem")), "tail"), "v", TAIL_PROBS, by=["l_returnflag"],
+            accuracy=500, bound=500,
+        )
+    ),
     "duplicate_rows": lambda spark, d: stats.duplicate_rows(
         tables.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     ),
@@ -273,6 +287,11 @@ ORACLES = {
         "FROM lineitem GROUP BY 1"
         for q in (0.05, 0.25, 0.5, 0.75, 0.95)
     ),
+    "quantiles_tail": " UNION ALL ".join(
+        f"SELECT l_returnflag, round({q}::double, 4) AS prob, round({TIE_SHIFT} + quantile_cont(x * x * x * x * x * x, {q}), 4) AS quantile "
+        "FROM (SELECT l_returnflag, l_extendedprice / 10000.0::double AS x FROM lineitem) GROUP BY 1"
+        for q in TAIL_PROBS
+    ),
     "duplicate_rows": "SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicate_rows FROM lineitem",
     "corr_long": with_(
         C360,
