@@ -443,14 +443,55 @@ def test_line_documents(odd, odd_docs, no_docs):
     assert line_runs.line_verdicts(no_docs).count() == line_runs.dedup_documents(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("min_words", [0, 3, 1000])
+def test_line_fragments_go(odd, odd_docs, min_words):
+    """Only documents that lost a line are held to a number of words."""
+    out = line_runs.dedup_documents(odd_docs, min_words=min_words)
+    all_columns_kept(odd_docs, out)
+    want = Counter((d, left) for _, (d, _, n, left) in zip(odd, brute.line_dedup(odd)) if not n or len(brute.WORD.findall(left)) >= min_words)
+    assert Counter((d, t or "") for d, t in out.select("doc_id", "text").collect()) == want
+
+
+def keys_between(spark, start, end):
+    rows = spark.range(start, end).select(F.xxhash64("id").alias("k1"), F.xxhash64(F.lit(1), "id").alias("k2"))
+    return rows.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+
+
 def test_runs_are_levelled(spark):
-    runs = line_runs.LineRuns(spark, fanout=2)
-    for start in range(0, 50, 10):
-        old = runs.add(spark.range(start, start + 15).select(F.col("id").alias("k1"), F.col("id").alias("k2")))
-        assert old.count() == (5 if start else 0)
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert sum(spark.table(n).count() for level in runs.levels for n in level) == 55
-    runs.close()
+    with line_runs.LineRuns(spark, fanout=2) as runs:
+        for start in range(0, 50, 10):
+            told = runs.add(keys_between(spark, start, start + 15))
+            assert told.count() == 15 and told.where("known").count() == (5 if start else 0)
+            runs.compact()
+        assert [len(level) for level in runs.levels] == [1, 0, 1]
+        names = [n for level in runs.levels for n in level]
+        assert sum(runs.run(n).count() for n in names) == 55
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_runs_are_read_in_stored_order(spark):
+    """One scan a run, never shuffled or sorted; the one exchange and the one sort are the batch's."""
+    before = spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    with line_runs.LineRuns(spark, fanout=3) as runs:
+        for start in (0, 1000):
+            runs.add(keys_between(spark, start, start + 1500))
+        with line_runs.stored_order(spark):
+            batch = runs.marked(keys_between(spark, 2000, 3000))
+            merged = runs.run(runs.levels[0][0]).hint("merge").join(runs.run(runs.levels[0][1]).hint("merge"), ["k1", "k2"], "full")
+            plans = [df._jdf.queryExecution().executedPlan().toString() for df in (batch, merged)]
+        assert [plans[0].count(word) for word in ("line_run_", "Exchange ", "Sort [", "SortMergeJoin ")] == [2, 1, 1, 2]
+        assert [plans[1].count(word) for word in ("line_run_", "Exchange ", "Sort [", "SortMergeJoin ")] == [2, 0, 0, 1]
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == before
+
+
+def test_runs_go_after_a_failure(spark):
+    failing = keys_between(spark, 0, 10).where(F.raise_error(F.lit("lost")).cast("boolean"))
+    with pytest.raises(Exception, match="lost"):
+        with line_runs.LineRuns(spark) as runs:
+            runs.add(keys_between(spark, 0, 10))
+            runs.add(failing)
+    names = [n for level in runs.levels for n in level]
+    assert len(names) == 2 and not any(spark.catalog.tableExists(n) for n in names)
 
 
 # WARC

@@ -1,11 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 The index of lines seen so far is a set of runs, each a table bucketed and sorted by the lines'
-128-bit hash. A new batch reduces its lines to one row per key, merge-anti-joins every run, adds
-what is new as a run of level 0, and so learns which of its lines an earlier batch holds. When a
-level has ``fanout`` runs they are merged into one run of the next level, so that few runs exist and
-each key is rewritten a logarithmic number of times. Runs are read in their stored order: only the
-batch's reduced keys are shuffled.
+128-bit hash, one file a bucket. A new batch reduces its lines to one row per key and is merge-joined
+with every run once; the keys that no run holds are the batch's own run of level 0, the others are
+those an earlier batch holds. Both are parts of one table, written by one job. When a level has
+``fanout`` runs they are merged into one run of the next level, so that few runs exist and each key is
+rewritten a logarithmic number of times. Runs are read in their stored order (:func:`stored_order`):
+no run is shuffled, and none is sorted to be joined; the shuffle that reduces a batch's lines is the
+only one of its keys. A merge of two runs shuffles nothing either; its writer sorts each bucket.
 
 The owner of a key is the smallest document id that holds it, provided that batches come in order of
 ids, as :func:`dropped_lines` deals them. All steps are DataFrame operations. A hot line is combined
@@ -19,6 +21,8 @@ empty table gives an empty result. Only the id and the text are read by :func:`l
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,53 +56,83 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keys.select("id", "text_key", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
 
 
+@contextmanager
+def stored_order(spark: SparkSession) -> Iterator[None]:
+    """Let plans made inside rely on the order of bucketed tables; Spark checks that a bucket is one file."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
-    """Runs of line hashes; ``add`` takes the next batch and returns what an earlier one holds."""
+    """Runs of line hashes; ``add`` takes the next batch and tells what an earlier one holds.
+
+    Use it in a ``with`` block: the runs' tables go at its end, after a failure too.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.folder = f"{shared_folder(spark)}/line-runs-{uuid.uuid4().hex}"
         self.buckets = partitions(spark)
         self.levels: list[list[str]] = [[]]
-        self.scratch = Scratch(spark)
 
-    def _store(self, keys: DataFrame) -> str:
-        """Write a run, bucketed and sorted by hash."""
-        name = f"line_run_{uuid.uuid4().hex}"
-        (
-            keys.repartition(self.buckets, "k1", "k2").write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2")
-            .option("path", f"{self.folder}/{name}").saveAsTable(name)
-        )
-        return name
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def run(self, name: str) -> DataFrame:
+        """The keys of one run; of a batch's table the part that was new."""
+        table = self.spark.table(name)
+        return table.where("NOT known").select("k1", "k2") if "known" in table.columns else table
+
+    def marked(self, keys: DataFrame) -> DataFrame:
+        """``keys``, distinct in ``(k1, k2)``, and whether a run holds them: one merge join with each run."""
+        flags = []
+        for i, name in enumerate(name for level in self.levels for name in level):
+            flags.append(f"_in_{i}")
+            keys = keys.join(self.run(name).withColumn(flags[-1], F.lit(True)).hint("merge"), ["k1", "k2"], "left")
+        return keys.withColumn("known", F.coalesce(*flags, F.lit(False))).drop(*flags)
+
+    def _store(self, keys: DataFrame, name: str, by: list[str]) -> None:
+        """Write a table bucketed and sorted by hash; ``keys`` lie by hash in as many partitions, so a bucket is one file."""
+        path = f"{self.folder}/{name}"
+        with stored_order(self.spark):
+            rows = keys.write.partitionBy(*by) if by else keys.write
+            rows.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name)
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove_folder(self.spark, f"{self.folder}/{name}")
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Anti-join distinct ``(k1, k2)`` against the runs, keep the new ones as a run; return the old ones."""
-        runs = [name for level in self.levels for name in level]
-        if not runs:
-            self.levels[0].append(self._store(keys))
-            return keys.limit(0)
-        keys = self.scratch.keep(keys.repartition(self.buckets, "k1", "k2").sortWithinPartitions("k1", "k2"), "line-keys")
-        new = keys
-        for name in runs:
-            new = new.join(self.spark.table(name).hint("merge"), ["k1", "k2"], "left_anti")
-        self.levels[0].append(self._store(new))
-        old = [keys.join(self.spark.table(name).hint("merge"), ["k1", "k2"], "left_semi") for name in runs]
-        known = self.scratch.keep(reduce(DataFrame.union, old), "line-known")
-        self.compact()
-        return known
+        """Keep the new ones of distinct ``(k1, k2)`` as a run; return all rows with ``known``, true for the old ones.
+
+        ``keys`` come from a grouping by ``(k1, k2)`` and may have further columns; partitioned otherwise, they
+        make several files a bucket, and Spark sorts that run when it is read. What is returned
+        is read apart from its buckets, so that a join with many occurrences of a key can be split.
+        """
+        name = f"line_run_{uuid.uuid4().hex}"
+        rows = self.marked(keys)
+        self.levels[0].append(name)  # before it is written, so that a half-written one goes too
+        self._store(rows, name, ["known"])
+        return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
 
     def compact(self) -> None:
-        """Merge the runs of each full level into one run of the next level."""
+        """Merge the runs of each full level into one run of the next level; call it when what ``add`` returned is used."""
         for level, names in enumerate(self.levels):
             if len(names) >= self.fanout:
-                merged = self._store(reduce(DataFrame.union, [self.spark.table(n) for n in names]))
+                merged = f"line_run_{uuid.uuid4().hex}"
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[level + 1].append(merged)
+                runs = [self.run(n).hint("merge") for n in names]
+                self._store(reduce(lambda a, b: a.join(b, ["k1", "k2"], "full"), runs), merged, [])
                 self.levels[level] = []
                 for name in names:
                     self._drop(name)
@@ -106,7 +140,7 @@ class LineRuns:
     def close(self) -> None:
         for name in [n for level in self.levels for n in level]:
             self._drop(name)
-        self.scratch.tidy()
+        remove_folder(self.spark, self.folder)
 
 
 def _batches(docs: DataFrame, n: int) -> list[Column]:
@@ -130,21 +164,19 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     spark = docs.sparkSession
     scratch = Scratch(spark)
     lines = scratch.keep(line_hashes(docs, min_chars), "lines")
-    runs = LineRuns(spark, fanout)
     out = []
-    for here in _batches(docs, batches):
-        batch = lines.where(here)
-        firsts = batch.groupBy("k1", "k2").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
-        firsts = scratch.keep(firsts, "line-firsts")
-        known = runs.add(firsts.select("k1", "k2"))
-        # a key of an earlier batch has no owner here; a key of this batch matters if two documents hold it
-        losing = known.select("k1", "k2", F.lit(None).cast("long").alias("owner")).unionByName(
-            firsts.where("last > owner").drop("last").join(known, ["k1", "k2"], "left_anti")
-        )
-        lost = batch.join(losing, ["k1", "k2"]).where(F.col("owner").isNull() | (F.col("id") > F.col("owner")))
-        out.append(materialize(lost.select("id", "text_key", "pos"), "line-lost"))
-    runs.close()
-    scratch.tidy()
+    try:
+        with LineRuns(spark, fanout) as runs:
+            for here in _batches(docs, batches):
+                batch = lines.where(here)
+                firsts = runs.add(batch.groupBy("k1", "k2").agg(F.min("id").alias("owner"), F.max("id").alias("last")))
+                # a key of an earlier batch has no owner here; a key of this batch matters if two documents hold it
+                losing = firsts.where("known OR last > owner").select("k1", "k2", F.when(~F.col("known"), F.col("owner")).alias("owner"))
+                lost = batch.join(losing, ["k1", "k2"]).where(F.col("owner").isNull() | (F.col("id") > F.col("owner")))
+                out.append(materialize(lost.select("id", "text_key", "pos"), "line-lost"))
+                runs.compact()
+    finally:
+        scratch.tidy()
     return reduce(DataFrame.union, out)
 
 
@@ -167,14 +199,19 @@ def _judged(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> DataF
     return joined.select("row", F.coalesce("size", F.lit(0)).alias("n_dropped"), kept.alias("kept"))
 
 
-def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """``docs`` without the lines that a smaller id holds; a document left without a word goes.
+def dedup_documents(
+    docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, min_words: int = 1
+) -> DataFrame:
+    """``docs`` without the lines that a smaller id holds.
 
-    All columns stay; ``n_chars``, where the table has it, follows the text. A text that loses
+    A document that loses a line and keeps fewer than ``min_words`` words goes: what is left of it
+    is a fragment. One that loses nothing stays, however short. All columns stay; ``n_chars``, where the table has it, follows the text. A text that loses
     nothing is passed on as it is.
     """
     done = _judged(docs, min_chars, batches, fanout)
-    done = done.where((F.col("n_dropped") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    words = F.size(F.regexp_extract_all("kept", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    enough = F.col("kept").rlike(r"[^\x20\x09-\x0D]") if min_words == 1 else words >= min_words
+    done = done.where((F.col("n_dropped") == 0) | enough)
     chars = lambda kind: F.when(F.col("n_dropped") > 0, F.char_length("kept").cast(kind)).otherwise(F.col("row.n_chars"))
     new = {"text": lambda kind: F.col("kept"), "n_chars": chars}
     return done.select(
