@@ -262,6 +262,35 @@ def test_decontamination_odd(spark, odd, odd_docs, no_docs, block_words):
     assert contamination.decontaminate(odd_docs, frame(spark, [], "item_id"), block_words=block_words).count() == len(odd)
 
 
+def test_benchmark_blocks(spark, monkeypatch):
+    """Blocks of bounded words, an item longer than a block in pieces, one set a written stage."""
+    word = lambda i: f"w{i * 7919 % 1000}"
+    long_item = " ".join(map(word, range(300)))
+    items = [(1, long_item), (2, "short one"), *((i, " ".join(map(word, range(500 + 20 * i, 520 + 20 * i)))) for i in range(3, 12))]
+    docs = [(i, " ".join(map(word, range(i, i + 14)))) for i in range(0, 299)] + [(400, "a short one"), (401, None), (401, None), (402, "clean " * 40)]
+    docs += [(500, "x " + " ".join(map(word, range(580, 640)))), (500, "x " + " ".join(map(word, range(580, 640))))]
+    sizes, scans = [], []
+    blocks, scan = contamination._blocks, contamination._scan
+
+    def counted(*args):
+        for block in blocks(*args):
+            sizes.append(sum(len(text.split()) for _, text in block))
+            yield block
+
+    monkeypatch.setattr(contamination, "_blocks", counted)
+    monkeypatch.setattr(contamination, "_scan", lambda *a: scans.append(a) or scan(*a))
+    rows, bench = frame(spark, docs), frame(spark, items, "item_id")
+    found = contamination.judged(contamination.benchmark_hits(rows, bench, block_words=60))
+    want = Counter(brute.decontamination(docs, items))
+    assert bag(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    assert len(scans) == len(sizes) > 5 and max(sizes) <= 60
+    kept = contamination.decontaminate(rows, bench, block_words=60)
+    all_columns_kept(rows, kept)
+    assert bag(kept, "doc_id") == Counter((d,) for (d, *_, bad), n in want.items() for _ in range(n) if not bad)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert plan(found) == 0 and plan(kept) == 1  # the sets' scans lie behind written tables, the cut needs no set
+
+
 def test_spans_are_cut(spark):
     docs = frame(spark, [(1, "before (Two  WORDS), after"), (2, "clean text")])
     out = contamination.decontaminate(docs, frame(spark, BENCHMARK, "item_id"), cut="spans")

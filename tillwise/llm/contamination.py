@@ -2,8 +2,12 @@
 
 The normalised windows of the benchmark form a hash set that every task holds; each document's word
 windows are looked up in it, and a hit is verified word by word (the set's keys are the windows
-themselves). A benchmark too large for one set is taken in blocks of bounded size, each of which
-meets all documents; the spans found are joined on the row's identity, so the result is the same.
+themselves). A benchmark of more than ``block_words`` words is taken in blocks of counted words: an
+item longer than a block is cut into pieces that share ``window`` - 1 words, so each window lies in one
+piece. Blocks are taken one after another, and each block's hits are written before the next is
+fetched: the texts of a block are broadcast, each worker builds its set from them and holds one at a
+time, and the broadcast is destroyed after use. The hits are joined on the row's identity, so the
+result is the same.
 
 Defined cases: a null document or item has no words; an item of fewer than ``window`` words is one
 window; equal items are both reported; items with a null id mark words but are not listed; a row that
@@ -14,13 +18,15 @@ unless the benchmark needs several blocks.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,29 +108,64 @@ class NgramSet:
         return [(len(w), *f) for w, f in zip(split, found)]
 
 
-def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[str | None, bytes]]]:
-    """The benchmark's items in lists of about ``block_words`` words at most, each to be broadcast on its own."""
-    texts = items.select(F.col("item_id").cast("string").alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
-    size = texts.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    n = max(1, -(-size // (block_words * 5)))  # a word and its blank take five bytes at least in any text of weight
-    block = F.pmod(F.xxhash64("name", "bytes"), F.lit(n))
-    for i in range(n):
-        yield [(r["name"], bytes(r["bytes"])) for r in texts.where(block == i).distinct().collect()]
+_held: dict[str, NgramSet] = {}
+
+
+def _set_of(key: str, items: list[tuple[str | None, bytes]], window: int) -> NgramSet:
+    """The set of a block, built once per worker; the one before it is let go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = NgramSet(items, window)
+    return _held[key]
+
+
+def _pieces(items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """``name, words, n``: items cut where they are longer than a block; each window lies in one piece."""
+    step = max(1, block_words - window + 1)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD.pattern), F.lit(0))
+    split = items.select(F.col("item_id").cast("string").alias("name"), words.alias("all"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - window, F.lit(0)), F.lit(step))
+    cut = split.select("name", "all", F.explode(starts).alias("start"))
+    part = F.slice("all", F.col("start") + 1, step + window - 1)
+    return cut.select("name", F.array_join(part, " ").alias("words"), F.size(part).alias("n")).distinct()
+
+
+def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The benchmark in lists of ``block_words`` words at most (or one window), each to be broadcast on its own.
+
+    Pieces are dealt to parts by hash, about half a block each, and a part is fetched when its turn comes.
+    """
+    pieces = _pieces(items, window, block_words)
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    parts = 1
+    if total > block_words:
+        pieces, parts = materialize(pieces, "benchmark-pieces"), -(-2 * total // block_words)
+    block, held = [], 0
+    for i in range(parts):
+        here = pieces.where(F.pmod(F.xxhash64("name", "words"), F.lit(parts)) == i) if parts > 1 else pieces
+        for row in here.collect():
+            if block and held + row["n"] > block_words:
+                yield block
+                block, held = [], 0
+            block.append((row["name"], row["words"].encode()))
+            held += row["n"]
+    yield block
 
 
 _HITS = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 
 
-def _scan(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
-    """Document id, text key, and what one block of the benchmark hits."""
+def _scan(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> tuple[DataFrame, Broadcast]:
+    """Document id, text key, and what one block of the benchmark hits; and the broadcast that this needs."""
     ship(docs.sparkSession)
-    index = docs.sparkSession.sparkContext.broadcast(NgramSet(items, window))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items, window))
     hit_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = index.value.names
+        index = _set_of(*shared.value)
+        names = index.names
         for part in slices(batches, 1):
-            found = index.value.hits(raw(part.column(1)))
+            found = index.hits(raw(part.column(1)))
             spans = [[{"start": a, "end": b} for a, b in merged(s)] for _, s, _ in found]
             listed = [sorted({names[i] for i in items if names[i] is not None}) for _, _, items in found]
             yield pa.RecordBatch.from_arrays(
@@ -133,7 +174,23 @@ def _scan(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key long, {_HITS}")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, {_HITS}"), shared
+
+
+def _settled(scan: tuple[DataFrame, Broadcast], only_hits: bool = True) -> DataFrame:
+    """What a scan finds, written; its broadcast goes."""
+    found, shared = scan
+    out = materialize(found.where(F.size("items") + F.size("spans") > 0).distinct() if only_hits else found, "contamination")
+    shared.destroy()
+    return out
+
+
+def _gathered(found: list[DataFrame]) -> DataFrame:
+    """The hits of several blocks, one row a document."""
+    return reduce(DataFrame.union, found).groupBy("doc_id", "text_key").agg(
+        F.flatten(F.collect_list("spans")).alias("more"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("names")
+    )
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -152,14 +209,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     Ranges of several blocks may touch or overlap; :func:`judged` counts each word once.
     """
-    scans = [_scan(docs, items, window) for items in _blocks(benchmark, block_words)]
-    if len(scans) == 1:
-        return scans[0]
-    found = [materialize(s.where(F.size("items") + F.size("spans") > 0).distinct(), "contamination") for s in scans[1:]]
-    both = reduce(DataFrame.union, found).groupBy("doc_id", "text_key").agg(
-        F.flatten(F.collect_list("spans")).alias("more"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("names")
-    )
-    first = scans[0]
+    blocks = _blocks(benchmark, window, block_words)
+    scan, second = _scan(docs, next(blocks), window), next(blocks, None)
+    if second is None:
+        return scan[0]
+    first = _settled(scan, only_hits=False)
+    both = _gathered([_settled(_scan(docs, items, window)) for items in chain([second], blocks)])
     joined = first.join(both, same(first, both, "doc_id", "text_key"), "left")
     return joined.select(
         first["doc_id"], first["text_key"], first["n_words"],
@@ -193,7 +248,8 @@ def judged(hits: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cut: str = "documents", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Remove contaminated documents, or (``cut="spans"``) the hit words of such documents.
 
-    All columns of ``docs`` stay. With one block this is a single narrow pass over the documents.
+    All columns of ``docs`` stay. With one block this is a single narrow pass over the documents. With
+    several, each block's hits are written on their own and then joined to the documents once.
     """
     if cut not in ("documents", "spans"):
         raise ValueError(cut)
@@ -202,28 +258,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cut: str = "documents",
     mark = "hits"
     while mark in docs.columns:
         mark += "_"
-    marked = docs
-    for items in _blocks(benchmark, block_words):
-        marked = _marked(marked, NgramSet(items, window), at, mark)
+    blocks = _blocks(benchmark, window, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        marked = _marked(docs, first, window, at, mark)
+    else:
+        hits = _gathered([_settled(_scan(docs, items, window)) for items in chain([first, second], blocks)])
+        flat = F.flatten(F.transform("more", lambda s: F.array(s["start"], s["end"])))
+        hits = hits.select(F.struct("doc_id", "text_key").alias(mark), flat.alias("_ranges"))
+        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.struct(docs["doc_id"], text_key(docs["text"]).alias("text_key")).alias("own"))
+        joined = rows.join(hits, F.col("own") == F.col(mark), "left")
+        ranges = F.coalesce("_ranges", F.array().cast("array<bigint>")).alias(mark)
+        marked = joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], ranges)
     return marked.mapInArrow(_cutter(at, cut), docs.schema)
 
 
-def _marked(docs: DataFrame, index: NgramSet, at: int, mark: str) -> DataFrame:
-    """``docs`` with the word ranges that one more block hits in the last column, ``mark``."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    first = mark not in docs.columns
-    kind = pa.list_(pa.int64())
+def _marked(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int, at: int, mark: str) -> DataFrame:
+    """``docs`` with the word ranges that the one block hits in the last column, ``mark``."""
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _set_of(*shared.value)
         for part in slices(batches, at):
-            found = shared.value.hits(raw(part.column(at)))
-            before = [[]] * len(found) if first else part.column(part.num_columns - 1).to_pylist()
-            spans = pa.array([[*b, *(x for s in f[1] for x in s)] for b, f in zip(before, found)], kind)
-            columns = [*part.columns, spans] if first else [*part.columns[:-1], spans]
-            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, mark] if first else part.schema.names)
-
-    schema = docs.withColumn(mark, F.array().cast("array<bigint>")).schema if first else docs.schema
-    return docs.mapInArrow(run, schema)
+            found = index.hits(raw(part.column(at)))
+            spans = pa.array([[x for s in f[1] for x in s] for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, spans], [*part.schema.names, mark])
+
+    return docs.mapInArrow(run, docs.withColumn(mark, F.array().cast("array<bigint>")).schema)
 
 
 def _cutter(at: int, cut: str):
