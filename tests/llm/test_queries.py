@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm import brute
+from tests.llm.conftest import frame
 from tests.oracle_check import compare, connect
 from tillwise.llm import quality, queries
 
@@ -93,18 +94,37 @@ def test_warc(spark, sf):
     assert got == sorted(brute.warc(pages))
 
 
-def test_pipeline(spark, sf, documents):
+def brute_pipeline(documents, items):
+    """Rows of the pipeline, and the number of documents below the least number of words after line dedup."""
     from tokenizers import Tokenizer
 
     docs = [(d, j["cleaned"]) for d, j in ((d, quality.judge(t)) for d, t in documents) if j["kept"]]
-    docs = [(d, left) for d, _, dropped, left in brute.line_dedup(docs) if not dropped or brute.WORD.search(left)]
+    words = lambda t: len(brute.WORD.findall(t))
+    docs = [(d, left) for d, _, dropped, left in brute.line_dedup(docs) if not dropped or words(left) >= 50]
+    short = sum(words(t) < 50 for _, t in docs)
     _, roots = brute.components(docs, 5, 80)
     docs = [row for i, row in enumerate(docs) if roots[i] == i]
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     bad = {r[0] for r in brute.decontamination(docs, items) if r[-1]}
     docs = [row for row in docs if row[0] not in bad]
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    want = [(d, len(i), brute.sha(",".join(map(str, i))), brute.sha(t)) for d, t in docs for i in [tokenizer.encode(t, add_special_tokens=False).ids]]
+    rows = [(d, len(i), brute.sha(",".join(map(str, i))), brute.sha(t)) for d, t in docs for i in [tokenizer.encode(t, add_special_tokens=False).ids]]
+    return sorted(rows), short
+
+
+def test_pipeline(spark, sf, documents):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want, short = brute_pipeline(documents, items)
     got = rows(corpus_pipeline.run(spark, sf), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-    assert got == sorted(want) and 0 < len(got) < len(documents)
+    assert got == want and 0 < len(got) < len(documents) and short == 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_of_odd_tables(spark, odd, odd_docs, no_docs, tmp_path):
+    """Null, repeated and long rows run through; of equal rows one stays; empty tables give nothing."""
+    bench = frame(spark, [(1, None), (2, ""), (None, "The shared line, of many documents!")], "item_id")
+    for name, docs in (("odd", odd_docs), ("empty", no_docs)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").select("ids_sha256").collect()
+    assert 0 < len(got) < len(odd) and len({r[0] for r in got}) == len(got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

@@ -60,6 +60,8 @@ BOILERPLATE = (
 OPENING = " \t\x0b\x0c\r\"'([«„“‘"
 #: A line of fewer words is a heading or a list entry and needs no sentence end.
 MIN_SENTENCE_WORDS = 12
+#: A document of fewer words is rejected.
+MIN_WORDS = 50
 #: A document is rejected when it loses more than this share of its word characters.
 MAX_LOST = 0.3
 
@@ -159,7 +161,7 @@ def judge(text: str | None, max_lost: float = MAX_LOST) -> dict:
             if on or SENTENCE_END.search(line) is not None or len(line.encode().split()) < MIN_SENTENCE_WORDS
         ]
     lost = chars - sum(map(word_chars, left)) if len(left) < len(lines) else 0
-    failed = len(words) < 50 or 100 * repeats > 50 * len(words)
+    failed = len(words) < MIN_WORDS or 100 * repeats > 50 * len(words)
     return {
         "n_words": len(words),
         "word_chars": chars,
