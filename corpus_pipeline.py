@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on everything its predecessor kept. All but the
 last return the columns of ``documents``.
+
+Defined cases, those of the operators: a null or empty text is rejected by the first stage, so the
+others see none; of equal texts one stays; rows that share an id are judged by their own texts; columns
+of any further name are carried to the last stage; an empty table or benchmark gives an empty result or
+removes nothing.
 """
 
 from __future__ import annotations
@@ -19,8 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a document of smaller id holds; one left without a word goes."""
-    return line_runs.dedup_documents(docs)
+    """Documents without the lines that a document of smaller id holds.
+
+    One that loses lines and keeps fewer words than the quality rules ask for goes: a near copy leaves
+    the few lines that differ, which are no document. One that loses nothing stays.
+    """
+    return line_runs.dedup_documents(docs, min_words=quality.MIN_WORDS)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
