@@ -215,6 +215,25 @@ def test_signatures_are_shared_by_similar_sets():
                 assert set(jaccard.signatures(a, percent)) & set(jaccard.signatures(b, percent))
 
 
+def test_signatures_hold_where_differences_are_spread_worst():
+    """Differences in as many second-level parts as can be, dealt evenly: the least number of subsets agrees, and one is given."""
+    import numpy as np
+
+    for n, percent in ((40, 80), (200, 90), (700, 80)):
+        k = jaccard.most_apart(2 * n, percent)
+        first = jaccard.first_level(int(jaccard.most_apart(2 * int(jaccard.band_tops(percent)[np.searchsorted(jaccard.band_tops(percent), n)]), percent)))
+        width = (1 << 64) // (first * jaccard.SECOND)
+        common = np.random.default_rng(n).integers(0, 1 << 63, n - k // 2, np.uint64) << np.uint64(1)
+        places = [(i % first) * jaccard.SECOND + (i // first) for i in range(k)]
+        apart = np.array([p * width + width // 2 for p in places], np.uint64)
+        a, b = np.unique(np.concatenate([common, apart[::2]])), np.unique(np.concatenate([common, apart[1::2]]))
+        both = len(np.intersect1d(a, b))
+        assert 100 * both >= percent * (len(a) + len(b) - both)
+        shared = set(jaccard.signatures(a, percent)) & set(jaccard.signatures(b, percent))
+        assert shared and jaccard.least_agreements(first, k) >= 1
+        assert len(jaccard.signatures(a, percent)) > first  # subsets are enumerated, not parts alone
+
+
 def test_keep_one(odd, odd_docs, no_docs):
     kept = jaccard.keep_one(odd_docs, 3, 90)
     all_columns_kept(odd_docs, kept)

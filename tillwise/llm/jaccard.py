@@ -3,10 +3,11 @@
 A document's set is its distinct word shingles, as 64-bit fingerprints. Equal sets are one class,
 found by a 128-bit digest; everything else works on classes. Sets are grouped into bands of size; two
 sets of one band group that reach the threshold differ in at most ``k`` shingles. The shingle domain
-is cut into more than ``k`` parts, so such sets agree on a whole part: each part of a set gives one
-signature, a hash of its shingles there, and similar sets share one at least. (Parts without a
-shingle would be shared by strangers. More than ``k + 1`` parts are cut, and a set leaves out as many
-of its empty parts as it can spare without losing a partner; see :func:`signatures`.)
+is partitioned on two levels: into about ``k / 2`` parts, and each of these into three. In one part at
+least, such sets differ in one of the three at most, so they agree on two; each subset of two gives
+one signature, a hash of the set's shingles there, and similar sets share one at least. (Subsets
+without a shingle would be shared by strangers. A few more parts than needed are cut, and a set leaves
+out as many of its empty subsets as it can spare without losing a partner; see :func:`signatures`.)
 
 Classes that share a signature form a bucket; buckets of equal members are one. A bucket's members are
 first compared by odd sketches: a set's shingles each flip one bit, so two sets differ in as many
@@ -29,6 +30,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,9 @@ from .components import connected_components, spanning_forest
 
 #: Least growth of the upper size from band to band; about the cheapest for thresholds from 0.8 to 0.9.
 BAND_GROWTH = 1.6
+#: Second-level parts of each first-level part of the domain, and how many of them a signature leaves out.
+SECOND = 3
+LEFT_OUT = 1
 #: Classes and bytes of sets that one comparison task gets from each side.
 BLOCK = 256
 BLOCK_BYTES = 32 << 20
@@ -100,13 +106,32 @@ def _edges(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
 
 
+def first_level(k: int) -> int:
+    """First-level parts for sets that differ in ``k`` shingles at most; a few more than needed, so that empty subsets can be left out."""
+    return k // (LEFT_OUT + 1) + 2 + k // 16
+
+
+def least_agreements(first: int, d: int) -> int:
+    """Subsets on which two sets agree that differ in ``d`` shingles, at least.
+
+    A first-level part with ``e`` differing parts leaves ``comb(SECOND - e, SECOND - LEFT_OUT)`` subsets;
+    this is convex in ``e``, so the sum is least where the differences are spread evenly.
+    """
+    each, more = divmod(d, first)
+    agree = [comb(max(SECOND - e, 0), SECOND - LEFT_OUT) for e in (each, each + 1)]
+    return (first - more) * agree[0] + more * agree[1]
+
+
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a set, for the band groups in which it can have a partner.
 
-    A group's sets have at most ``top`` elements, so a linked pair differs in at most ``k`` of them
-    and in as many of the ``parts`` at most. A set of ``n`` elements differs from its partners in
-    ``d <= k``, so a pair agrees on ``parts - d`` parts or more. Of its empty parts a set leaves out
-    the first ``parts - 1 - d``: should a pair agree on empty parts only, the last of these is
+    A group's sets have at most ``top`` elements, so a linked pair differs in at most ``k`` of them. The
+    domain is cut into :func:`first_level` parts and each of these into ``SECOND``. Somewhere at most
+    ``LEFT_OUT`` second-level parts of a first-level part differ, so the pair agrees on one of its
+    subsets of ``SECOND - LEFT_OUT`` parts; each such subset gives a signature, a hash of the set's
+    shingles there. A set of ``n`` elements differs from its partners in ``d <= k`` and agrees with
+    them on :func:`least_agreements` subsets or more. Of the subsets without a shingle a set leaves out
+    the first, one fewer than that: should a pair agree on empty subsets only, the last of these is
     preceded by that many at least, and both sets give it.
     """
     n = len(shingles)
@@ -120,15 +145,18 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
         k = most_apart(2 * top, percent)
         if k == 0:
             continue  # only equal sets reach the threshold
-        parts = k + 3 + k // 8
-        spare = parts - 1 - most_apart(n + min(top, 100 * n // percent), percent)
-        ends = np.concatenate([[0], np.searchsorted(shingles, _edges(parts)), [n]])
+        first = first_level(k)
+        spare = least_agreements(first, most_apart(n + min(top, 100 * n // percent), percent)) - 1
+        ends = np.concatenate([[0], np.searchsorted(shingles, _edges(first * SECOND)), [n]])
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles), dtype=np.uint64)])
-        content = sums[ends[1:]] - sums[ends[:-1]]
-        give = np.diff(ends) > 0
+        content = (sums[ends[1:]] - sums[ends[:-1]]).reshape(first, SECOND)
+        counts = np.diff(ends).reshape(first, SECOND)
+        subsets = list(combinations(range(SECOND), SECOND - LEFT_OUT))
+        content = np.stack([content[:, c].sum(axis=1, dtype=np.uint64) for c in subsets], axis=1).ravel()
+        give = np.stack([counts[:, c].any(axis=1) for c in subsets], axis=1).ravel()
         empty = np.flatnonzero(~give)
         give[empty[spare:]] = True
-        mark = np.arange(parts, dtype=np.uint64) * _ODD[2] + np.uint64(group)
+        mark = np.arange(first * len(subsets), dtype=np.uint64) * _ODD[2] + np.uint64(group)
         out.append(mixed(content + mixed(mark))[give])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
