@@ -166,47 +166,42 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
 
 
-def set_profiles(docs: DataFrame, size: int) -> DataFrame:
-    """``id, text_key, n_shingles, k1, k2`` of each document."""
+def set_profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``id, text_key, n_shingles, k1, k2, signatures`` of each document; equal sets of a batch carry signatures once, others null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2):
-            sets = shingle_sets(raw(part.column(2)), size)
-            keys = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))],
-                ["id", "text_key", "n_shingles", "k1", "k2"],
-            )
+        for batch in batches:
+            seen: set[int] = set()
+            for part in slices(iter([batch]), 2):
+                sets = shingle_sets(raw(part.column(2)), size)
+                keys = [_digest(s) for s in sets]
+                given: list[np.ndarray | None] = []
+                for s, (key, _) in zip(sets, keys):
+                    new = len(s) > 0 and key not in seen
+                    given.append(signatures(s, percent).view(np.int64) if new else None)
+                    seen.add(key)
+                ends = pa.array(np.cumsum([0, *(0 if g is None else len(g) for g in given)]), pa.int32())
+                flat = np.concatenate([np.zeros(0, np.int64), *(g for g in given if g is not None)])
+                lists = pa.ListArray.from_arrays(ends, pa.array(flat), mask=pa.array([g is None for g in given]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), lists],
+                    ["id", "text_key", "n_shingles", "k1", "k2", "signatures"],
+                )
 
     ship(docs.sparkSession)
-    return _keyed(docs).mapInArrow(run, "id long, text_key long, n_shingles long, k1 long, k2 long")
+    return _keyed(docs).mapInArrow(run, "id long, text_key long, n_shingles long, k1 long, k2 long, signatures array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), text_key(F.col("text")).alias("text_key"), "text")
 
 
-def buckets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def buckets(profiles: DataFrame) -> DataFrame:
     """``bucket, key``: the classes that share a signature; buckets with the same members are one.
 
-    Equal sets of a map task's batch send their signatures once. A reduce task holds the 16-byte
-    rows of its share of the signatures.
+    A reduce task holds the 16-byte rows of its share of the signatures.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[int] = set()
-            for part in slices(iter([batch]), 0):
-                sig, key = [], []
-                for s in shingle_sets(raw(part.column(0)), size):
-                    k = _digest(s)[0]
-                    if len(s) and k not in seen:
-                        seen.add(k)
-                        sig.append(signatures(s, percent).view(np.int64))
-                        key.append(np.full(len(sig[-1]), k, np.int64))
-                if sig:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.concatenate(key))], ["sig", "key"])
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -227,8 +222,8 @@ def buckets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             names = np.repeat(name[some], count[some]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(key[rows])], ["bucket", "key"])
 
-    ship(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(scan, "sig long, key long")
+    ship(profiles.sparkSession)
+    rows = profiles.select(F.explode("signatures").alias("sig"), F.col("k1").alias("key"))
     return rows.repartition("sig").mapInArrow(gather, "bucket long, key long").distinct()
 
 
@@ -425,15 +420,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     ``group`` a number that differs between components even where ids are repeated.
     """
     docs = docs.select("doc_id", "text")
-    profiles = materialize(set_profiles(docs, size), "set-profiles")
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep(set_profiles(docs, size, percent), "signed-sets")
+    profiles = materialize(signed.drop("signatures"), "set-profiles")
     classes = profiles.where("n_shingles > 0").groupBy("k1").agg(
         F.min(F.struct("id", "text_key")).alias("first"), F.min("k2").alias("low"), F.max("k2").alias("high")
     )
     classes = materialize(classes.select(F.col("k1").alias("key"), "first.*", (F.col("low") != F.col("high")).alias("clash")), "set-classes")
     if not classes.where("clash").isEmpty():
         raise RuntimeError("two different shingle sets have the same 64-bit digest")
-    scratch = Scratch(docs.sparkSession)
-    shared = scratch.keep(buckets(docs, size, percent), "buckets")
+    shared = scratch.keep(buckets(signed), "buckets")
+    scratch.tidy(1)
     live = scratch.keep(shared.select("key").distinct().join(classes, "key").select("id", "text_key", "key"), "live-classes")
     sets = scratch.keep(_live_sets(docs, live, size, percent), "live-sets")
     scratch.tidy(3)
