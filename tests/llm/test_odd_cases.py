@@ -457,11 +457,48 @@ def test_both_libraries_agree_on_all_code_points():
         assert [tree._plain(t) for t in texts] == want
 
 
+#: Prose of scripts whose letters lie beyond Latin, with their own marks and digits.
+SCRIPTS = ["Съешь же ещё этих мягких французских булок, да выпей чаю. ", "敏捷的棕色狐狸跳过了懒狗，然后回家睡觉。", "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία· ", "ऋषियों को सताने वाले दुष्ट राक्षसों के राजा १२३। ", "いろはにほへと ちりぬるを 😀👍🏽 "]
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_windows_stay_small_in_every_script(script):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    text = "".join(script[i % 7 :] + script[: i % 11] for i in range(400))
+    tree = bpe.TreeEncoder(path, leaf=256)
+    plain, seen = tree._plain, []
+    tree._plain = lambda t: seen.append(len(t)) or plain(t)
+    assert tree.encode([text]) == [Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids]
+    leaves = len(bpe.halves(0, len(text), 256))
+    assert len(seen) == 2 * leaves - 1 and sum(seen) < 1.6 * len(text)
+
+
+def test_halves_of_long_texts_are_encoded_in_parallel(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    assert end in bpe.TreeEncoder(path).special
+    texts = ["".join(s * 90 for s in SCRIPTS), "q" * 9000, "word " * 3000, end * 700, f"{'x y ' * 2000}{end}{'short ' * 9}{end}{end}{'Ж' * 5000}", "a" * 1000, "b" * 1001, "", None]
+    rows = [(d % 5, t) for d, t in enumerate(texts + texts[:2])] + [(None, texts[0]), (3, texts[2])]
+    got = bag(bpe.encode_documents(frame(spark, rows), path, leaf=64, part=1000).withColumn("ids", F.concat_ws(",", F.col("ids").cast("array<string>"))), "doc_id", "ids")
+    assert got == Counter((d, ",".join(map(str, library.encode(t or "", add_special_tokens=False).ids))) for d, t in rows)
+    one = bpe.text_parts(frame(spark, [(1, texts[0])]), path, 64, 1000)
+    dealt = one.repartition(8, "row", "part").select(F.spark_partition_id().alias("task"), "piece").collect()
+    assert len({r["task"] for r in dealt}) > 4 and max(len(r["piece"]) for r in dealt) <= 1000
+
+
 def test_bpe_odd(odd, odd_docs, no_docs):
     path = queries.tokenizer_path()
     coded = bpe.encode_documents(odd_docs, path, leaf=64)
     decoded = bpe.decode_documents(coded, path)
     assert bag(decoded, "doc_id", "text") == Counter((d, t or "") for d, t in odd)
+    parted = bpe.decode_documents(bpe.encode_documents(odd_docs, path, leaf=64, part=300), path)
+    plain = lambda df: bag(df.withColumn("ids", F.col("ids").cast("string")), "doc_id", "ids", "text")
+    assert plain(parted) == plain(decoded)
     assert bpe.encode_documents(no_docs, path).count() == 0
     null = bpe.decode_documents(coded.limit(1).select("doc_id", F.lit(None).cast("array<int>").alias("ids")), path)
     assert null.first()["text"] is None
