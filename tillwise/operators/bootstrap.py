@@ -11,12 +11,16 @@ empty text.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import as_col
-from ..session import materialize
+from ..session import materialize, ship_package
 from .sampling import _selected, hash_order
 
 #: Hash values are compared with the distribution function scaled by this.
@@ -49,6 +53,29 @@ def bootstrap_counts(df: DataFrame, key: str, samples: int, seed: int = 42, rate
     return each.withColumn("copies", drawn(key, F.col("tree"), seed, rate)).where("copies > 0")
 
 
+def bootstrap_arrays(df: DataFrame, key: str, samples: int, seed: int = 42, out: str = "copies") -> DataFrame:
+    """``df`` with one byte a sample: the copies that :func:`bootstrap_counts` gives the row in it. Narrow, a row a row."""
+    ship_package(df.sparkSession)
+    steps = np.array(poisson_steps())
+    ends = [f"|{t}|{seed}".encode() for t in range(samples)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = bytearray()
+            for name in batch.column(batch.num_columns - 1).to_pylist():
+                begun = hashlib.md5(name.encode())
+                for end in ends:
+                    mark = begun.copy()
+                    mark.update(end)
+                    marks += mark.digest()[:4]
+            copies = np.searchsorted(steps, np.frombuffer(marks, ">u4").astype(np.int64), side="right").astype(np.uint8)
+            rows = [r.tobytes() for r in copies.reshape(-1, samples)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.binary())], [*batch.schema.names[:-1], out])
+
+    named = df.withColumn(out, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return named.mapInArrow(run, df.withColumn(out, F.lit(b"")).schema)
+
+
 def exact_bootstrap(df: DataFrame, key: str, samples: int, seed: int = 42) -> DataFrame:
     """``tree, key, copies`` with exactly as many copies a sample as ``df`` has rows. Hand in a stored table with a unique key.
 
