@@ -6,9 +6,10 @@ row is then a list of small bin numbers, and a value below the cut goes left. A
 squared error among its features, chosen by hash of round and node; it is a leaf at the depth limit,
 with fewer than two rows, or where no cut parts its rows.
 
-* **Large tables**: a level of a tree is one scan. Each task adds up (rows, residuals) per node, feature and bin;
-  the sums are added before and after a shuffle of those cells, and cells, never rows, reach the driver.
-  Residuals follow from the leaf tables found since the state was last written; every tenth tree writes it.
+* **Large tables**: a level of a tree is one scan of the columns it needs. Each task adds up (rows, residuals) per node,
+  feature and bin, for all nodes at once; a node's sums are added and its split is chosen after a shuffle of one row per
+  task and node, so that one row a node reaches the driver. Leaves follow from their parents' sums. The residuals are
+  written anew after every tree. The state is stored in blocks of neighbouring rows, a packed column a feature.
 * **Tables of at most ``LOCAL`` rows** are boosted within one task on the same bins.
 
 Both ways give the same trees, up to the order of summation.
@@ -39,8 +40,6 @@ PERCENTILES = 100
 ACCURACY = 100_000
 #: Rows that one task may boost.
 LOCAL = 50_000
-#: Trees after which the state is written anew.
-FOLD_EVERY = 10
 
 
 @dataclass
@@ -164,8 +163,8 @@ def boost_local(state: DataFrame, plan: Plan, rounds: int) -> tuple[list[dict[in
     d = len(plan.cuts)
 
     def run(group: pa.Table) -> pa.Table:
-        bins = np.column_stack([group.column(f"b{i}").to_numpy() for i in range(d)]).astype(np.int64)
-        y = group.column("y").to_numpy().astype(float)
+        bins = np.column_stack([unpacked(group.column(f"b{i}"), np.int16) for i in range(d)]).astype(np.int64)
+        y = unpacked(group.column("y"), float)
         order = np.lexsort([y, *bins.T])  # an order of the rows' own, whatever the shuffle gave
         bins, rest = bins[order], y[order]
         out = []
@@ -188,33 +187,69 @@ def boost_local(state: DataFrame, plan: Plan, rounds: int) -> tuple[list[dict[in
     return trees, losses
 
 
-def cells(state: DataFrame, earlier: list[dict[int, tuple]], tree: dict[int, tuple], open_: dict[int, list[int]], plan: Plan) -> DataFrame:
-    """``node, k, bin, n, s, ss``: rows, residuals and their squares per open node, candidate and bin. One scan, cells out."""
-    d, lr, width = len(plan.cuts), plan.lr, plan.bins
-    done = [by_bins(t, plan) for t in earlier]
-    grown = by_bins({**tree, **{node: (-1, None, float(i)) for i, node in enumerate(open_)}, **closed(tree, open_)}, plan)
-    nodes = list(open_.items())
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block of packed rows at a time."""
+    return (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows))
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def mean_square(state: DataFrame) -> float:
+    """Mean squared residual."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, len(nodes), max(len(c) for _, c in nodes), width))
-        for batch in batches:
-            bins = np.column_stack([batch.column(i).to_numpy() for i in range(d)]).astype(np.int64)
-            rest = batch.column(d).to_numpy().astype(float)
-            for old in done:
-                rest = rest - lr * leaf_values(old, bins)
-            at = leaf_values(grown, bins).astype(np.int64)
-            for i, (_, some) in enumerate(nodes):
-                mine = np.flatnonzero(at == i)
-                for k, f in enumerate(some):
-                    b, r = bins[mine, f], rest[mine]
-                    for j, weights in enumerate((None, r, r * r)):
-                        sums[j, i, k] += np.bincount(b, weights=weights, minlength=width)
-        i, k, b = np.nonzero(sums[0])
-        columns = [pa.array(np.array([nodes[x][0] for x in i], np.int64)), pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([*columns, *[pa.array(sums[j][i, k, b]) for j in range(3)]], ["node", "k", "bin", "n", "s", "ss"])
-
-    partial = state.mapInArrow(run, "node long, k int, bin int, n double, s double, ss double")
-    return partial.groupBy("node", "k", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        for block in blocks(batches):
+            y = unpacked(block.column(0), float)
+            yield pa.RecordBatch.from_arrays([pa.array([float(len(y))]), pa.array([float(y @ y)])], ["n", "s"])
+
+    return state.select("y").mapInArrow(run, "n double, s double").agg(F.sum("s") / F.sum("n")).first()[0]
+
+
+def level_splits(state: DataFrame, tree: dict[int, tuple], open_: dict[int, list[int]], plan: Plan) -> dict[int, tuple]:
+    """Open node -> rows, residuals, and if it can be split feature, cut number, and rows and residuals on the left. One scan, a row a node out."""
+    width, take = plan.bins, min(plan.take, len(plan.cuts))
+    nodes = sorted(open_)
+    grown = by_bins({**tree, **{node: (-1, None, float(i)) for i, node in enumerate(nodes)}, **closed(tree, open_)}, plan)
+    used = sorted({f for f, _, _ in tree.values() if f >= 0} | {f for some in open_.values() for f in some})
+    candidates = np.array([open_[n] for n in nodes])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.zeros((2, take, len(nodes) * width))
+        for block in blocks(batches):
+            y = unpacked(block.column(len(used)), float)
+            bins = np.zeros((used[-1] + 1, len(y)), np.int16)
+            for i, f in enumerate(used):
+                bins[f] = unpacked(block.column(i), np.int16)
+            at = leaf_values(grown, bins.T).astype(np.int64)
+            rows = np.flatnonzero(at >= 0)
+            at, rest = at[rows], y[rows]
+            for k in range(take):
+                cell = at * width + bins[candidates[at, k], rows]
+                flat[0, k] += np.bincount(cell, minlength=flat.shape[2])
+                flat[1, k] += np.bincount(cell, rest, flat.shape[2])
+        sums = flat.reshape(2, take, len(nodes), width).transpose(2, 0, 1, 3)
+        full = [i for i in range(len(nodes)) if sums[i, 0].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in full], pa.int64()), pa.array([sums[i].tobytes() for i in full], pa.binary())], ["node", "sums"])
+
+    def decide(group: pa.Table) -> pa.Table:
+        node = group.column("node")[0].as_py()
+        blobs = sorted(group.column("sums").to_pylist())  # an order of their own, whatever the shuffle gave
+        rows, total = sum(np.frombuffer(b) for b in blobs).reshape(2, take, width)
+        split = best_split(rows, total, open_[node], plan) if node.bit_length() - 1 < plan.depth else None
+        f, cut, n, s = -1, None, None, None
+        if split is not None:
+            f, cut = split
+            k = open_[node].index(f)
+            n, s = float(rows[k, : cut + 1].sum()), float(total[k, : cut + 1].sum())
+        found = [node, float(rows[0].sum()), float(total[0].sum()), f, cut, n, s]
+        kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+        return pa.table([pa.array([v], k) for v, k in zip(found, kinds)], names=["node", "n", "s", "f", "cut", "ln", "ls"])
+
+    partial = state.select(*[f"b{f}" for f in used], "y").mapInArrow(run, "node long, sums binary")
+    best = partial.groupBy("node").applyInArrow(decide, "node long, n double, s double, f int, cut int, ln double, ls double")
+    return {r["node"]: tuple(r)[1:] for r in best.collect()}
 
 
 def by_bins(tree: dict[int, tuple], plan: Plan) -> tuple[np.ndarray, ...]:
@@ -228,40 +263,35 @@ def closed(tree: dict[int, tuple], open_: dict[int, list[int]]) -> dict[int, tup
     return {n: (-1, None, -1.0) for n, (f, _, _) in tree.items() if f < 0 and n not in open_}
 
 
-def level_tree(state: DataFrame, earlier: list[dict[int, tuple]], number: int, plan: Plan) -> dict[int, tuple]:
-    """A tree over a table of any size, a scan per level."""
+def level_tree(state: DataFrame, number: int, plan: Plan) -> dict[int, tuple]:
+    """A tree over a table of any size, a scan per level but the last, whose leaves are known from the splits above."""
     tree: dict[int, tuple] = {}
     open_ = {1: plan.candidates(number, 1)}
     while open_:
-        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for node, k, b, n, s, _ in cells(state, earlier, tree, open_, plan).collect():  # nodes x candidates x bins at most
-            rows, total = found.setdefault(node, (np.zeros((len(open_[node]), plan.bins)), np.zeros((len(open_[node]), plan.bins))))
-            rows[k, b], total[k, b] = n, s
         below: dict[int, list[int]] = {}
-        for node, some in open_.items():
-            rows, total = found[node]
-            n, s = rows[0].sum(), total[0].sum()
-            split = best_split(rows, total, some, plan) if node.bit_length() - 1 < plan.depth and n >= 2 else None
-            if split is None:
-                tree[node] = (-1, None, float(s / n))
-            else:
-                tree[node] = (split[0], plan.cuts[split[0]][split[1]], None)
-                below |= {c: plan.candidates(number, c) for c in (2 * node, 2 * node + 1)}
+        for node, (n, s, f, cut, left_n, left_s) in level_splits(state, tree, open_, plan).items():
+            if f < 0:
+                tree[node] = (-1, None, s / n)
+                continue
+            tree[node] = (f, plan.cuts[f][cut], None)
+            for child, rows, total in ((2 * node, left_n, left_s), (2 * node + 1, n - left_n, s - left_s)):
+                if child.bit_length() - 1 < plan.depth and rows >= 2:
+                    below[child] = plan.candidates(number, child)
+                else:
+                    tree[child] = (-1, None, total / rows)
         open_ = below
     return tree
 
 
-def folded(state: DataFrame, trees: list[dict[int, tuple]], plan: Plan) -> DataFrame:
-    """``state`` with the trees' values taken off the target."""
-    done, lr, d = [by_bins(t, plan) for t in trees], plan.lr, len(plan.cuts)
+def folded(state: DataFrame, tree: dict[int, tuple], plan: Plan) -> DataFrame:
+    """``state`` with a tree's values taken off the target."""
+    done, lr, d = by_bins(tree, plan), plan.lr, len(plan.cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = np.column_stack([batch.column(i).to_numpy() for i in range(d)]).astype(np.int64)
-            rest = batch.column(d).to_numpy().astype(float)
-            for old in done:
-                rest = rest - lr * leaf_values(old, bins)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:d], pa.array(rest)], batch.schema.names)
+        for block in blocks(batches):
+            bins = np.column_stack([unpacked(block.column(i), np.int16) for i in range(d)])
+            rest = unpacked(block.column(d), float) - lr * leaf_values(done, bins)
+            yield pa.RecordBatch.from_arrays([*block.columns[:d], pa.array([rest.tobytes()])], block.schema.names)
 
     return state.mapInArrow(run, state.schema)
 
@@ -294,32 +324,34 @@ def fit_boosted(
     means = fit_means(known, features)
     with Stages(df.sparkSession) as stages, Stages(df.sparkSession) as states:
         filled = impute(known, means).select(*[settled(F.col(f)).alias(f) for f in features], clean(label).alias("_y"))
-        filled = stages.keep(filled, "boost-rows")
+        filled = stages.keep(filled.repartition(2 * df.sparkSession.sparkContext.defaultParallelism), "boost-rows")
         n, mean, spread = filled.agg(F.count("*"), F.avg("_y"), F.stddev_pop("_y")).first()
         model = BoostModel(features, means, mean or 0.0, spread or 1.0, lr)
         if not n:
             return model
         plan = Plan(feature_cuts(filled, features, stages), depth, take or max(1, int(len(features) ** 0.5)), lr, seed)
-        kept = [bin_number(F.col(f), plan.cuts[i]).alias(f"b{i}") for i, f in enumerate(features)]
-        state = states.keep(filled.select(*kept, ((F.col("_y") - model.mean) / model.spread).alias("y")), "boost-state")
+        state = states.keep(binned(filled, features, plan, model), "boost-state")
         if n <= local:
             model.trees, model.history = boost_local(state, plan, rounds)
             return model
-        recent: list[dict[int, tuple]] = []
         for t in range(rounds):
-            tree = level_tree(state, recent, t, plan)
+            tree = level_tree(state, t, plan)
             model.trees.append(tree)
-            recent.append(tree)
-            if len(recent) == FOLD_EVERY or t + 1 == rounds:
-                state = states.keep(folded(state, recent, plan), "boost-state")
-                states.drop(but=1)
-                recent = []
-        model.history.append(state.agg(F.avg(F.col("y") * F.col("y"))).first()[0])
+            state = states.keep(folded(state, tree, plan), "boost-state")
+            states.drop(but=1)
+        model.history.append(mean_square(state))
     return model
 
 
-def bin_number(value: Column, cuts: Sequence[float]) -> Column:
-    """How many cuts a value reaches: a binary search in the literal array."""
-    if not cuts:
-        return F.lit(0).cast("short")
-    return F.size(F.filter(F.lit(list(cuts)), lambda c: c <= value)).cast("short")
+def binned(filled: DataFrame, features: Sequence[str], plan: Plan, model: BoostModel) -> DataFrame:
+    """``b0.., y``: how many cuts a value reaches, and the standardised target; a row a block, columns packed."""
+    cuts, names = [np.array(c, float) for c in plan.cuts], [*[f"b{i}" for i in range(len(features))], "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.searchsorted(c, batch.column(i).to_numpy(), side="right").astype(np.int16) for i, c in enumerate(cuts)]
+            found.append(batch.column(len(cuts)).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()]) for c in found], names)
+
+    y = ((F.col("_y") - model.mean) / model.spread).alias("y")
+    return filled.select(*features, y).mapInArrow(run, ", ".join(f"{n} binary" for n in names))
